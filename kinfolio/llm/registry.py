@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing
+from . import lines, mixing, packing, toxicity
 
-_MODULES = (lines, mixing, packing)
+_MODULES = (lines, mixing, packing, toxicity)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
