@@ -9,8 +9,8 @@ from ..plans.joins import join_counted
 from ..plans.lineage import cut
 from .common import fresh, table, words
 
-#: Steps of the seeded order in which a source's documents are repeated.
-BINS = 1 << 14
+#: Bits of the seeded order that are cut into bins at each of so many levels.
+BITS, LEVELS = 7, 3
 
 
 def source_targets(sizes: DataFrame, *, share: float = 1.5, epochs: float = 2.0, weights: tuple = (5, 2, 1)) -> DataFrame:
@@ -50,9 +50,10 @@ def mix_sources(documents: DataFrame, *, share: float = 1.5, epochs: float = 2.0
     seeded order; the last of these gives only its first ``part`` words, so that
     a source's taken words add up to its target, rounded down.
 
-    The seeded order is the leading 60 bits of SHA-256. It is cut into BINS bins
-    that are summed first; only the documents of one bin a source are ordered,
-    so no source meets in one task however large it is.
+    The seeded order is the leading 60 bits of SHA-256. The place where a source's
+    words run out is found in LEVELS levels of 2 ** BITS bins, each summed before
+    it is shuffled; only the documents of one last bin a source are ordered, so no
+    source meets in one task however large it is.
 
     Null or empty texts have size 0 and are taken 0 times. A null source is a
     source. A null doc_id is an id. Rows that repeat an id are documents of
@@ -62,24 +63,27 @@ def mix_sources(documents: DataFrame, *, share: float = 1.5, epochs: float = 2.0
     """
     new = ("size", "source_size", "target", "repeats", "part", "taken")
     documents = documents.drop(*new)
-    place, bin_ = fresh(documents, "place"), fresh(documents, "bin")
+    place = fresh(documents, "place")
     name = F.concat(F.lit(f"mix:{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     sized = documents.withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn(place, F.conv(F.substring(F.sha2(name, 256), 1, 15), 16, 10).cast("long"))
-    sized = sized.withColumn(bin_, F.shiftrightunsigned(place, 46).cast("int"))
-    slim = cut(sized.select("source", "size", F.col(place).alias("place"), F.col(bin_).alias("bin")), "mix-sizes")
+    slim = cut(sized.select("source", "size", F.col(place).alias("place")), "mix-sizes")
 
-    bins = slim.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    targets = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), share=share, epochs=epochs, weights=weights)
+    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share=share, epochs=epochs, weights=weights)
     targets = targets.withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = cut(targets.withColumn("missing", F.floor(F.col("target") - F.col("repeats") * F.col("source_size")).cast("long")), "mix-targets")
 
-    # the bin of each source in which its missing words run out, then the document
+    # level by level, the bin of each source in which its missing words run out
+    last_bin, rows = targets.select("source", F.lit(0).cast("long").alias("bin"), F.col("missing").alias("rest")), slim
     up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    run = join_counted(bins, targets.select("source", "missing"), ["source"], F.col("bin"))
-    run = run.withColumn("upto", F.sum("words").over(up)).where((F.col("upto") > F.col("missing")) & (F.col("upto") - F.col("words") <= F.col("missing")))
-    last_bin = cut(run.select("source", "bin", (F.col("missing") - F.col("upto") + F.col("words")).alias("rest")), "mix-bins")
+    for level in range(1, LEVELS + 1):
+        bins = rows.groupBy("source", F.shiftright("place", 60 - BITS * level).alias("bin")).agg(F.sum("size").alias("words"))
+        run = join_counted(bins, last_bin.select("source", "rest"), ["source"], F.col("bin")).withColumn("upto", F.sum("words").over(up))
+        run = run.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
+        last_bin = cut(run.select("source", "bin", (F.col("rest") - F.col("upto") + F.col("words")).alias("rest")), "mix-bins")
+        rows = join_counted(slim, last_bin.select("source", F.col("bin").alias("last_bin")), ["source"], F.col("place"))
+        rows = rows.where(F.shiftright("place", 60 - BITS * level) == F.col("last_bin")).drop("last_bin")
     order = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    last = join_counted(slim, last_bin.select("source", F.col("bin").alias("last_bin"), "rest"), ["source"], F.col("place")).where("bin = last_bin")
+    last = join_counted(rows, last_bin.select("source", "rest"), ["source"], F.col("place"))
     last = last.groupBy("source", "rest", "place").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
     last = last.withColumn("upto", F.sum("words").over(order)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
     last = last.select("source", F.col("place").alias("last_place"), F.least("size", F.col("rest") - F.col("upto") + F.col("words")).alias("last_part"))
@@ -89,7 +93,7 @@ def mix_sources(documents: DataFrame, *, share: float = 1.5, epochs: float = 2.0
     out = join_counted(sized, plan.withColumnsRenamed({"last_place": "__last", "last_part": "__part"}), ["source"], F.col(place))
     out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("repeats") + (F.col(place) < F.col("__last")).cast("long")).otherwise(F.lit(0)))
     out = out.withColumn("part", F.when((F.col(place) == F.col("__last")) & (F.col("size") > 0), F.least("size", "__part")).otherwise(F.lit(0).cast("long")))
-    return out.withColumn("taken", F.col("repeats") * F.col("size") + F.col("part")).drop(place, bin_, "__last", "__part")
+    return out.withColumn("taken", F.col("repeats") * F.col("size") + F.col("part")).drop(place, "__last", "__part")
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
