@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, merkle, mixing, packing, pii, toxicity
+from . import lines, merkle, mixing, neighbours, packing, pii, toxicity
 
-_MODULES = (lines, merkle, mixing, packing, pii, toxicity)
+_MODULES = (lines, merkle, mixing, neighbours, packing, pii, toxicity)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
