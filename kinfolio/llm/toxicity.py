@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import flat_lists, fresh, table
 
 #: Labelled documents of each class from which the model is learned, at most.
-PER_CLASS = 4_000
+PER_CLASS = 1_500
 #: A word or word start counts if so many documents of the sample hold it.
 LEAST_DOCS = 4
 #: Lengths of the word starts that count beside whole words.
@@ -67,13 +67,13 @@ def learn(features: np.ndarray, sentence_starts: np.ndarray, doc_starts: np.ndar
     none = np.empty(0, features.dtype), np.empty(0)
     if not toxic.any() or toxic.all():
         return Model(*none, 30.0 if len(toxic) and toxic.all() else -30.0)
-    doc_of = np.repeat(np.arange(len(doc_starts)), np.diff(np.append(doc_starts, len(sentence_starts))))
+    doc_of = np.repeat(np.arange(len(doc_starts), dtype=np.int32), np.diff(np.append(doc_starts, len(sentence_starts))))
     sentence_of = np.repeat(np.arange(len(sentence_starts), dtype=np.int32), np.diff(np.append(sentence_starts, len(features))))
     order = np.argsort(features, kind="stable")
     f, doc = features[order], doc_of[sentence_of[order]]
     new = np.append(True, f[1:] != f[:-1])
     first_in_doc = np.append(True, (f[1:] != f[:-1]) | (doc[1:] != doc[:-1]))  # stable: documents rise within a feature
-    group = np.cumsum(new) - 1
+    group = np.cumsum(new, dtype=np.int32) - 1
     enough = np.bincount(group, weights=first_in_doc) >= LEAST_DOCS
     vocabulary, number = f[new][enough], np.cumsum(enough) - 1
     keep = enough[group]
