@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
+from . import jaccard, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
 
-_MODULES = (lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity)
+_MODULES = (jaccard, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
