@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
+import corpus_pipeline
 
-_MODULES = (jaccard, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity)
+from . import jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
+
+_MODULES = (jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
