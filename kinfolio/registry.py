@@ -2,5 +2,512 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.canonical import is_odd, stable_rank
+from .functions.numbers import event_bin, prefix_size, wilson
+from .functions.text import length_bin, orient
+from .operators import effects, exposure, graph, resample, splits
+from .plans import tables as t
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+_WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_Q = r"""'"' || replace(replace({}, '\', '\\'), '"', '\"') || '"'"""
+
+
+def _rank(seed: int, namespace: str, identifier: str) -> str:
+    return f"sha256('{seed}' || chr(0) || {namespace} || chr(0) || ({identifier})::VARCHAR)"
+
+
+def _number(rank: str) -> str:
+    return f"('0x' || substr({rank}, 1, 8))::BIGINT"
+
+
+_RECORDS = rf"""
+rec AS (SELECT doc_id AS record_id, 'v' || (substr(source, 4)::INT % 4) AS view,
+  CASE WHEN substr({_rank(7, "'split'", "doc_id")}, 1, 1) IN ('0', '1', '2') THEN 'validation' ELSE 'train' END AS split,
+  doc_id::INT AS source_index, lang AS domain, source, text, string_split(text, chr(10)) AS ls FROM documents)"""
+_ATOMS = rf"""{_RECORDS},
+fl AS (SELECT *, {_WS.format("ls[1]")} AS f, {_WS.format("ls[-1]")} AS l, {_WS.format("text")} AS w FROM rec),
+an AS (
+  SELECT record_id, view, split, source_index, 'context' AS atom_type, {_Q.format("f")} AS j, 'context' AS field, true AS linkable FROM fl WHERE f <> ''
+  UNION ALL SELECT record_id, view, split, source_index, 'closing', {_Q.format("l")}, 'closing', true FROM fl WHERE l <> ''
+  UNION ALL SELECT record_id, view, split, source_index, 'response', {_Q.format("w")}, 'response', false FROM fl WHERE w <> ''
+  UNION ALL SELECT record_id, view, split, source_index, 'edit_link', '{{"edited":' || {_Q.format("l")} || ',"original":' || {_Q.format("f")} || '}}', 'first->last', true FROM fl WHERE f <> '' AND l <> ''
+  UNION ALL SELECT record_id, view, split, source_index, 'feedback', {_Q.format("x")}, 'feedback[' || i || ']', false
+    FROM (SELECT record_id, view, split, source_index, unnest(range(0, len(ls))) AS i, {_WS.format("unnest(ls)")} AS x FROM rec) WHERE x <> ''),
+atoms AS (SELECT record_id, view, split, source_index, atom_type, sha256(j) AS value_hash, field, linkable FROM an)"""
+_MATCH = rf"""{_ATOMS},
+tr AS (SELECT DISTINCT atom_type, value_hash, view AS source_view, record_id AS source_id FROM atoms WHERE split = 'train'),
+ev AS (SELECT DISTINCT record_id, view AS evaluation_view, atom_type, value_hash, field, linkable FROM atoms WHERE split = 'validation'),
+mt AS (SELECT record_id, evaluation_view, e.atom_type, source_view, count(DISTINCT (e.value_hash, field, linkable)) AS a, count(DISTINCT source_id) AS r
+  FROM ev e JOIN tr t ON e.atom_type = t.atom_type AND e.value_hash = t.value_hash GROUP BY ALL),
+grid AS (SELECT DISTINCT r.record_id, r.view AS evaluation_view, y.atom_type, v.view AS source_view FROM rec r, (SELECT DISTINCT atom_type FROM atoms) y, (SELECT DISTINCT view FROM atoms) v WHERE r.split = 'validation'),
+cells AS (SELECT g.*, coalesce(r, 0) > 0 AS exposed, coalesce(a, 0)::BIGINT AS matching_atoms, coalesce(r, 0)::BIGINT AS matching_training_records
+  FROM grid g LEFT JOIN mt USING (record_id, evaluation_view, atom_type, source_view))"""
+_LINK = rf"""{_ATOMS},
+ky AS (SELECT atom_type, value_hash FROM atoms GROUP BY ALL HAVING bool_or(linkable) AND min(record_id) < max(record_id)),
+mb AS (SELECT DISTINCT atom_type, value_hash, record_id FROM atoms JOIN ky USING (atom_type, value_hash)),
+eg AS MATERIALIZED (SELECT DISTINCT record_id AS a, min(record_id) OVER (PARTITION BY atom_type, value_hash) AS b FROM mb),
+e2 AS MATERIALIZED (SELECT a, b FROM eg WHERE a <> b UNION SELECT b, a FROM eg WHERE a <> b),
+reach AS (SELECT DISTINCT a AS node, a AS r FROM e2 UNION SELECT reach.node, e2.b FROM reach JOIN e2 ON e2.a = reach.r),
+lab AS MATERIALIZED (SELECT rec.record_id, coalesce(min(r), rec.record_id) AS label FROM rec LEFT JOIN reach ON node = rec.record_id GROUP BY rec.record_id)"""
+_PRED = rf"""{_RECORDS},
+pb AS (SELECT record_id AS pair_id, domain, ['clean', 'target', 'untouched'][({_number(_rank(7, "'set'", "record_id"))} % 3 + 1)::INT] AS evaluation_set,
+  {_number(_rank(7, "'position'", "record_id"))} / 4294967296.0::DOUBLE AS position, substr({_rank(7, "'label'", "record_id")}, 8, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS odd FROM rec WHERE split = 'validation'),
+pc AS (SELECT * FROM pb, (VALUES ('char'), ('word')) m(model), (VALUES (1), (2), (3)) s(seed), (VALUES ('naive'), ('safe')) b(boundary), (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE), (1.0::DOUBLE)) f(fraction)),
+pd AS (SELECT *, model || ':' || CASE WHEN model = 'char' AND seed = 3 THEN 2 ELSE seed END || ':' || boundary || ':' || (fraction * 10)::INT || ':' || pair_id AS cell FROM pc),
+pred AS MATERIALIZED (SELECT model, seed, boundary, fraction, evaluation_set, pair_id, domain, position, odd::INT AS label,
+  {_number(_rank(7, "'margin'", "cell"))} / 4294967296.0::DOUBLE - 0.4::DOUBLE + CASE WHEN boundary = 'naive' AND evaluation_set = 'target' AND position < fraction THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS margin FROM pd),
+p AS (SELECT *, (margin > 0)::INT AS correct FROM pred),
+dl AS MATERIALIZED (SELECT model, seed, fraction, evaluation_set, pair_id, any_value(position) AS position,
+  (max(correct) FILTER (WHERE boundary = 'naive') - max(correct) FILTER (WHERE boundary = 'safe'))::DOUBLE AS delta FROM p GROUP BY ALL)"""
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    """Averages are compared after rounding: engines add up in different orders."""
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d)
+    place = p.select("pair_id", "position").distinct()
+    return effects.paired(p).join(place, "pair_id")
+
+
+# --- atoms, hashes, exposure
+
+
+@_query("atoms", f"WITH {_ATOMS} SELECT record_id, view, split, atom_type, value_hash, field, linkable FROM atoms")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return t.atoms(spark, d).drop("source_index")
+
+
+_WHOLE = rf"""hs AS (SELECT *, sha256('{{"lang":' || {_Q.format("domain")} || ',"source":' || {_Q.format("source")} || ',"text":' || {_Q.format(_WS.format("text"))} || '}}') AS record_hash FROM rec),
+hi AS (SELECT *, sha256('{{"dataset":"documents","record_hash":"' || record_hash || '","revision":"r1","source_index":' || source_index || ',"split":"' || split || '","view":"' || view || '"}}') AS record_hash_id FROM hs)"""
+
+
+@_query("record_hashes", f"WITH {_RECORDS}, {_WHOLE} SELECT record_id, view, split, record_hash, record_hash_id FROM hi")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return t.record_hashes(spark, d)
+
+
+@_query("atom_occurrences", f"WITH {_ATOMS} SELECT atom_type, value_hash, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM atoms GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return t.atoms(spark, d).groupBy("atom_type", "value_hash").agg(F.count("*").alias("occurrences"), F.count_distinct("record_id").alias("records"))
+
+
+@_query("exposure_rows", f"WITH {_MATCH} SELECT * FROM cells")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.exposure_rows(t.atoms(spark, d))
+
+
+_N = "(SELECT view AS evaluation_view, count(*) AS validation_rows FROM rec WHERE split = 'validation' GROUP BY ALL)"
+
+
+@_query("exposure_by_source_view", f"""WITH {_MATCH} SELECT evaluation_view, source_view, atom_type, any_value(validation_rows) AS validation_rows, count(*) FILTER (WHERE exposed) AS exposed_rows,
+  count(*) FILTER (WHERE exposed) / any_value(validation_rows) AS exposure_rate, sum(matching_atoms)::BIGINT AS matching_atoms, sum(matching_training_records)::BIGINT AS matching_training_records
+  FROM cells JOIN {_N} USING (evaluation_view) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.by_source_view(t.atoms(spark, d))
+
+
+@_query("exposure_same_any_view", f"""WITH {_MATCH}, pr AS (SELECT evaluation_view, atom_type, record_id, bool_or(exposed) AS y, bool_or(exposed AND source_view = evaluation_view) AS s FROM cells GROUP BY ALL)
+  SELECT evaluation_view, atom_type, any_value(validation_rows) AS validation_rows, count(*) FILTER (WHERE s) AS same_view_exposed_rows, count(*) FILTER (WHERE s) / any_value(validation_rows) AS same_view_exposure_rate,
+  count(*) FILTER (WHERE y) AS any_view_exposed_rows, count(*) FILTER (WHERE y) / any_value(validation_rows) AS any_view_exposure_rate, count(*) FILTER (WHERE y AND NOT s) AS cross_view_only_rows,
+  count(*) FILTER (WHERE y AND NOT s) / any_value(validation_rows) AS cross_view_only_rate FROM pr JOIN {_N} USING (evaluation_view) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.same_and_any_view(t.atoms(spark, d))
+
+
+@_query("cross_view_queue", f"""WITH {_ATOMS}, q AS (SELECT DISTINCT e.atom_type, e.value_hash, e.view AS validation_view, e.source_index AS validation_source_index, e.field AS validation_field, t.view AS tv, t.source_index AS ti, t.field AS tf
+  FROM atoms e JOIN atoms t ON e.atom_type = t.atom_type AND e.value_hash = t.value_hash AND e.split = 'validation' AND t.split = 'train' AND e.view <> t.view),
+  o AS (SELECT *, row_number() OVER (PARTITION BY atom_type, value_hash, validation_view, validation_source_index, validation_field ORDER BY tv, ti, tf) AS n FROM q)
+  SELECT atom_type, value_hash, validation_view, validation_source_index, validation_field, string_agg(DISTINCT tv, '|' ORDER BY tv) AS source_views, max(tv) FILTER (WHERE n = 1) AS example_train_view,
+  max(ti) FILTER (WHERE n = 1) AS example_train_source_index, max(tf) FILTER (WHERE n = 1) AS example_train_field FROM o GROUP BY 1, 2, 3, 4, 5""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.inspection_queue(t.atoms(spark, d))
+
+
+@_query("wilson", f"""WITH {_MATCH}, pr AS (SELECT evaluation_view, atom_type, record_id, bool_or(exposed) AS y FROM cells GROUP BY ALL), k AS (SELECT evaluation_view, atom_type, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE y))::DOUBLE AS k FROM pr GROUP BY ALL)
+  SELECT evaluation_view, atom_type, round((k / n + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4 * n * n))) / (1 + 3.841458820694124 / n), 9) AS low,
+  round((k / n + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 3.841458820694124 / (4 * n * n))) / (1 + 3.841458820694124 / n), 9) AS high FROM k""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = exposure.same_and_any_view(t.atoms(spark, d))
+    low, high = wilson(F.col("any_view_exposed_rows"), F.col("validation_rows"))
+    return _round(e.select("evaluation_view", "atom_type", low.alias("low"), high.alias("high")), "low", "high")
+
+
+# --- components
+
+
+@_query("component_labels", f"WITH RECURSIVE {_LINK} SELECT record_id, label FROM lab")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(t.atoms(spark, d))
+
+
+_SIZES = "cs AS (SELECT label, count(*) AS size, bool_or(split = 'train') AND bool_or(split = 'validation') AS x, count(DISTINCT view) AS v FROM lab JOIN rec USING (record_id) GROUP BY label)"
+
+
+@_query("component_summary", f"""WITH RECURSIVE {_LINK}, {_SIZES} SELECT sum(size)::BIGINT AS records, count(*) AS components, max(size) AS largest_component_records, count(*) FILTER (WHERE x) AS cross_split_components,
+  coalesce(sum(size) FILTER (WHERE x), 0)::BIGINT AS records_in_cross_split_components, count(*) FILTER (WHERE v >= 2) AS multi_view_components, coalesce(sum(size) FILTER (WHERE v >= 2), 0)::BIGINT AS records_in_multi_view_components,
+  (SELECT count(*) FROM (SELECT DISTINCT atom_type, value_hash FROM atoms)) AS atoms FROM cs""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = t.atoms(spark, d)
+    return graph.component_summary(graph.components(a), t.records(spark, d), a)
+
+
+@_query("component_sizes", f"WITH RECURSIVE {_LINK}, {_SIZES} SELECT size::VARCHAR AS size, count(*) AS components FROM cs GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.size_histogram(graph.components(t.atoms(spark, d)), t.records(spark, d))
+
+
+@_query("component_ids_hashed", f"""WITH RECURSIVE {_LINK}, {_WHOLE} SELECT label, sha256('["' || string_agg(record_hash_id, '","' ORDER BY record_hash_id) || '"]') AS component_id FROM lab JOIN hi USING (record_id) GROUP BY label""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hashed_ids(graph.components(t.atoms(spark, d)), t.record_hashes(spark, d))
+
+
+@_query("union_events", f"WITH {_ATOMS}, ky AS (SELECT atom_type, value_hash, count(DISTINCT record_id) AS n FROM atoms GROUP BY ALL HAVING bool_or(linkable)) SELECT sum(n - 1)::BIGINT AS union_events FROM ky WHERE n > 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return graph.union_events(t.atoms(spark, d))
+
+
+def _policy(types: str) -> str:
+    link = _LINK.replace("bool_or(linkable)", f"atom_type IN ({types})")
+    return f"(WITH RECURSIVE {link} SELECT count(DISTINCT label) FROM lab)"
+
+
+@_query("component_policies", f"""SELECT 'context' AS policy, {_policy("'context'")} AS components UNION ALL SELECT 'primary', {_policy("'context', 'closing', 'edit_link'")} UNION ALL SELECT 'response', {_policy("'context', 'closing', 'edit_link', 'response'")}""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a, out = t.atoms(spark, d), None
+    for name, types in (("context", ["context"]), ("primary", ["context", "closing", "edit_link"]), ("response", ["context", "closing", "edit_link", "response"])):
+        one = graph.components(a, types=types).agg(F.lit(name).alias("policy"), F.count_distinct("label").alias("components"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    labels, hashes = graph.components(t.atoms(spark, d)), t.record_hashes(spark, d)
+    labels = labels.join(graph.hashed_ids(labels, hashes), "label")
+    folds = graph.component_folds(labels, t.records(spark, d))
+    return labels.join(folds, "component_id").join(hashes, "record_id").select("record_id", "record_hash_id", "record_hash", "view", F.col("split").alias("original_split"), "component_id", "component_fold")
+
+
+@_query("component_folds")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d)
+
+
+# --- ranks, splits, matching
+
+
+@_query("dedup_records", f"WITH {_RECORDS}, {_WHOLE} SELECT DISTINCT view || ':' || sha256({_WS.format('text')}) AS content FROM hi")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from .functions.canonical import collapse_space
+
+    r = t.read(spark, d, "documents").select("doc_id", "text").join(t.records(spark, d).withColumnRenamed("record_id", "doc_id"), "doc_id")
+    return splits.dedup_by_hash(r.select(F.concat_ws(":", "view", F.sha2(collapse_space(F.col("text")), 256)).alias("content")), "content")
+
+
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    return t.atoms(spark, d).where("atom_type = 'context'").select("record_id", "view", "split", F.col("value_hash").alias("context"))
+
+
+@_query("one_per_context", f"WITH {_ATOMS}, c AS (SELECT record_id, value_hash AS context, row_number() OVER (PARTITION BY value_hash ORDER BY {_rank(7, repr('one'), 'record_id')}, record_id) AS n FROM atoms WHERE atom_type = 'context') SELECT context, record_id FROM c WHERE n = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return splits.best_per(_contexts(spark, d).select("context", "record_id"), ["context"], F.struct(stable_rank(7, "one", F.col("record_id")), F.col("record_id")))
+
+
+@_query("top_n_by_hash", f"WITH {_RECORDS} SELECT record_id, view FROM rec ORDER BY {_rank(7, repr('top'), 'record_id')} LIMIT 100")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return splits.top_by_hash(t.records(spark, d).select("record_id", "view"), stable_rank(7, "top", F.col("record_id")), 100)
+
+
+@_query("hash_coin", f"WITH {_RECORDS} SELECT record_id, substr({_rank(0, repr('pair_orientation'), 'record_id')}, 16, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS reversed FROM rec")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return t.records(spark, d).select("record_id", is_odd(stable_rank(0, "pair_orientation", F.col("record_id")), 16).alias("reversed"))
+
+
+@_query("oriented_pairs", f"""WITH {_ATOMS.replace("rec AS", "rec AS MATERIALIZED")}, o AS (SELECT *, substr({_rank(0, repr('pair_orientation'), 'record_id')}, 16, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS odd FROM fl)
+  SELECT record_id, CASE WHEN odd THEN f ELSE l END AS response1, CASE WHEN odd THEN l ELSE f END AS response2, CASE WHEN odd THEN 1 ELSE -1 END AS overall_preference FROM o""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = t._documents(spark, d).select("record_id", orient(F.col("record_id"), F.col("last"), F.col("first")).alias("p"))
+    return r.select("record_id", "p.response1", "p.response2", "p.overall_preference")
+
+
+@_query("directed_edit_join", f"""WITH {_ATOMS}, x AS (SELECT v.record_id AS target_id, a.record_id AS donor_id FROM atoms v JOIN atoms a ON v.atom_type = 'edit_link' AND a.atom_type = 'edit_link' AND v.value_hash = a.value_hash AND v.split = 'validation' AND a.split = 'train'),
+  y AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY {_rank(7, "'donor_for:' || target_id", "donor_id")}, donor_id) AS n FROM x),
+  z AS (SELECT target_id, donor_id, row_number() OVER (PARTITION BY donor_id ORDER BY {_rank(7, repr('target'), 'target_id')}, target_id) AS m FROM y WHERE n = 1) SELECT target_id, donor_id FROM z WHERE m = 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = t.atoms(spark, d).where("atom_type = 'edit_link'")
+    return splits.donors(a.where("split = 'validation'").select(F.col("record_id").alias("target_id"), "value_hash"), a.where("split = 'train'").select(F.col("record_id").alias("donor_id"), "value_hash"), "value_hash", seed=7)
+
+
+@_query("strict_clean_anti_join", f"WITH {_ATOMS} SELECT record_id FROM atoms v WHERE atom_type = 'context' AND split = 'validation' AND NOT EXISTS (SELECT 1 FROM atoms x WHERE x.split = 'train' AND x.atom_type = 'context' AND x.value_hash = v.value_hash)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = _contexts(spark, d)
+    return splits.strict_clean(c.where("split = 'validation'").select("record_id", "context"), (c.where("split = 'train'"), "context")).select("record_id")
+
+
+_STRATA = f"""st AS (SELECT record_id, split, domain || '|' || CASE WHEN length(text) <= 1000 THEN 'le1000' WHEN length(text) <= 3000 THEN 'le3000' WHEN length(text) <= 8000 THEN 'le8000' ELSE 'gt8000' END AS stratum, text FROM rec),
+cap AS (SELECT stratum, least(count(*) FILTER (WHERE split = 'validation'), floor(count(*) FILTER (WHERE split = 'train') / 2))::BIGINT AS capacity FROM st GROUP BY stratum)"""
+
+
+def _strata(spark: SparkSession, d: str) -> DataFrame:
+    r = t._documents(spark, d)
+    half = F.array(F.log1p(F.length("first").cast("double")), F.log1p(F.length("text").cast("double")))
+    return r.select("record_id", F.col("record_id").alias("id"), "split", F.concat_ws("|", "domain", length_bin(F.length("text"))).alias("stratum"), half.alias("features"))
+
+
+def _capacities(spark: SparkSession, d: str) -> DataFrame:
+    s = _strata(spark, d)
+    return splits.capacities(s.where("split = 'validation'"), s.where("split = 'train'"))
+
+
+@_query("stratum_capacities", f"WITH {_RECORDS}, {_STRATA} SELECT * FROM cap")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _capacities(spark, d)
+
+
+@_query("stratum_quotas", f"""WITH {_RECORDS}, {_STRATA}, q AS (SELECT *, 20 * capacity / sum(capacity) OVER ()::DOUBLE AS raw FROM cap WHERE capacity > 0),
+  o AS (SELECT *, row_number() OVER (ORDER BY raw - floor(raw) DESC, capacity DESC, stratum) AS n, 20 - sum(floor(raw)) OVER () AS rest FROM q)
+  SELECT stratum, capacity, least(capacity, floor(raw)::BIGINT + (n <= rest)::BIGINT)::BIGINT AS quota FROM o""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return splits.quotas(_capacities(spark, d), 20)
+
+
+@_query("nearest_clean_pairs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _strata(spark, d)
+    return splits.nearest_pairs(s.where("split = 'validation'").select("id", "stratum", "features"), s.where("split = 'train'").select("id", "stratum", "features"), splits.quotas(_capacities(spark, d), 20), seed=7)
+
+
+_SLOTS = f"""sl AS (SELECT record_id AS id, CASE WHEN split = 'train' THEN 'base' ELSE 'boundary' END AS kind FROM rec),
+so AS (SELECT id, kind, row_number() OVER (ORDER BY {_rank(7, "'slot:' || kind", "id")}) - 1 AS position, count(*) OVER () AS n FROM sl)"""
+
+
+def _slots(spark: SparkSession, d: str) -> DataFrame:
+    r = t.records(spark, d).withColumnRenamed("record_id", "id")
+    return splits.slots(r.where("split = 'train'"), r.where("split = 'validation'"), seed=7)
+
+
+@_query("train_slots", f"WITH {_RECORDS}, {_SLOTS} SELECT id, kind, position FROM so")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _slots(spark, d)
+
+
+@_query("boundary_counts", f"WITH {_RECORDS}, {_SLOTS} SELECT (least(5, floor(position * 5 / n) + 1) * 20)::INT AS percent, count(*) AS boundary_rows FROM so WHERE kind = 'boundary' GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return splits.boundary_counts(_slots(spark, d), t.records(spark, d).count())
+
+
+@_query("context_crossings", f"""WITH {_ATOMS}, s AS (SELECT DISTINCT split || ':' || view AS s, value_hash FROM atoms WHERE atom_type = 'context') SELECT a.s AS left_set, b.s AS right_set, count(*) AS shared FROM s a JOIN s b ON a.value_hash = b.value_hash AND a.s < b.s GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return splits.crossings(_contexts(spark, d).select(F.concat_ws(":", "split", "view").alias("set_name"), F.col("context").alias("value")))
+
+
+@_query("total_variation", f"""WITH {_RECORDS}, {_STRATA}, n AS (SELECT stratum, count(*) FILTER (WHERE split = 'train') AS l, count(*) FILTER (WHERE split <> 'train') AS r FROM st GROUP BY ALL)
+  SELECT round(sum(abs(l / (SELECT sum(l) FROM n)::DOUBLE - r / (SELECT sum(r) FROM n)::DOUBLE)) / 2, 9) AS total_variation FROM n""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _strata(spark, d)
+    return _round(splits.total_variation(s.where("split = 'train'"), s.where("split <> 'train'"), "stratum"), "total_variation")
+
+
+@_query("smd", f"""WITH {_RECORDS}, v AS (SELECT ln(1 + length(text)::DOUBLE) AS x, split = 'train' AS l FROM rec) SELECT round((avg(x) FILTER (WHERE l) - avg(x) FILTER (WHERE NOT l)) / sqrt((var_samp(x) FILTER (WHERE l) + var_samp(x) FILTER (WHERE NOT l)) / 2), 9) AS smd FROM v""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = t._documents(spark, d).select("split", F.log1p(F.length("text").cast("double")).alias("x"))
+    return _round(splits.standardized_mean_difference(r, "x", F.col("split") == "train"), "smd")
+
+
+@_query("prefix_sizes", f"WITH {_RECORDS}, n AS (SELECT count(*) AS n FROM rec) SELECT f AS fraction, round_even(n * f, 0)::INT AS rows FROM n, (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE), (1.0::DOUBLE)) v(f)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = t.records(spark, d).count()
+    return spark.createDataFrame([(f,) for f in t.FRACTIONS], "fraction double").select("fraction", prefix_size(n, F.col("fraction")).alias("rows"))
+
+
+# --- effects
+
+
+@_query("predictions", f"WITH {_PRED} SELECT model, seed, boundary, fraction, evaluation_set, pair_id, domain, position, label, margin, correct FROM p")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return t.predictions(spark, d)
+
+
+@_query("accuracy_cells", f"""WITH {_PRED} SELECT model, seed, boundary, fraction, evaluation_set, count(*) AS n, round(avg(correct), 9) AS accuracy, round(avg(margin), 9) AS margin_mean, round(stddev_samp(margin), 9) AS margin_std, round(avg((margin > 0)::INT), 9) AS positive_margin_rate FROM p GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.accuracy_cells(t.predictions(spark, d)), "accuracy", "margin_mean", "margin_std", "positive_margin_rate")
+
+
+@_query("metric_block", f"""WITH {_PRED} SELECT model, seed, boundary, fraction, evaluation_set, count(*) AS n, sum(correct)::BIGINT AS k, round(median(margin), 9) AS margin_median, count(DISTINCT round_even(margin, 4)) AS distinct_margins, stddev_samp(margin) >= 0.05 AND count(DISTINCT round_even(margin, 4)) >= 10 AS noncollapsed FROM p GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.collapse_block(t.predictions(spark, d)).select("model", "seed", "boundary", "fraction", "evaluation_set", "n", "k", "margin_median", "distinct_margins", "noncollapsed"), "margin_median")
+
+
+@_query("auroc", f"""WITH {_PRED}, r AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY model, seed, boundary, fraction, evaluation_set, margin) - 1) / 2.0::DOUBLE AS rk FROM p WINDOW w AS (PARTITION BY model, seed, boundary, fraction, evaluation_set ORDER BY margin))
+  SELECT model, seed, boundary, fraction, evaluation_set, CASE WHEN sum(label) * (count(*) - sum(label)) > 0 THEN round((sum(rk) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label)))::DOUBLE, 9) END AS auroc FROM r GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.auroc(t.predictions(spark, d), ["model", "seed", "boundary", "fraction", "evaluation_set"]), "auroc")
+
+
+@_query("paired_gap", f"WITH {_PRED} SELECT model, seed, fraction, evaluation_set, round(avg(delta), 9) AS gap, count(*) AS pairs FROM dl GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.paired_gaps(t.predictions(spark, d)), "gap")
+
+
+_DS = f"{_PRED}, ds AS (SELECT model, seed, fraction, avg(delta) FILTER (WHERE evaluation_set = 'target') - avg(delta) FILTER (WHERE evaluation_set = 'clean') AS did FROM dl GROUP BY ALL)"
+
+
+@_query("did_by_seed", f"WITH {_DS} SELECT model, seed, fraction, round(did, 9) AS did FROM ds")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.did_by_seed(effects.paired(t.predictions(spark, d))), "did")
+
+
+@_query("did", f"WITH {_DS} SELECT model, fraction, round(avg(did), 9) AS did FROM ds GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.did(effects.paired(t.predictions(spark, d))), "did")
+
+
+@_query("seed_representatives", f"WITH {_PRED}, g AS (SELECT model, seed, md5(string_agg(correct::VARCHAR, '' ORDER BY boundary, fraction, evaluation_set, pair_id)) AS h FROM p GROUP BY ALL) SELECT model, min(seed) AS representative, count(*) AS seeds FROM g GROUP BY model, h")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return effects.seed_representatives(t.predictions(spark, d))
+
+
+@_query("interaction", f"WITH {_DS} SELECT fraction, round(avg(did) FILTER (WHERE model = 'word') - avg(did) FILTER (WHERE model = 'char'), 9) AS interaction FROM ds GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.interactions(effects.paired(t.predictions(spark, d)), "word", "char"), "interaction")
+
+
+@_query("selection_regret", f"""WITH {_PRED}, ac AS (SELECT model, seed, fraction, evaluation_set AS s, avg(correct) AS a FROM p WHERE boundary = 'naive' GROUP BY ALL), pk AS (SELECT *, row_number() OVER (PARTITION BY model, seed, s ORDER BY a DESC, fraction) AS n FROM ac)
+  SELECT x.model, round(avg(u.a - v.a), 9) AS regret FROM pk x JOIN pk y ON x.model = y.model AND x.seed = y.seed AND x.s = 'target' AND y.s = 'clean' AND x.n = 1 AND y.n = 1 JOIN ac u ON u.model = x.model AND u.seed = x.seed AND u.fraction = x.fraction AND u.s = 'untouched'
+  JOIN ac v ON v.model = y.model AND v.seed = y.seed AND v.fraction = y.fraction AND v.s = 'untouched' GROUP BY x.model""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.selection_regret(t.predictions(spark, d)), "regret")
+
+
+@_query("arrival_contrast", f"""WITH {_PRED}, c AS (SELECT model, fraction, seed, avg(delta) FILTER (WHERE position < fraction) - avg(delta) FILTER (WHERE position >= fraction) AS c FROM dl WHERE evaluation_set = 'target' AND fraction < 1 GROUP BY ALL) SELECT model, fraction, round(avg(c), 9) AS contrast FROM c GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.arrival_contrast(_deltas(spark, d)), "contrast")
+
+
+@_query("arrival_counts", f"WITH {_PRED} SELECT f AS fraction, count(*) FILTER (WHERE position < f) AS arrived, count(*) AS items FROM (SELECT DISTINCT pair_id, position FROM p WHERE evaluation_set = 'target'), (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) v(f) GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d).where("evaluation_set = 'target'").select("pair_id", "position").distinct()
+    return effects.arrival_counts(p, t.FRACTIONS[:4])
+
+
+@_query("placebo_positions", f"""WITH {_PRED}, i AS (SELECT DISTINCT pair_id, evaluation_set, position FROM p), c AS (SELECT pair_id, row_number() OVER (ORDER BY {_rank(7, repr('placebo'), 'pair_id')}) AS n FROM i WHERE evaluation_set = 'clean'), g AS (SELECT position, row_number() OVER (ORDER BY {_rank(7, repr('placebo'), 'pair_id')}) AS n FROM i WHERE evaluation_set = 'target')
+  SELECT pair_id, position FROM c JOIN g USING (n)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d).select("pair_id", "evaluation_set", "position").distinct()
+    rank = stable_rank(7, "placebo", F.col("pair_id"))
+    c, g = (splits.numbered(p.where(F.col("evaluation_set") == s), rank, "n") for s in ("clean", "target"))
+    return c.select("pair_id", "n").join(g.select("position", "n"), "n").select("pair_id", "position")
+
+
+@_query("event_bins", f"""WITH {_PRED}, e AS (SELECT model, delta, greatest(-0.799999::DOUBLE, least(0.799999::DOUBLE, fraction - position)) AS v FROM dl WHERE evaluation_set = 'target')
+  SELECT model, (v >= -0.4::DOUBLE)::INT + (v >= -0.1::DOUBLE)::INT + (v >= 0.1::DOUBLE)::INT + (v >= 0.4::DOUBLE)::INT AS bin, round(avg(delta), 9) AS effect, count(*) AS n FROM e GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = _deltas(spark, d).where("evaluation_set = 'target'")
+    return _round(effects.event_effects(e, event_bin(F.col("fraction") - F.col("position")), ["model"]), "effect")
+
+
+@_query("mcnemar_counts", f"""WITH {_PRED}, w AS (SELECT model, evaluation_set, seed, fraction, pair_id, max(correct) FILTER (WHERE boundary = 'naive') AS a, max(correct) FILTER (WHERE boundary = 'safe') AS b FROM p GROUP BY ALL)
+  SELECT model, evaluation_set, count(*) FILTER (WHERE a = 1 AND b = 1) AS "both", count(*) FILTER (WHERE a = 1 AND b = 0) AS naive_only, count(*) FILTER (WHERE a = 0 AND b = 1) AS safe_only, count(*) FILTER (WHERE a = 0 AND b = 0) AS neither FROM w GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return effects.discordance(t.predictions(spark, d), ["model", "evaluation_set"])
+
+
+@_query("trajectory_auc", f"""WITH {_DS}, m AS (SELECT model, fraction, avg(did) AS did FROM ds GROUP BY ALL), l AS (SELECT *, (fraction - lag(fraction) OVER w) * (did + lag(did) OVER w) / 2 AS area FROM m WINDOW w AS (PARTITION BY model ORDER BY fraction))
+  SELECT model, round(sum(area), 9) AS auc, round(sum(area) / (max(fraction) - min(fraction)), 9) AS mean_height, min(fraction) FILTER (WHERE did >= 0.05) AS first_at_5_points FROM l GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.trajectories(effects.did(effects.paired(t.predictions(spark, d)))), "auc", "mean_height")
+
+
+@_query("model_rankings", f"""WITH {_PRED}, c AS (SELECT model, seed, boundary, fraction, evaluation_set, avg(correct) AS a FROM p GROUP BY ALL), m AS (SELECT boundary, fraction, evaluation_set, model, round(avg(a), 9) AS accuracy FROM c GROUP BY ALL)
+  SELECT *, rank() OVER (PARTITION BY boundary, fraction, evaluation_set ORDER BY accuracy DESC)::INT AS rank FROM m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(effects.model_rankings(effects.accuracy_cells(t.predictions(spark, d))), "accuracy")
+
+
+@_query("did_pivot", f"WITH {_PRED} SELECT model, fraction, {', '.join(f"round(avg(correct) FILTER (WHERE evaluation_set = '{s}' AND boundary = '{b}'), 9) AS {s}_{b}" for s in ('target', 'clean') for b in ('naive', 'safe'))} FROM p GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    names = [f"{s}_{b}" for s in ("target", "clean") for b in ("naive", "safe")]
+    cells = t.predictions(spark, d).groupBy("model", "fraction", "evaluation_set", "boundary").agg(F.avg("correct").alias("a"))
+    return _round(effects.wide(cells, ["model", "fraction"], ["evaluation_set", "boundary"], "a", names), *names)
+
+
+# --- resampling, natively
+
+_B = 40
+
+
+def _boot(which: str, seed: int, ns: str, source: str, order: str, b: int = _B) -> str:
+    h = _rank(seed, f"'{ns}'", "r || ':' || slot")
+    return f"""{which}i AS MATERIALIZED (SELECT {order} AS item, row_number() OVER (ORDER BY {order}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {order} FROM {source})),
+{which}t AS MATERIALIZED (SELECT r, item, count(*) AS times FROM (SELECT r, {_number(h)} % n AS i FROM (SELECT i AS slot, n FROM {which}i), range({b}) v(r)) JOIN {which}i USING (i) GROUP BY ALL)"""
+
+
+_DID_BOOT = f"""{_PRED}, {_boot('g', 1, 'boot:target', "dl WHERE evaluation_set = 'target'", 'pair_id')}, {_boot('c', 1, 'boot:clean', "dl WHERE evaluation_set = 'clean'", 'pair_id')}, {_boot('s', 1, 'boot:seed', 'dl', 'seed')},
+gm AS (SELECT r, model, seed, fraction, sum(delta * times) / sum(times) AS m FROM dl JOIN gt ON item = pair_id WHERE evaluation_set = 'target' GROUP BY ALL),
+cm AS (SELECT r, model, seed, fraction, sum(delta * times) / sum(times) AS m FROM dl JOIN ct ON item = pair_id WHERE evaluation_set = 'clean' GROUP BY ALL),
+bt AS (SELECT gm.r AS replicate, gm.model, gm.fraction, sum((gm.m - cm.m) * times) / sum(times) AS did FROM gm JOIN cm USING (r, model, seed, fraction) JOIN st ON st.r = gm.r AND st.item = gm.seed GROUP BY ALL)"""
+
+
+@_query("bootstrap_did_native", f"WITH {_DID_BOOT} SELECT replicate::INT AS replicate, model, fraction, round(did, 9) AS did FROM bt")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.did_bootstrap(effects.paired(t.predictions(spark, d)), _B), "did")
+
+
+@_query("bootstrap_intervals", f"WITH {_DID_BOOT} SELECT model, fraction, round(quantile_cont(did, 0.025), 9) AS low, round(quantile_cont(did, 0.975), 9) AS high FROM bt GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.intervals(resample.did_bootstrap(effects.paired(t.predictions(spark, d)), _B), ["model", "fraction"], "did"), "low", "high")
+
+
+@_query("sign_randomization_native", f"""WITH {_PRED}, m AS (SELECT model, fraction, evaluation_set AS s, pair_id, avg(delta) AS delta FROM dl WHERE evaluation_set IN ('target', 'clean') GROUP BY ALL),
+  x AS (SELECT *, CASE WHEN substr({_rank(3, repr('sign'), "r || ':' || s || ':' || pair_id")}, 1, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN -delta ELSE delta END AS v FROM m, range({_B}) t(r)),
+  w AS (SELECT model, fraction, r, avg(v) FILTER (WHERE s = 'target') - avg(v) FILTER (WHERE s = 'clean') AS draw FROM x GROUP BY ALL), o AS (SELECT model, fraction, avg(delta) FILTER (WHERE s = 'target') - avg(delta) FILTER (WHERE s = 'clean') AS observed FROM m GROUP BY ALL)
+  SELECT model, fraction, round(observed, 9) AS observed, (count(*) FILTER (WHERE abs(draw) >= abs(observed) - 1e-12) + 1) / (count(*) + 1) AS p FROM w JOIN o USING (model, fraction) GROUP BY model, fraction, observed""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.sign_randomization(effects.paired(t.predictions(spark, d)), _B), "observed")
+
+
+@_query("permutation_arrival_native", f"""WITH {_PRED}, it AS (SELECT DISTINCT pair_id, position FROM dl WHERE evaluation_set = 'target' AND fraction < 1), rr AS (SELECT r, pair_id, position, row_number() OVER (PARTITION BY r ORDER BY {_rank(4, repr('perm'), "r || ':' || pair_id")}, pair_id) AS a, row_number() OVER (PARTITION BY r ORDER BY position, pair_id) AS b FROM it, range({_B}) t(r)),
+  de AS (SELECT x.r, x.pair_id, y.position AS p FROM rr x JOIN rr y ON x.r = y.r AND x.a = y.b UNION ALL SELECT -1, pair_id, position FROM it),
+  cc AS (SELECT r, model, seed, fraction, avg(delta) FILTER (WHERE p < fraction) - avg(delta) FILTER (WHERE p >= fraction) AS c FROM dl JOIN de USING (pair_id) WHERE evaluation_set = 'target' AND fraction < 1 GROUP BY ALL), mm AS (SELECT r, model, avg(c) AS c FROM cc GROUP BY ALL)
+  SELECT mm.model, round(o.c, 9) AS observed, (count(*) FILTER (WHERE abs(mm.c) >= abs(o.c) - 1e-12) + 1) / (count(*) + 1) AS p FROM mm JOIN mm o ON o.model = mm.model AND o.r = -1 WHERE mm.r >= 0 GROUP BY mm.model, o.c""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.position_permutation(_deltas(spark, d), _B), "observed")
+
+
+_CAND = f"""{_PRED}, cd AS (SELECT pair_id, model || seed AS candidate, avg(correct) AS correct FROM p WHERE boundary = 'naive' AND fraction = 1 AND evaluation_set = 'untouched' GROUP BY ALL)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d).where("boundary = 'naive' and fraction = 1 and evaluation_set = 'untouched'")
+    return p.groupBy("pair_id", F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(F.avg("correct").alias("correct"))
+
+
+@_query("winner_probabilities", f"""WITH {_CAND}, {_boot('w', 5, 'boot:winner', 'cd', 'pair_id')}, m AS (SELECT r, candidate, round_even(sum(correct * times) / sum(times), 12) AS m FROM cd JOIN wt ON item = pair_id GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY m DESC, candidate) AS n FROM m)
+  SELECT candidate, count(*) / {_B} AS probability FROM k WHERE n = 1 GROUP BY candidate""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return resample.winner_probabilities(_candidates(spark, d), _B)
+
+
+@_query("winner_regions")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d).where("fraction = 1")
+    of = lambda b: F.avg(F.when((F.col("boundary") == b) & (F.col("evaluation_set") == "target"), F.col("correct")))
+    return effects.winner_regions(p.groupBy(F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(of("safe").alias("clean"), of("naive").alias("exposed")))
