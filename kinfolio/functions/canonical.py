@@ -16,6 +16,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPACE = re.compile(r"\s+")
 #: White space after NFKC, for Java: its \s knows ASCII only.
@@ -49,7 +50,7 @@ def hash_of(value: Any, *, literal: bool = False) -> str:
     return hashlib.sha256(_dumps(value if literal else plain_value(value)).encode()).hexdigest()
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else plain_text(t) for t in texts.to_pylist()], pa.string())
 
@@ -118,19 +119,19 @@ def hash_number(rank: Column) -> Column:
     return F.conv(F.substring(rank, 1, 8), 16, 10).cast("long")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def record_hash(raw: pa.Array) -> pa.Array:
     """The hash of whole records given as JSON; key order doesn't count."""
     return pa.array([None if r is None else hash_of(json.loads(r)) for r in raw.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def literal_record_hash(raw: pa.Array) -> pa.Array:
     """As ``record_hash``, with strings as they are."""
     return pa.array([None if r is None else hash_of(json.loads(r), literal=True) for r in raw.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def hash_json(raw: pa.Array) -> pa.Array:
     """The hash of any JSON value."""
     return pa.array([None if r is None else hash_of(json.loads(r)) for r in raw.to_pylist()], pa.string())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -35,8 +37,6 @@ def tfidf(train: DataFrame, frames: list[DataFrame], terms, *, least_documents:
     present = both.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     vocabulary = train.sparkSession.createDataFrame(list(enumerate(model.vocabulary)), "at int, term string")  # most_features rows at most
     df = dict(vocabulary.join(present, "term").select("at", "df").collect())
-    import math
-
     idf = [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(model.vocabulary))]
     weights = F.array(*[F.lit(w) for w in idf]) if len(idf) <= 512 else None
     spark = train.sparkSession
@@ -63,7 +63,7 @@ def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, *, c:
     constant's too."""
     a, b = tfidf(train, [train, evaluation], terms, **how)
     a = a.withColumn("label", F.col("label").cast("double"))
-    model = LogisticRegression(regParam=1 / (c * max(1, train.count())), standardization=False, fitIntercept=False, maxIter=200, tol=1e-6).fit(a)
+    model = LogisticRegression(featuresCol="x", regParam=1 / (c * max(1, train.count())), standardization=False, fitIntercept=False, maxIter=200, tol=1e-6).fit(a)
     raw = vector_to_array("rawPrediction")
     return model.transform(b.withColumn("label", F.col("label").cast("double"))).select("pair_id", "label", F.get(raw, F.lit(1)).alias("margin"), F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 

@@ -88,7 +88,7 @@ def nearest_pairs(targets: DataFrame, clean: DataFrame, quota: DataFrame, *, see
     q = q.withColumn("rank", rank).withColumn("nth", F.row_number().over(w)).where("nth <= quota")
     coin = is_odd(stable_rank(seed, "clean_arm", F.col("id")), 8)
     q = q.select("stratum", "id", "nth", "features", coin.alias("coin"))
-    c = clean.select("stratum", "id", "features", stable_rank(seed, "clean_nearest_tie", F.col("id")).alias("tie"))
+    c = clean.select(*(F.col(n).alias(n) for n in ("stratum", "id", "features")), stable_rank(seed, "clean_nearest_tie", F.col("id")).alias("tie"))
 
     def match(t: pa.Table, pool: pa.Table) -> pa.Table:
         t, pool = t.sort_by("nth"), pool.sort_by("tie")
