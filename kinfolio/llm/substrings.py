@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import flat_lists, fresh, only, rolled, least_of, slices, table, words
 
@@ -159,7 +160,7 @@ def repeated_windows(documents: DataFrame, *, window: int = WINDOW) -> DataFrame
     return _met(tried, True).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
 
 
-@F.arrow_udf("array<struct<a:int,b:int>>")
+@F.arrow_udf(ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())])))
 def _ranges(starts: pa.Array, window: pa.Array) -> pa.Array:
     """Sorted, disjoint stretches of words that windows cover."""
     out = []
