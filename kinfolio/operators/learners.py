@@ -4,66 +4,72 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def word_terms(text: Column) -> Column:
     """Words of two or more word characters, lower-cased, and pairs of neighbours."""
     w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1)
-    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, two)
+    fewer = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.concat(w, F.zip_with(F.slice(w, 1, fewer), F.slice(w, 2, fewer), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
-    t = F.regexp_replace(F.lower(text), r"\s+", " ")
+    """Runs of ``low`` to ``high`` characters, lower-cased, white space as one space."""
 
-    def of(n: int) -> Column:
+    def of(t: Column, n: int) -> Column:
         return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(n) for n in range(low, high + 1)))
+    # in an array of one, so that the text is made once and not for each run
+    return F.flatten(F.transform(F.array(F.regexp_replace(F.lower(text), r"\s+", " ")), lambda t: F.concat(*(of(t, n) for n in range(low, high + 1)))))
 
 
 def tfidf(train: DataFrame, frames: list[DataFrame], terms, *, least_documents: int = 3, most_features: int = 120_000) -> list[DataFrame]:
     """Frames (pair_id, response1, response2, ...) with x, the difference of the two
-    responses' vectors. Counts are 1 + log, weights ln((1 + n) / (1 + df)) + 1,
-    vectors of length 1; df is over both responses of ``train``."""
+    responses' vectors and a constant. Counts are 1 + log, weights
+    ln((1 + n) / (1 + df)) + 1, vectors of length 1; df is over both responses of
+    ``train``. Vectors stay sparse; what is sent along is a weight a feature."""
     both = train.select(F.explode(F.array("response1", "response2")).alias("text")).select(terms(F.col("text")).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=least_documents, vocabSize=most_features).fit(both)
-    n = both.count()
-    present = both.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n, size = both.count(), len(model.vocabulary)
     vocabulary = train.sparkSession.createDataFrame(list(enumerate(model.vocabulary)), "at int, term string")  # most_features rows at most
-    df = dict(vocabulary.join(present, "term").select("at", "df").collect())
-    idf = [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(model.vocabulary))]
-    weights = F.array(*[F.lit(w) for w in idf]) if len(idf) <= 512 else None
-    spark = train.sparkSession
-    table = spark.createDataFrame([(idf,)], "idf array<double>")
-
-    def vector(d: DataFrame, column: str, out: str) -> DataFrame:
-        d = model.transform(d.withColumn("terms", terms(F.col(column))))
-        d = d.crossJoin(F.broadcast(table)) if weights is None else d.withColumn("idf", weights)
-        values = F.transform(vector_to_array("counts"), lambda c, i: F.when(c > 0, (1 + F.log(c)) * F.get("idf", i)).otherwise(0.0))
-        d = d.withColumn("raw", array_to_vector(values))
-        return Normalizer(inputCol="raw", outputCol=out, p=2.0).transform(d).drop("terms", "counts", "raw", "idf")
-
-    out = []
-    for f in frames:
-        f = vector(vector(f, "response1", "x1"), "response2", "x2")
-        x = F.zip_with(vector_to_array("x2"), vector_to_array("x1"), lambda a, b: a - b)
-        out.append(f.withColumn("x", array_to_vector(F.concat(x, F.array(F.lit(1.0))))).drop("x1", "x2"))
-    return out
+    df = both.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("at").agg(F.count("*").alias("df"))
+    idf = np.ones(size)
+    for r in df.collect():
+        idf[r["at"]] = math.log((1 + n) / (1 + r["df"])) + 1
+
+    def one(c) -> np.ndarray:
+        v = (1 + np.log(c.values)) * idf[c.indices]
+        return v / (np.linalg.norm(v) or 1.0)
+
+    @F.udf(VectorUDT())
+    def difference(a, b):
+        at = np.concatenate((a.indices, b.indices))
+        where, back = np.unique(at, return_inverse=True)
+        values = np.bincount(back, weights=np.concatenate((-one(a), one(b))), minlength=len(where))
+        return Vectors.sparse(size + 1, [*where.tolist(), size], [*values.tolist(), 1.0])
+
+    def counted(d: DataFrame, column: str, out: str) -> DataFrame:
+        return model.transform(d.withColumn("terms", terms(F.col(column)))).withColumnRenamed("counts", out).drop("terms")
+
+    return [counted(counted(f, "response1", "c1"), "response2", "c2").withColumn("x", difference("c1", "c2")).drop("c1", "c2") for f in frames]
 
 
-def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, *, c: float = 1.0, **how) -> DataFrame:
+def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, *, c: float = 1.0, iterations: int = 100, **how) -> DataFrame:
     """pair_id, label, margin and probability: a logistic model of label (second
     response preferred) on x, with an L2 penalty of 1 / (c * n) on all weights, the
     constant's too."""
     a, b = tfidf(train, [train, evaluation], terms, **how)
-    a = a.withColumn("label", F.col("label").cast("double"))
-    model = LogisticRegression(featuresCol="x", regParam=1 / (c * max(1, train.count())), standardization=False, fitIntercept=False, maxIter=200, tol=1e-6).fit(a)
+    a = cut(a.select("pair_id", "x", F.col("label").cast("double").alias("label")), "learner")
+    model = LogisticRegression(featuresCol="x", regParam=1 / (c * max(1, train.count())), standardization=False, fitIntercept=False, maxIter=iterations, tol=1e-6).fit(a)
     raw = vector_to_array("rawPrediction")
     return model.transform(b.withColumn("label", F.col("label").cast("double"))).select("pair_id", "label", F.get(raw, F.lit(1)).alias("margin"), F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.canonical import is_odd, stable_rank
 from .functions.numbers import event_bin, prefix_size, wilson
 from .functions.text import length_bin, orient
-from .operators import effects, exposure, graph, resample, splits
+from .operators import effects, exposure, graph, learners, reports, resample, splits
 from .plans import tables as t
 
 QUERIES: dict = {}
@@ -511,3 +511,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     p = t.predictions(spark, d).where("fraction = 1")
     of = lambda b: F.avg(F.when((F.col("boundary") == b) & (F.col("evaluation_set") == "target"), F.col("correct")))
     return effects.winner_regions(p.groupBy(F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(of("safe").alias("clean"), of("naive").alias("exposed")))
+
+
+# --- learners and report tables
+
+
+@_query("sparse_learner")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = t._documents(spark, d).where("first <> '' and last <> ''").select("record_id", "split", orient(F.col("record_id"), F.col("last"), F.col("first")).alias("p"))
+    pairs = r.select(F.col("record_id").alias("pair_id"), "split", "p.response1", "p.response2", (F.col("p.overall_preference") > 0).cast("int").alias("label"))
+    return learners.fit_predict(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), c=1.0, iterations=20, least_documents=3, most_features=20_000)
+
+
+_ANY = ORACLES["exposure_same_any_view"]
+
+
+@_query("focal_exposure", f"SELECT atom_type, scope, rows, exposed_rows, exposed_rows / rows AS estimate FROM (SELECT atom_type, validation_rows AS rows, unnest(['same_view', 'any_view']) AS scope, unnest([same_view_exposed_rows, any_view_exposed_rows]) AS exposed_rows FROM ({_ANY}) WHERE evaluation_view = 'v0')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return reports.focal_exposure(exposure.same_and_any_view(t.atoms(spark, d)), "v0")
+
+
+@_query("exposure_tensor", f"SELECT evaluation_view, atom_type, same_view_exposure_rate * 100 AS same_percent, any_view_exposure_rate * 100 AS any_percent, cross_view_only_rate * 100 AS cross_only_percent FROM ({_ANY})")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return reports.exposure_tensor(exposure.same_and_any_view(t.atoms(spark, d)))
+
+
+@_query("final_effects", f"WITH {_PRED} SELECT model, seed, evaluation_set, round(100 * avg(delta), 9) AS effect_points FROM dl WHERE fraction = 1 GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(reports.final_effects(effects.paired_gaps(t.predictions(spark, d))), "effect_points")
+
+
+@_query("item_effects", f"""WITH {_PRED}, w AS (SELECT model, seed, fraction, evaluation_set, pair_id, any_value(position) AS position, max(correct) FILTER (WHERE boundary = 'naive') - max(correct) FILTER (WHERE boundary = 'safe') AS c,
+  max(CASE WHEN label = 1 THEN margin ELSE -margin END) FILTER (WHERE boundary = 'naive') - max(CASE WHEN label = 1 THEN margin ELSE -margin END) FILTER (WHERE boundary = 'safe') AS m FROM p WHERE evaluation_set = 'target' GROUP BY ALL)
+  SELECT model, seed, fraction, pair_id, position, position < fraction AS ancestor_seen, c::DOUBLE AS naive_minus_safe_correct, round(m, 9) AS naive_minus_safe_signed_margin FROM w""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(reports.item_effects(t.predictions(spark, d).where("evaluation_set = 'target'")), "naive_minus_safe_signed_margin")
