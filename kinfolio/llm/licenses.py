@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,22 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _every(words: str, k: int, of) -> Column:
-    """``of`` each run of ``k`` words; none if there are fewer."""
+def _hashes(hashed: str, k: int) -> Column:
+    """A hash of each run of ``k`` words, from the words' hashes; none if there are fewer."""
+    n = F.size(hashed)
+    each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*(F.get(F.col(hashed), i + j) for j in range(k))))
+    return F.when(n >= k, each).otherwise(F.array().cast("array<bigint>"))
+
+
+def _shingles(words: str, k: int) -> Column:
+    """Each run of ``k`` words, as text."""
     n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: of(F.slice(words, i + 1, k)))).otherwise(F.array().cast("array<bigint>" if of is F.xxhash64 else "array<string>"))
+    each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
+    return F.when(n >= k, each).otherwise(F.array().cast("array<string>"))
+
+
+def _each(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _band(shingles: Column, band: int) -> Column:
@@ -61,18 +75,19 @@ def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return t.select("license", "k", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("k")), lambda i: F.array_join(F.slice("words", i + 1, F.col("k")), " ")).alias("shingles"), "words")
 
 
-def _template_keys(t: DataFrame) -> dict[int, list[int]]:
-    """By shingle length, what retrieves a template: a short one's shingles, each
-    a window of its own; of a long one each window's least hash in each band."""
-    hashed = t.withColumn("h", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("k")), lambda i: F.xxhash64(F.slice("words", i + 1, F.col("k")))))
+def _template_keys(t: DataFrame) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """By shingle length, the hashes of all shingles, and what retrieves a
+    template: a short one's shingles, each a window of its own; of a long one
+    each window's least hash in each band."""
+    t = t.withColumn("wh", _each("words"))
+    ks = [r[0] for r in t.select("k").distinct().collect()]
+    hashed = t.withColumn("h", F.coalesce(*(F.when(F.col("k") == k, _hashes("wh", k)) for k in ks)))
     long = F.size("h") >= 2 * BLOCK
     at = F.sequence(F.lit(0), F.size("h") - 2 * BLOCK)
     bands = F.flatten(F.array(*(_windows(at, b) for b in range(BANDS))))
-    rows = hashed.select("k", F.when(long, bands).otherwise(F.col("h")).alias("keys")).collect()  # as many as templates
-    out: dict[int, list[int]] = {}
-    for r in rows:
-        out.setdefault(r["k"], []).extend(r["keys"])
-    return {k: sorted({*v}) for k, v in out.items()}
+    rows = hashed.select("k", "h", F.when(long, bands).otherwise(F.col("h")).alias("keys")).collect()  # as many as templates
+    of = lambda name: {k: sorted({x for r in rows if r["k"] == k for x in r[name]}) for k in ks}
+    return of("h"), of("keys")
 
 
 def _windows(at: Column, band: int) -> Column:
@@ -100,37 +115,40 @@ def scan(documents: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     if not texts:
         return spark.createDataFrame([], schema)
     t = templates(spark, texts)
-    keys = _template_keys(t)
-    d = documents.select(documents["doc_id"].alias("doc_id"), F.xxhash64(documents["text"]).alias("text_hash"), _words(documents["text"]).alias("words"))
-    hit = F.lit(False)
-    for k, found in sorted(keys.items()):
-        d = d.withColumn(f"h{k}", _every("words", k, F.xxhash64))
-        hit = hit | F.exists(f"h{k}", _among(found))
+    shingles, keys = _template_keys(t)
+    d = documents.select(documents["doc_id"].alias("doc_id"), F.xxhash64(documents["text"]).alias("text_hash"), _words(documents["text"]).alias("words")).withColumn("wh", _each("words"))
+    # two windows can only meet in a shingle that both hold, so texts without any of the templates' need no bands
+    d = d.withColumns({f"h{k}": _hashes("wh", k) for k in keys})
+    d = _only(d, _any(F.exists(f"h{k}", _among(found)) for k, found in sorted(shingles.items())))
+    hits = [F.exists(f"h{k}", _among(found)) for k, found in sorted(keys.items())]
     if SHINGLE in keys:
         h = F.col(f"h{SHINGLE}")
         blocks = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.floor((F.size(h) - 1) / BLOCK).cast("int")))
-        for band in range(BANDS):
-            d = d.withColumn(f"m{band}", F.transform(blocks, _block(h, band)))
-            hit = hit | F.coalesce(F.exists(F.transform(F.col(f"m{band}"), _both(f"m{band}")), _among(keys[SHINGLE])), F.lit(False))
-    # a generator, since a filter would be pushed down and work out every column again for each element
-    d = d.select("doc_id", "text_hash", "words", F.explode(F.when(hit, F.array(F.lit(1)))).alias("hit")).drop("hit")
-
-    matches = []
-    for k in sorted(keys):
-        ours = t.where(F.col("k") == k).select("license", F.size(F.array_distinct("shingles")).alias("of"), F.explode(F.array_distinct("shingles")).alias("shingle"))
-        matches.append(d.select("doc_id", "text_hash", F.posexplode(_every("words", k, _joined)).alias("at", "shingle")).join(F.broadcast(ours), "shingle").withColumn("k", F.lit(k)))
-    m = matches[0]
-    for more in matches[1:]:
-        m = m.unionByName(more)
-    m = m.distinct()
+        d = d.withColumns({f"m{band}": F.transform(blocks, _block(h, band)) for band in range(BANDS)})
+        hits += [F.coalesce(F.exists(F.transform(F.col(f"m{band}"), _both(f"m{band}")), _among(keys[SHINGLE])), F.lit(False)) for band in range(BANDS)]
+    d = _only(d, _any(hits)).select("doc_id", "text_hash", "words")
+
+    ours = t.select("license", "k", F.size(F.array_distinct("shingles")).alias("of"), F.explode(F.array_distinct("shingles")).alias("shingle"))
+    every = F.concat(*(F.transform(_shingles("words", k), _placed(k)) for k in sorted(keys)))
+    m = d.select("doc_id", "text_hash", F.inline(every)).join(F.broadcast(ours), ["k", "shingle"]).distinct()
     order = Window.partitionBy("doc_id", "text_hash", "license").orderBy("at")
     m = m.withColumn("opens", F.coalesce(F.col("at") - F.lag("at").over(order) > GAP, F.lit(True)).cast("int")).withColumn("region", F.sum("opens").over(order))
     r = m.groupBy("doc_id", "text_hash", "license", "of", "k", "region").agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + F.col("k")).alias("n_words"), F.count_distinct("shingle").alias("n"))
     return r.where(F.col("n") >= CONTAINED * F.col("of")).select("doc_id", "license", "start", "n_words", (F.col("n") / F.col("of")).alias("containment"))
 
 
-def _joined(words: Column) -> Column:
-    return F.array_join(words, " ")
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def _only(d: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet ``condition``, by a generator: a filter would be pushed down
+    and would work out whole columns again for every element."""
+    return d.select("*", F.explode(F.when(condition, F.array(F.lit(1)))).alias("__one")).drop("__one")
+
+
+def _placed(k: int):
+    return lambda x, at: F.struct(F.lit(k).alias("k"), at.alias("at"), x.alias("shingle"))
 
 
 def _among(keys: list[int]):
