@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat_lists, fresh, table
+from .common import fresh, table
 
 #: Labelled documents of each class from which the model is learned, at most.
 PER_CLASS = 1_500
