@@ -16,8 +16,11 @@ from .common import flat_lists, table
 
 #: Trees; vectors to which they are fitted, at most; of these, vectors in a leaf.
 TREES, SAMPLE, LEAF = 8, 20_000, 24
-#: A query visits leaves, over all trees, until they hold so many rows.
-BUDGET = 32_768
+#: A query visits leaves, over all trees, until they hold so many rows, or this
+#: share of the indexed rows if that is more.
+BUDGET, SHARE = 32_768, 0.64
+#: Queries whose visits are sent on at a time.
+CHUNK = 64
 
 
 @dataclass
@@ -122,13 +125,14 @@ def proper(embeddings: DataFrame) -> DataFrame:
     return e.where(F.size("embedding") == F.lit(width or 0))
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: int = BUDGET, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: int = BUDGET, share: float = SHARE, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """The ``k`` nearest found, by Euclidean distance, of each row of ``queries``.
 
     A forest is fitted to the ``sample`` vectors with the least seeded hash,
     which bounds what the driver holds and what is sent along. Every vector is
     indexed: it goes to its leaf in each tree. Each query visits leaves through
-    one priority queue over all trees and goes to those leaves; there its
+    one priority queue over all trees, until they hold ``budget`` rows or
+    ``share`` of all, whichever is more, and goes to those leaves; there its
     distances to the leaf's vectors are computed exactly, and the best are
     merged. Vectors that are equal in all components are indexed as their k + 1
     smallest ids, which loses no answer, so no leaf fills up with copies.
@@ -149,6 +153,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: i
         return spark.createDataFrame([], schema)
     forest = fit(_matrix(rows.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0)), trees=trees, leaf=leaf)
     scale, width = n / forest.rows.sum() * trees, forest.directions.shape[1]
+    budget = max(budget, share * n)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +162,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: i
                 yield pa.record_batch([pa.array(leaves.ravel()), batch.column(0).take(np.repeat(np.arange(len(leaves)), trees)), batch.column(1).take(np.repeat(np.arange(len(leaves)), trees))], names=["leaf", "vec_id", "embedding"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
                 visits = [forest.visit(q, budget, scale) for q in _matrix(batch.column(1))]
                 row = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
                 yield pa.record_batch([pa.array(np.concatenate(visits).astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], names=["leaf", "vec_id", "embedding"])

@@ -311,6 +311,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(e.where("vec_id > 900 and vec_id < 905"), e).count() == 0
 
 
+def test_neighbours_budget_grows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(e, e.where("vec_id % 100 = 0"), budget=800, sample=500).collect()  # as far below the rows as the default is on 250,000
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 600
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit/terms"].split()
     cut_ = " ".join([*mit[:30], "EDITED", *mit[31:]])
