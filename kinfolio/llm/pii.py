@@ -177,7 +177,7 @@ def normalised(text: str) -> tuple[str, list[int], list[int]]:
 def spans(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, plain) of all personal data. Plain spans are those of
     ``plain_spans``; the others come from the normalised text, are mapped back
-    to the source, and overlap no plain span of their kind."""
+    to the source, and lie within no plain span of their kind; they can hold one."""
     base = plain_spans(text)
     found = [(*s, True) for s in base]
     if disguised(text):
@@ -185,7 +185,7 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
         if plain != text:
             for kind, a, b in plain_spans(plain):
                 s, e = starts[a], ends[b - 1]
-                if plain[a:b] != text[s:e] and not any(k == kind and s < y and x < e for k, x, y in base):
+                if plain[a:b] != text[s:e] and not any(k == kind and x <= s and e <= y for k, x, y in base):
                     found.append((kind, s, e, False))
     return sorted(found)
 
@@ -215,7 +215,8 @@ def digest(pii: Column) -> Column:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """``documents`` with every span of its text replaced by its kind in brackets."""
+    """``documents`` with every span of its text replaced by its kind in brackets;
+    of spans that overlap, all is replaced by the kind of the first."""
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
@@ -226,7 +227,7 @@ def redact(documents: DataFrame) -> DataFrame:
             for kind, s, e, _ in sorted(spans(t), key=lambda x: (x[1], -x[2])):
                 if s >= at:
                     out += [t[at:s], f"[{KINDS[kind]}]"]
-                    at = e
+                at = max(at, e)
             return "".join([*out, t[at:]])
 
         return pa.array([one(t) for t in texts.to_pylist()], pa.string())

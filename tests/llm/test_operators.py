@@ -260,6 +260,15 @@ def test_personal_data(spark):
     assert pii.redact(documents(spark, [(1, "to a@b.cd, bye")])).first()["text"] == "to [email], bye"
 
 
+def test_disguise_on_one_side(spark):
+    texts = ["аlice@example.com", "jоhn.doe@example.com", "user@mail.exаmple.com", "bob dot smith@example.com"]
+    for t in texts:
+        found = pii.spans(f"to {t}, bye")
+        assert (0, 3, 3 + len(t), False) in found and [s[:3] for s in found if s[3]] == plain(f"to {t}, bye")
+    d = documents(spark, [(i, f"to {t}, bye") for i, t in enumerate(texts)])
+    assert {r["text"] for r in pii.redact(d).collect()} == {"to [email], bye"}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
