@@ -33,9 +33,6 @@ DIGIT_WORDS = {
 }
 
 
-_DIGIT_WORDS = frozenset(DIGIT_WORDS)
-
-
 def _one_to_one() -> dict[int, str | None]:
     """What a character stands for: lookalikes, then full-width forms, letters
     and digits of mathematics and digits in circles by their compatibility forms."""
@@ -58,19 +55,20 @@ _GROUP = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+_OPEN, _CLOSE = r"(?:(?<!\s)\s+)?[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT, _DOT = r"(?:at|arroba|chez)", r"(?:dot|punkt|punto|point)"
 _DIGITS = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + ")"
 #: Bracketed and spaced-out forms, bare words where an address follows, and runs of spelled digits.
 _DISGUISED = re.compile(
     rf"(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE}|(?<=[a-z0-9])\s+@\s+(?=[a-z0-9])|(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|{_OPEN}{_DOT}{_CLOSE})[a-z]))"
     rf"|(?P<dot>{_OPEN}(?:{_DOT}|\.){_CLOSE}|(?<=[a-z0-9])\s+(?:dot|\.)\s+(?=[a-z0-9]))"
-    rf"|(?P<run>(?<!\w)(?:plus\s+)?{_DIGITS}(?!\w)(?:[\s,-]+(?:(?:dot|punkt|punto|point)\s+)?(?:{_DIGITS}|[0-9]+)(?!\w)){{3,}})",
+    rf"|(?P<run>(?<!\w)(?:plus\s+)?{_DIGITS}(?!\w)(?:[\s,-]+(?:(?:dot|punkt|punto|point)\s+)?(?:{_DIGITS}|[0-9]+)(?!\w))*)",
     re.I,
 )
 _RUN_PART = re.compile(rf"(?<!\w)(?:(?P<plus>plus)|(?P<point>dot|punkt|punto|point)|(?P<word>{_DIGITS})|(?P<digits>[0-9]+))(?!\w)", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|arroba|chez|punkt|punto|point)", re.I)
 _BARE = re.compile(r"\s(?:dot|@|\.)\s", re.I)
+_SPELLED = re.compile(rf"(?<!\w){_DIGITS}(?!\w)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -123,14 +121,7 @@ def disguised(text: str) -> bool:
         return True
     if any(c in text for c in "[({<") and _BRACKETED.search(text):
         return True
-    low = text.lower()
-    if ("dot" in low or " @" in text or " ." in text or "\n@" in text or "\n." in text) and _BARE.search(text):
-        return True
-    tokens = low.replace(",", " ").replace("-", " ").split()
-    if _DIGIT_WORDS.isdisjoint(tokens):
-        return False
-    at = [i for i, w in enumerate(tokens) if w.strip(".;:!?()[]\"'") in _DIGIT_WORDS]
-    return sum(b - a <= 2 for a, b in zip(at, at[1:], strict=False)) >= 3
+    return bool(_BARE.search(text) or _SPELLED.search(text))
 
 
 def normalised(text: str) -> tuple[str, list[int], list[int]]:
@@ -156,11 +147,8 @@ def normalised(text: str) -> tuple[str, list[int], list[int]]:
 
     for m in _DISGUISED.finditer(plain):
         if m.lastgroup == "run":
-            parts = [*_RUN_PART.finditer(plain, m.start(), m.end())]
-            if sum(p.lastgroup == "word" for p in parts) < 4:
-                continue
             copy(m.start())
-            for p in parts:
+            for p in _RUN_PART.finditer(plain, m.start(), m.end()):
                 if p.lastgroup == "digits":
                     for k in range(p.start(), p.end()):
                         put(plain[k], k, k + 1)

@@ -269,6 +269,18 @@ def test_disguise_on_one_side(spark):
     assert {r["text"] for r in pii.redact(d).collect()} == {"to [email], bye"}
 
 
+def test_spelled_digits_among_digits():
+    for t, kind in [
+        ("plus one 415 five 5 5 two 6 7 one", 3), ("+1 415 five five five 2671", 3), ("192.168.one.one", 1), ("192 dot 168 dot zero dot one", 1),
+        ("4111 1111 1111 one one one one", 2), ("plus one four one five 5552671", 3),
+    ]:
+        for text in (f"call {t} now", f"({t})", f"x:{t}."):
+            at = text.index(t)
+            assert pii.disguised(text) and (kind, at, at + len(t), False) in pii.spans(text), text
+    assert pii.spans("one of two, 12 or five 5 at 10.0.0 dot") == []
+    assert pii.spans("host 10.0.0.4 five times") == [(1, 5, 13, True)]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
