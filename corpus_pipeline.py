@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of two or more lines; documents of which nothing is left go."""
+    """Texts without later repeats of lines, single ones too; documents of which nothing is left go."""
     return lines.stage(docs)
 
 

@@ -97,10 +97,11 @@ def _disjoint(runs: Column) -> Column:
     return F.aggregate(runs, F.array().cast(kind), add)
 
 
-def stage(documents: DataFrame) -> DataFrame:
+def stage(documents: DataFrame, *, window: int = 1) -> DataFrame:
     """Documents with their kept text, without those of which no filled line is
-    left though some were there; columns as they were, n_chars counted anew."""
-    d = dedup_lines(documents).where("n_removed = 0 or n_removed < n_lines").withColumn("text", F.col("kept_text"))
+    left though some were there; columns as they were, n_chars counted anew. By
+    default every line that stands earlier goes, with or without equal neighbours."""
+    d = dedup_lines(documents, window=window).where("n_removed = 0 or n_removed < n_lines").withColumn("text", F.col("kept_text"))
     if "n_chars" in documents.columns:
         d = d.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return d.select(*documents.columns)

@@ -102,6 +102,17 @@ def test_line_dedup(spark, mess):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_line_stage_drops_single_lines(spark, mess):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [r for r in dict(mess).items() if r[0] is not None] + [(70, f"a\n{long}\nb"), (71, f"c\n\n{long} \nd"), (72, long), (73, "a\nb"), (74, "e\ne"), (75, "one line alone")]
+    got = {r["doc_id"]: r["text"] for r in lines.stage(documents(spark, rows)).collect()}
+    want = {i: x for i, x in brute_lines(rows, 1).items() if x[1] == 0 or x[1] < x[0]}
+    assert got.keys() == want.keys() and not {72, 73} & got.keys()
+    assert got[71] == "c\n\nd" and got[74] == "e" and got[75] == "one line alone"
+    for i, t in got.items():
+        assert [s for s in (y.strip() for y in (t or "").split("\n")) if s] == want[i][2]
+
+
 def test_substrings(spark, mess, monkeypatch):
     rows = [r for r in mess if r[0] is not None]
     first, out = {}, {}
