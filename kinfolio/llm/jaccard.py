@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..plans.joins import join_counted
 from ..plans.lineage import cut
-from .common import flat_lists, mixed, only, rolled, slices, table, words
+from .common import flat_lists, fresh, mixed, only, rolled, slices, table, words
 
 #: Words that a worker handles at once.
 CHUNK = 1 << 20
@@ -321,10 +321,17 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
 
 
 def stage(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that with the least doc_id; documents
-    without words or id stay. Columns as they were."""
-    s = similar(documents, shingle=shingle, percent=percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(s, "doc_id", "left_anti").select(*documents.columns)
+    """One row of each component, that with the least doc_id (null last), then
+    the least hash of its text, then the first; rows without words stay. Ids can
+    repeat or be null: rows are numbered and compared as such. Columns as they were."""
+    row = fresh(documents, "row")
+    rows = cut(documents.withColumn(row, F.monotonically_increasing_id()), "jaccard-stage")
+    s = similar(rows.select(F.col(row).alias("doc_id"), "text"), shingle=shingle, percent=percent).where("n_shingles > 0")
+    s = cut(s.select(F.col("doc_id").alias(row), "component_id"), "jaccard-components")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), row)
+    placed = rows.select(row, place.alias("place")).join(s, row)
+    firsts = placed.groupBy("component_id").agg(F.min("place").alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(s.select(row).join(firsts, row, "left_anti"), row, "left_anti").select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,18 @@ def test_jaccard_join(spark, mess, monkeypatch):
     assert jaccard.similar(documents(spark, [])).count() == 0
 
 
+def test_jaccard_stage_repeated_ids(spark):
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, t), (1, t), (2, t), (None, t), (None, u), (None, u), (3, None), (3, None), (None, ""), (5, u + " x"), (5, "alone here"), (2, "another text")]
+    d = documents(spark, rows).withColumn("row", F.lit(7)).repartition(3)
+    got = jaccard.stage(d)
+    assert got.columns == d.columns
+    left = sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
+    assert left == sorted(map(lambda r: (str(r[0]), str(r[1])), [(1, t), (3, None), (3, None), (None, ""), (5, u + " x"), (5, "alone here"), (2, "another text")]))
+    only_null = jaccard.stage(documents(spark, [(None, t), (None, t)]))
+    assert only_null.count() == 1 and jaccard.stage(documents(spark, [])).count() == 0
+
+
 def test_fingerprints(spark, mess):
     d = documents(spark, mess).withColumn("part", F.lit("clash"))
     got = merkle.edited_likeness(d).collect()
