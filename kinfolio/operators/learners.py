@@ -32,6 +32,10 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(F.array(F.regexp_replace(F.lower(text), r"\s+", " ")), lambda t: F.concat(*(of(t, n) for n in range(low, high + 1)))))
 
 
+#: The surveyed models: terms, C, most features.
+MODELS = {"word": (word_terms, 0.3, 120_000), "char": (char_terms, 1.0, 160_000)}
+
+
 def tfidf(train: DataFrame, frames: list[DataFrame], terms, *, least_documents: int = 3, most_features: int = 120_000) -> list[DataFrame]:
     """Frames (pair_id, response1, response2, ...) with x, the difference of the two
     responses' vectors and a constant. Counts are 1 + log, weights
@@ -60,7 +64,8 @@ def tfidf(train: DataFrame, frames: list[DataFrame], terms, *, least_documents:
     def counted(d: DataFrame, column: str, out: str) -> DataFrame:
         return model.transform(d.withColumn("terms", terms(F.col(column)))).withColumnRenamed("counts", out).drop("terms")
 
-    return [counted(counted(f, "response1", "c1"), "response2", "c2").withColumn("x", difference("c1", "c2")).drop("c1", "c2") for f in frames]
+    # written first: a Python function over the character terms can't be planned
+    return [cut(counted(counted(f, "response1", "c1"), "response2", "c2"), "learner-counts").withColumn("x", difference("c1", "c2")).drop("c1", "c2") for f in frames]
 
 
 def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, *, c: float = 1.0, iterations: int = 100, **how) -> DataFrame:

@@ -516,11 +516,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- learners and report tables
 
 
-@_query("sparse_learner")
-def _(spark: SparkSession, d: str) -> DataFrame:
+def _learned(spark: SparkSession, d: str, model: str) -> DataFrame:
     r = t._documents(spark, d).where("first <> '' and last <> ''").select("record_id", "split", orient(F.col("record_id"), F.col("last"), F.col("first")).alias("p"))
     pairs = r.select(F.col("record_id").alias("pair_id"), "split", "p.response1", "p.response2", (F.col("p.overall_preference") > 0).cast("int").alias("label"))
-    return learners.fit_predict(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), c=1.0, iterations=20, least_documents=3, most_features=20_000)
+    terms, c, most = learners.MODELS[model]
+    return learners.fit_predict(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), terms, c=c, iterations=1500, least_documents=3, most_features=most)
+
+
+@_query("sparse_learner")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _learned(spark, d, "word")
+
+
+@_query("sparse_learner_char")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _learned(spark, d, "char")
 
 
 _ANY = ORACLES["exposure_same_any_view"]

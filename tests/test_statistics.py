@@ -129,6 +129,18 @@ def test_learner_prefers_the_marked_word(spark):
     assert all((r["margin"] > 0) == (r["label"] == 1) for r in p)
 
 
+def test_registered_learners_are_the_surveyed_ones(spark, monkeypatch):
+    from kinfolio import registry
+    from kinfolio.operators import learners
+
+    asked = []
+    monkeypatch.setattr(learners, "fit_predict", lambda train, evaluation, terms=learners.word_terms, **how: asked.append((terms, how)))
+    for name in ("sparse_learner", "sparse_learner_char"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    same = {"iterations": 1500, "least_documents": 3}
+    assert asked == [(learners.word_terms, {"c": 0.3, "most_features": 120_000} | same), (learners.char_terms, {"c": 1.0, "most_features": 160_000} | same)]
+
+
 def test_streaming_exposure(spark, tmp_path):
     from kinfolio.streaming.exposure import exposed_stream
 
