@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes."""
+"""Line dedup by exact hashes of windows of lines."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, only, table
 
-#: Lines in the winnowing window: any repeated run of so many lines is found.
+#: Lines in a window: any repeated run of so many lines is found.
 WINDOW = 2
 BLANKS = " \t\r\x0b\x0c"
 
@@ -20,11 +20,9 @@ def filled_lines(text: Column) -> Column:
 def repeated_runs(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """Runs of ``window`` or more filled lines that stand earlier already.
 
-    The order of lines is (doc_id, hash of the text, line). The least line hash
-    of each window is its fingerprint; every window selects one, so two equal
-    runs of ``window`` lines always share one. Positions are joined on the
-    fingerprint together with the hash of the window around it, each with the
-    earliest of its kind alone: a line that a third of all documents hold makes
+    The order of lines is (doc_id, hash of the text, line). Every window takes
+    part, joined on the hash of all its lines (its least line hash goes along and
+    decides nothing), each with the earliest of its kind alone: a line that a third of all documents hold makes
     one row a position, never pairs. Matches that go on along one diagonal are
     chained both ways into runs.
 
