@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -18,23 +18,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round links every node to the least of its neighbours (large star),
     then hangs its smaller neighbours below that one (small star), as in
     Kiveris et al., SoCC 2014. A round is two grouped minima, summed before they
-    are shuffled, and two joins whose hot side can be split; it is written to
-    the shared folder, so a lost executor costs one round at most. Edges with a
+    are shuffled, and two joins whose hot side can be split; it is one job, written
+    to the shared folder, so a lost executor costs one round at most. Edges with a
     null end and loops link nothing. Without edges the result is empty.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = cut(e, "components")
-    state = None
+
+    def written(e: DataFrame) -> tuple[DataFrame, dict]:
+        """``e`` in the shared folder, with its count and hash as of that writing."""
+        seen = Observation()
+        return cut(e.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("all")), "components"), seen.get
+
+    e, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(MOST_ROUNDS):
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
+        if not state["n"]:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "components")
-    raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
+        before, (e, state) = state, written(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        if state == before:
+            break
+    else:
+        raise RuntimeError(f"components didn't settle in {MOST_ROUNDS} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
