@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +100,66 @@ def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Bytes of text that are hashed at once.
+SEGMENT = 1 << 18
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_CODE = np.where(_BLANK, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
+_FOLDED = _CODE.copy()
+_FOLDED[65:91] = _CODE[97:123]
+_BASE = 0xC2B2AE3D27D4EB4F
+_POWERS = np.cumprod(np.full(SEGMENT, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
+_INVERSES = np.cumprod(np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow column of texts (null: none) and where each text starts and ends in them."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, at, data = texts.buffers()
+    bounds = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) else np.int32, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of an Arrow column of texts, and row offsets.
+
+    A word's hash is a polynomial in the codes of its bytes, summed over the
+    column's buffer in one go; blanks have code 0. ``fold`` gives A to Z the codes
+    of a to z. Memory is a few times SEGMENT beside the texts and the result."""
+    data, bounds = text_bytes(texts)
+    blank = _BLANK[data]
+    opens = np.append(True, blank[:-1])[: len(blank)]
+    opens[bounds[:-1][bounds[:-1] < len(data)]] = True
+    starts = np.flatnonzero(opens & ~blank)
+    del opens, blank
+    code, out, i = _FOLDED if fold else _CODE, np.empty(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while i < len(starts):
+            a = starts[i]
+            j = max(i + 1, int(np.searchsorted(starts, a + SEGMENT)))
+            b = starts[j] if j < len(starts) else len(data)
+            if b - a > SEGMENT and j > i + 1:
+                j -= 1
+                b = starts[j]
+            if b - a <= SEGMENT:
+                at = starts[i:j] - a
+                out[i:j] = np.add.reduceat(code[data[a:b]] * _POWERS[: b - a], at) * _INVERSES[at]
+            else:  # one word, longer than a segment
+                total, scale = np.uint64(0), np.uint64(1)
+                for s in range(a, b, SEGMENT):
+                    part = code[data[s : min(b, s + SEGMENT)]]
+                    total, scale = total + scale * (part * _POWERS[: len(part)]).sum(dtype=np.uint64), scale * _POWERS[-1] * np.uint64(_BASE)
+                out[i] = total
+            i = j
+        return mixed(out), np.searchsorted(starts, bounds)
+
+
+def by_row_and(token: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order of few rows' tokens by row, then token; twice as fast as lexsort."""
+    order = np.argsort(token)
+    if len(row) and row[-1] < 1 << 16:
+        return order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    return np.lexsort((token, row))

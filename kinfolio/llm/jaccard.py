@@ -10,36 +10,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..plans.joins import join_counted
 from ..plans.lineage import cut
-from .common import flat_lists, fresh, mixed, only, rolled, slices, table, words
+from .common import by_row_and, fresh, mixed, only, rolled, slices, table, word_hashes
 
 #: Words that a worker handles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Width of the table of frequencies, which bounds it: a byte each.
 SKETCH = 1 << 20
 #: From this logarithm of its count on, an n-gram is known to be shared and is dealt out by set as well.
 HOT = 10
-#: Sets of each bucket that all others are compared with first; rows of a block in which all pairs are.
-PIVOTS, BLOCK = 4, 2048
+#: Sets of a bucket of which all pairs are tried at once; of a larger one, sets that
+#: all others are compared with first, and rows of a block in which all pairs are.
+SMALL, PIVOTS, BLOCK = 8, 4, 1024
+#: Partners whose texts are compared with one pivot's in one go.
+PARTNERS = 128
+#: 64-bit words of the table that tells which texts are asked for, which bounds it.
+ASKED = 1 << 20
 _BITS = [f"bits{i}" for i in range(4)]
-_ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _hashes(text: Column) -> Column:
-    """Word hashes after A to Z are lower-cased, and no other letters."""
-    text = F.coalesce(text, F.lit(""))
-    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, *_ASCII))
-    return F.transform(words(low), lambda w: F.xxhash64(w))
-
-
-def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple]:
+def _sets(texts: pa.Array, k: int) -> Iterator[tuple]:
     """Of some rows at a time: rows from a to b, their sets' n-grams (sorted
-    hashes, one set after the other), the row of each and the sizes."""
-    h, offsets = flat_lists(batch.column(column))
+    hashes, one set after the other), the row of each and the sizes. A to Z are
+    lower-cased, and no other letters."""
+    h, offsets = word_hashes(texts, fold=True)
     lengths = np.diff(offsets)
     for a, b in slices(lengths, CHUNK):
-        x, n = h[offsets[a] : offsets[b]].view(np.uint64), lengths[a:b]
+        x, n = h[offsets[a] : offsets[b]], lengths[a:b]
         begin = offsets[a:b] - offsets[a]
         tokens, rows = [], []
         if len(x) >= k:
@@ -52,7 +49,10 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[tuple]:
             rows.append(np.array([r]))
         if tokens:
             token, row = np.concatenate(tokens), np.concatenate(rows)
-            order = np.lexsort((token, row))
+            if len(tokens) > 1:
+                order = np.argsort(row, kind="stable")
+                token, row = token[order], row[order]
+            order = by_row_and(token, row)
             token, row = token[order], row[order]
             new = np.append(True, (token[1:] != token[:-1]) | (row[1:] != row[:-1]))
             token, row = token[new], row[new]
@@ -75,14 +75,14 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     """A row for each document: its set's name, size and parity bitmap; and for
     n-grams that several sets of a chunk hold, their places in the table of
     frequencies and counts (kind 1)."""
-    names = ["kind", "id", "name", "size", *_BITS]
+    names = ["kind", "id", "text_hash", "name", "size", *_BITS]
     for batch in batches:
-        for a, b, token, row, size in _sets(batch, 1, k):
+        for a, b, token, row, size in _sets(batch.column(2), k):
             name = _names(token, row, size)
             bit = (token >> np.uint64(56)).astype(np.int64)
             odd = (np.bincount(row * 256 + bit, minlength=256 * (b - a)) & 1).astype(np.uint8).reshape(-1, 256)
             bits = np.packbits(odd, axis=1).view(np.int64)
-            yield pa.record_batch([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array(name), pa.array(size), *(pa.array(bits[:, i].copy()) for i in range(4))], names=names)
+            yield pa.record_batch([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(name), pa.array(size), *(pa.array(bits[:, i].copy()) for i in range(4))], names=names)
             _, once = np.unique(name, return_index=True)  # copies count once
             mask = np.zeros(b - a, bool)
             mask[once] = True
@@ -94,13 +94,13 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 place, count = place[order], count[order]
                 first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 nulls = pa.nulls(len(first), pa.int64())
-                yield pa.record_batch([pa.array(np.ones(len(first), np.int8)), pa.array(place[first]), nulls, pa.array(np.maximum.reduceat(count, first)), nulls, nulls, nulls, nulls], names=names)
+                yield pa.record_batch([pa.array(np.ones(len(first), np.int8)), pa.array(place[first]), nulls, nulls, pa.array(np.maximum.reduceat(count, first)), nulls, nulls, nulls, nulls], names=names)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The rarest n-grams of each set, as many as a partner must share one of."""
     for batch in batches:
-        for _, _, token, row, size in _sets(batch, 0, k):
+        for _, _, token, row, size in _sets(batch.column(0), k):
             name = _names(token, row, size)
             _, once = np.unique(name, return_index=True)
             mask = np.zeros(len(size), bool)
@@ -111,7 +111,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, often: np
             if not len(token):
                 continue
             freq = often[(mixed(token) & np.uint64(SKETCH - 1)).astype(np.int64)]
-            order = np.lexsort((token, freq, row))
+            order = np.argsort(row * 64 + freq, kind="stable")  # tokens rise within a row already
             token, freq = token[order], freq[order]
             start = np.searchsorted(row, np.arange(len(size)))
             pos = np.arange(len(row)) - start[row]
@@ -120,37 +120,72 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, often: np
             yield pa.record_batch([pa.array(token[head].view(np.int64)), pa.array(name[r]), pa.array(size[r].astype(np.int32)), pa.array(pos[head].astype(np.int32)), pa.array(freq[head] >= HOT)], names=["token", "name", "size", "pos", "hot"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and name, one of each, and only tokens that
-    several sets hold. Only the last row is carried on, and whether it is out."""
-    held, out_already = None, False
+_BUCKETED = "token long, a long, b long, size int, pos int"
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token and name: of buckets of 2 to SMALL sets all pairs
+    that pass the length and positional filters (a, b); of larger ones, and of
+    those that are dealt out, each set once (token, a, size, pos). What is
+    carried from batch to batch is one bucket of SMALL sets at most."""
+    none = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)]
+    held, large, last = none, None, None  # rows of a bucket that goes on; the token of one that is large, and the last name out of it
+
+    def settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, name, size, pos, hot = rows
+        if not len(token):
+            return
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        n = np.diff(np.append(first, len(token)))
+        lefts, rights = [], []
+        for width in range(2, SMALL + 1):
+            at = first[(n == width) & ~hot[first]]
+            for i in range(width - 1):
+                for j in range(i + 1, width):
+                    if len(at):
+                        x, y = at + i, at + j
+                        s, t = size[x].astype(np.int64), size[y].astype(np.int64)
+                        need = -(-percent * (s + t) // (100 + percent))
+                        ok = (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (np.minimum(s - pos[x], t - pos[y]) >= need)
+                        lefts.append(name[x][ok])
+                        rights.append(name[y][ok])
+        if lefts:
+            both = np.unique(np.column_stack((np.concatenate(lefts), np.concatenate(rights))), axis=0)
+            nulls = pa.nulls(len(both))
+            yield pa.record_batch([nulls.cast(pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), nulls.cast(pa.int32()), nulls.cast(pa.int32())], names=["token", "a", "b", "size", "pos"])
+        yield from spread([c[np.repeat((n > SMALL) | hot[first], n)] for c in rows])
+
+    def spread(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(rows[0]):
+            yield pa.record_batch([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[2]), pa.array(rows[3])], names=["token", "a", "b", "size", "pos"])
+
     for batch in batches:
-        if not batch.num_rows:
+        rows = [np.concatenate((h, batch.column(i).to_numpy(zero_copy_only=False))) for i, h in enumerate(held)]
+        new = np.append(True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) if len(rows[0]) else np.empty(0, bool)
+        rows = [c[new] for c in rows]
+        if large is not None and len(rows[0]):  # the bucket that was large goes on
+            end = int(np.searchsorted(rows[0], large, side="right"))
+            go_on = [c[:end] for c in rows]
+            if end and go_on[1][0] == last:
+                go_on = [c[1:] for c in go_on]
+            if len(go_on[0]):
+                last = go_on[1][-1]
+            yield from spread(go_on)
+            if end == len(rows[0]):
+                held = none
+                continue
+            rows, large = [c[end:] for c in rows], None
+        if not len(rows[0]):
+            held = none
             continue
-        batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if held is not None else batch
-        token, name, hot = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
-        same = np.append(False, token[1:] == token[:-1])
-        new = ~np.append(False, (token[1:] == token[:-1]) & (name[1:] == name[:-1]))
-        differs = same & new  # another set than the row above, same token
-        run = np.cumsum(~same) - 1
-        several = np.zeros(run[-1] + 1, bool)
-        several[run[differs]] = True
-        keep = new & (several[run] | hot)
-        if held is not None:
-            if out_already:
-                keep[0] = False
-                keep |= new & same & (run == 0)
-            elif several[0]:
-                keep[0] = True
-        last_out = bool(keep[-1]) or (held is not None and len(token) == 1 and out_already)
-        if not last_out:  # a copy of the row above that is out counts as out
-            i = len(token) - 1
-            while i > 0 and not new[i]:
-                i -= 1
-            last_out = bool(keep[i]) or (i == 0 and held is not None and out_already)
-        held, out_already = batch.slice(len(token) - 1), last_out
-        if keep.any():
-            yield batch.filter(pa.array(keep))
+        at = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from settled([c[:at] for c in rows])
+        held = [c[at:] for c in rows]
+        if len(held[0]) > SMALL:
+            large, last = held[0][-1], held[1][-1]
+            yield from spread(held)
+            held = none
+    yield from settled(held)
 
 
 def _passes(a: str, b: str, percent: int) -> Column:
@@ -211,31 +246,32 @@ def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The links among pairs, from rows sorted by pair: a, b, the name that the
-    row's set must have, and its word hashes."""
-    open_: tuple | None = None  # pair, and the sets by name seen of it
+    """The links among pairs, from rows sorted by pivot, part and whether the
+    row is a partner: pivot, name (that the row's set must have), partner, text."""
+    open_, held = None, np.empty(0, np.uint64)  # pivot, and its set once it is known
     for batch in batches:
-        a, b, wanted = (batch.column(i).to_pylist() for i in range(3))
+        pivot, name, partner = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         links = []
-        for lo, hi, token, row, size in _sets(batch, 3, k):
-            name, ends = _names(token, row, size), np.concatenate(([0], np.cumsum(size)))
-            for r in range(lo, hi):
-                if name[r - lo] != wanted[r]:
-                    continue
-                if open_ is None or open_[0] != (a[r], b[r]):
-                    open_ = ((a[r], b[r]), {})
-                seen = open_[1]
-                if wanted[r] not in seen and len(seen) < 2:
-                    seen[wanted[r]] = token[ends[r - lo] : ends[r - lo + 1]]
-                    if len(seen) == 2:
-                        x, y = seen.values()
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            links.append((a[r], b[r]))
+        for lo, hi, token, row, size in _sets(batch.column(3), k):
+            found, ends = _names(token, row, size), np.concatenate(([0], np.cumsum(size)))
+            for r in np.flatnonzero(found == name[lo:hi]).tolist():
+                own = token[ends[r] : ends[r + 1]]
+                if not partner[lo + r]:
+                    open_, held = pivot[lo + r], own
+                elif open_ == pivot[lo + r]:
+                    at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+                    both = int((held[at] == own).sum())
+                    if 100 * both >= percent * (len(own) + len(held) - both):
+                        links.append((open_, name[lo + r]))
         if links:
             yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text. A row's key is its id and the hash of its text."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+
+
 def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id and component_id of every document.
 
@@ -250,13 +286,15 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
        sets of a chunk of words share are counted in a table of fixed width.
     2. N-grams are ordered by that table, rare ones first, then by hash. Each
        set moves its first size - ceil(percent * size / 100) + 1; sets that link
-       share one of these. N-grams of one set alone are dropped.
-    3. In each bucket the sets with the fewest rarer n-grams are pivots. All
-       others that pass the length, positional and suffix filters are paired
-       with them, pairs are made distinct and verified on the whole texts.
-    4. Components of these links. Pairs of each bucket whose components differ
-       and that pass the filters are verified next: large groups of near copies
-       are one component by now, so few are left. Buckets are cut into blocks
+       share one of these. Buckets of one set are dropped. In those of up to
+       SMALL sets all pairs pass the length and positional filters.
+    3. In larger buckets the PIVOTS sets of least name, mostly the same sets in
+       all buckets of a group, are paired with all others. Pairs of both kinds
+       are made distinct, pass the filter by bitmaps and are verified on the whole
+       texts: a pivot's text meets PARTNERS partners in one go.
+    4. Components of these links. Pairs of each larger bucket whose components
+       differ and that pass the filters are verified next: large groups of near
+       copies are one component by now, so few are left. Buckets are cut into blocks
        of BLOCK rows, and pairs of blocks are dealt out, so none meets in one task.
 
     Null texts have no words. Rows that repeat an id are rows of the result each;
@@ -264,60 +302,88 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
     where no id is reached). An empty table gives an empty result. Hashes have 64 bits.
     """
     docs = only(documents)
-    texts = docs.select("doc_id", _hashes(F.col("text")).alias("h"))
-    schema = "kind byte, id long, name long, size long, " + ", ".join(f"{c} long" for c in _BITS)
-    described = cut(texts.mapInArrow(lambda b: _describe(b, shingle), schema), "jaccard-sets")
+    schema = "kind byte, id long, text_hash long, name long, size long, " + ", ".join(f"{c} long" for c in _BITS)
+    described = cut(_keyed(docs).mapInArrow(lambda b: _describe(b, shingle), schema), "jaccard-sets")
     often = np.zeros(SKETCH, np.uint8)
     counts = described.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).toArrow()  # SKETCH rows at most
     often[counts.column("id").to_numpy()] = np.ceil(np.log2(counts.column("n").to_numpy())).astype(np.uint8)
-    sets = described.where("kind = 0").select(F.col("id").alias("doc_id"), "name", "size", *_BITS)
-    classes = sets.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("class_id"), *(F.first(c).alias(c) for c in ("size", *_BITS)))
-    classes = cut(classes, "jaccard-classes")
+    sets = described.where("kind = 0").select(F.col("id").alias("doc_id"), "text_hash", "name", "size", *_BITS)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = sets.where("size > 0").groupBy("name").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("size", *_BITS)))
+    classes = cut(classes.select("name", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("text_hash"), F.col("size").cast("int"), *_BITS), "jaccard-classes")
 
-    rows = texts.select("h").mapInArrow(lambda b: _prefixes(b, shingle, percent, often), "token long, name long, size int, pos int, hot boolean")
+    rows = docs.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, often), "token long, name long, size int, pos int, hot boolean")
     rows = rows.repartition("token", F.when(F.col("hot"), F.col("name"))).sortWithinPartitions("token", "name")
-    rows = rows.mapInArrow(_shared, "token long, name long, size int, pos int, hot boolean").select("token", "name", "size", "pos")
-    rows = cut(rows.join(classes.select("name", *_BITS), "name"), "jaccard-rows")
-
-    first = Window.partitionBy("token").orderBy("pos", "size", "name")
-    pivots = cut(rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS), "jaccard-pivots")
-    x, p = rows.alias("x"), pivots.alias("p")
-    after = F.struct("x.pos", "x.size", "x.name") > F.struct("p.pos", "p.size", "p.name")
-    pairs = x.join(p, F.col("x.token") == F.col("p.token")).where(after & _passes("x", "p", percent))
-    pairs = cut(pairs.select(F.least("x.name", "p.name").alias("a"), F.greatest("x.name", "p.name").alias("b")).distinct(), "jaccard-pairs")
+    buckets = cut(rows.mapInArrow(lambda b: _buckets(b, percent), _BUCKETED), "jaccard-buckets")
+
+    wide = buckets.where("token is not null").select("token", F.col("a").alias("name"), "pos")
+    wide = cut(wide.join(classes.select("name", "size", *_BITS), "name"), "jaccard-wide")
+    first = Window.partitionBy("token").orderBy("name")
+    pivots = wide.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS).drop("nth")
+    x, p = wide.alias("x"), pivots.alias("p")
+    pairs = x.join(p, F.col("x.token") == F.col("p.token")).where((F.col("x.name") > F.col("p.name")) & _passes("x", "p", percent)).select(F.col("p.name").alias("a"), F.col("x.name").alias("b"))
+    pairs = _alike(buckets.where("b is not null").select("a", "b").distinct(), classes, percent).unionByName(pairs).distinct()
+    pairs = cut(pairs, "jaccard-pairs")
     links = _verify(docs, classes, pairs, shingle, percent)
 
     labels = connected_components(links)
-    mixed_rows = rows.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
-    mixed_rows = cut(mixed_rows, "jaccard-labelled")
-    buckets = mixed_rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    buckets = cut(buckets.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "jaccard-buckets")
-    blocks = mixed_rows.join(buckets, "token").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "name"), F.col("blocks")).cast("int"))
+    named = wide.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("component", "name")).drop("component")
+    named = cut(named, "jaccard-labelled")
+    open_ = named.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    open_ = open_.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = named.join(open_, "token").withColumn("own", F.pmod(F.xxhash64(F.lit(9), "name"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("token", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "name", F.col("size").cast("int"), "pos", "label", F.col("own").alias("side"), *_BITS)
+    blocks = blocks.select("token", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "name", "size", "pos", "label", F.col("own").alias("side"), *_BITS)
     blocks = blocks.repartition("token", "g1", "g2").sortWithinPartitions("token", "g1", "g2")
     rest = blocks.mapInArrow(lambda b: _crossing(b, percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = cut(rest, "jaccard-rest")
     if rest.count():
-        links = cut(links.unionByName(_verify(docs, classes, rest, shingle, percent)), "jaccard-links")
-        labels = connected_components(links)
-
-    names = cut(classes.select("name", "class_id").join(labels.withColumnRenamed("node", "name"), "name", "left"), "jaccard-labels")
-    found = names.groupBy(F.coalesce("component", "name").alias("component")).agg(F.min("class_id").alias("component_id"))
-    names = names.select("name", "class_id", F.coalesce("component", "name").alias("component")).join(found, "component").select("name", "class_id", "component_id")
-    out = sets.join(names.withColumnRenamed("name", "its"), F.col("name") == F.col("its"), "left")
+        more = _verify(docs, classes, rest, shingle, percent)
+        if more.count():
+            links = links.unionByName(more)
+            labels = connected_components(links)
+
+    names = classes.select("name", "class_id").join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "class_id", F.coalesce("component", "name").alias("component"))
+    names = cut(names, "jaccard-labels")
+    found = names.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    names = names.join(found, "component").select(F.col("name").alias("its"), "class_id", "component_id")
+    out = sets.join(names, F.col("name") == F.col("its"), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parity bitmaps allow."""
+    apart, total = F.lit(0), F.lit(0)
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("name").alias(end), F.col("size").alias(f"{end}.size"), *(F.col(c).alias(f"{end}.{c}") for c in _BITS)), end)
+        total = total + F.col(f"`{end}.size`")
+    for c in _BITS:
+        apart = apart + F.bit_count(F.col(f"`a.{c}`").bitwiseXOR(F.col(f"`b.{c}`")))
+    need = F.ceil(F.lit(percent) * total / F.lit(100 + percent) - F.lit(1e-9))
+    return pairs.where(apart <= total - 2 * need).select("a", "b")
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose whole texts link; only texts of sets in ``pairs`` move."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("name"))
-    ends = cut(ends.join(classes.select("name", "class_id"), "name"), "jaccard-ends")
-    asked = ends.select(F.col("class_id").alias("doc_id")).distinct()
-    texts = join_counted(docs, asked, ["doc_id"], F.col("doc_id"))
-    rows = texts.join(ends.withColumnRenamed("class_id", "cid"), F.col("doc_id").eqNullSafe(F.col("cid"))).select("a", "b", "name", "text")
-    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b").select("a", "b", "name", _hashes(F.col("text")).alias("h"))
-    return cut(rows.mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long"), "jaccard-links")
+    """The pairs whose whole texts link. Texts that no pair asks for are left
+    where they are, but for those that share a bit with one in a table of
+    ASKED words (beyond some 50 million texts asked for, most would); the others
+    move once, and then once for each pair, and for every PARTNERS pairs their pivot."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    of = classes.select("name", "class_id", F.col("text_hash").alias("its_hash"))
+    ends = dealt.select(F.col("a").alias("pivot"), "part", F.lit(True).alias("partner"), F.col("b").alias("name"))
+    ends = ends.unionByName(dealt.select(F.col("a").alias("pivot"), "part", F.lit(False).alias("partner"), F.col("a").alias("name")).distinct())
+    ends = cut(ends.join(of, "name"), "jaccard-ends")
+
+    place = lambda a, b: F.xxhash64(F.coalesce(a, F.lit(0)), b)
+    word = lambda h: F.shiftrightunsigned(h, 64 - ASKED.bit_length() + 1)
+    asked = ends.select(place("class_id", "its_hash").alias("h")).groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("mask"))
+    keyed = _keyed(docs).withColumn("h", place("doc_id", "text_hash"))
+    keyed = keyed.join(F.broadcast(asked), word(F.col("h")) == F.col("word")).where("shiftrightunsigned(mask, int(h & 63)) & 1 = 1")
+    texts = keyed.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    rows = ends.join(texts, F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("its_hash") == F.col("text_hash")))
+    rows = rows.select("pivot", "name", "partner", "text", "part").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "partner")
+    return cut(rows.drop("part").mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long"), "jaccard-links")
 
 
 def stage(documents: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
