@@ -71,18 +71,28 @@ def _names(token: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:
     return name.view(np.int64)
 
 
+def _parity(token: np.ndarray, row: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each set whether an odd number of its n-grams falls on each of 64 bits or
+    more, the next power of two above its size."""
+    width = 64 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(width)))
+    bit = ((token >> np.uint64(16)) & (width - 1).astype(np.uint64)[row]).astype(np.int64)
+    odd = (np.bincount(begin[row] + bit, minlength=begin[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((begin // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its set's name, size and parity bitmap; and for
-    n-grams that several sets of a chunk hold, their places in the table of
-    frequencies and counts (kind 1)."""
-    names = ["kind", "id", "text_hash", "name", "size", *_BITS]
+    """A row for each document: its set's name, size and parity bitmaps, one of 256
+    bits and one that grows with the set; and for n-grams that several sets of a chunk
+    hold, their places in the table of frequencies and counts (kind 1)."""
+    names = ["kind", "id", "text_hash", "name", "size", "parity", *_BITS]
     for batch in batches:
         for a, b, token, row, size in _sets(batch.column(2), k):
             name = _names(token, row, size)
             bit = (token >> np.uint64(56)).astype(np.int64)
             odd = (np.bincount(row * 256 + bit, minlength=256 * (b - a)) & 1).astype(np.uint8).reshape(-1, 256)
             bits = np.packbits(odd, axis=1).view(np.int64)
-            yield pa.record_batch([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(name), pa.array(size), *(pa.array(bits[:, i].copy()) for i in range(4))], names=names)
+            yield pa.record_batch([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(name), pa.array(size), _parity(token, row, size), *(pa.array(bits[:, i].copy()) for i in range(4))], names=names)
             _, once = np.unique(name, return_index=True)  # copies count once
             mask = np.zeros(b - a, bool)
             mask[once] = True
@@ -94,7 +104,7 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 place, count = place[order], count[order]
                 first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 nulls = pa.nulls(len(first), pa.int64())
-                yield pa.record_batch([pa.array(np.ones(len(first), np.int8)), pa.array(place[first]), nulls, nulls, pa.array(np.maximum.reduceat(count, first)), nulls, nulls, nulls, nulls], names=names)
+                yield pa.record_batch([pa.array(np.ones(len(first), np.int8)), pa.array(place[first]), nulls, nulls, pa.array(np.maximum.reduceat(count, first)), pa.nulls(len(first), pa.binary()), nulls, nulls, nulls, nulls], names=names)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -302,15 +312,15 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
     where no id is reached). An empty table gives an empty result. Hashes have 64 bits.
     """
     docs = only(documents)
-    schema = "kind byte, id long, text_hash long, name long, size long, " + ", ".join(f"{c} long" for c in _BITS)
+    schema = "kind byte, id long, text_hash long, name long, size long, parity binary, " + ", ".join(f"{c} long" for c in _BITS)
     described = cut(_keyed(docs).mapInArrow(lambda b: _describe(b, shingle), schema), "jaccard-sets")
     often = np.zeros(SKETCH, np.uint8)
     counts = described.where("kind = 1").groupBy("id").agg(F.sum("size").alias("n")).toArrow()  # SKETCH rows at most
     often[counts.column("id").to_numpy()] = np.ceil(np.log2(counts.column("n").to_numpy())).astype(np.uint8)
-    sets = described.where("kind = 0").select(F.col("id").alias("doc_id"), "text_hash", "name", "size", *_BITS)
+    sets = described.where("kind = 0").select(F.col("id").alias("doc_id"), "text_hash", "name", "size", "parity", *_BITS)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = sets.where("size > 0").groupBy("name").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("size", *_BITS)))
-    classes = cut(classes.select("name", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("text_hash"), F.col("size").cast("int"), *_BITS), "jaccard-classes")
+    classes = sets.where("size > 0").groupBy("name").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("size", "parity", *_BITS)))
+    classes = cut(classes.select("name", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("text_hash"), F.col("size").cast("int"), "parity", *_BITS), "jaccard-classes")
 
     rows = docs.select("text").mapInArrow(lambda b: _prefixes(b, shingle, percent, often), "token long, name long, size int, pos int, hot boolean")
     rows = rows.repartition("token", F.when(F.col("hot"), F.col("name"))).sortWithinPartitions("token", "name")
@@ -322,8 +332,8 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
     pivots = wide.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS).drop("nth")
     x, p = wide.alias("x"), pivots.alias("p")
     pairs = x.join(p, F.col("x.token") == F.col("p.token")).where((F.col("x.name") > F.col("p.name")) & _passes("x", "p", percent)).select(F.col("p.name").alias("a"), F.col("x.name").alias("b"))
-    pairs = _alike(buckets.where("b is not null").select("a", "b").distinct(), classes, percent).unionByName(pairs).distinct()
-    pairs = cut(pairs, "jaccard-pairs")
+    pairs = buckets.where("b is not null").select("a", "b").unionByName(pairs).distinct()
+    pairs = cut(_alike(pairs, classes, percent), "jaccard-pairs")
     links = _verify(docs, classes, pairs, shingle, percent)
 
     labels = connected_components(links)
@@ -336,7 +346,7 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
     blocks = blocks.select("token", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "name", "size", "pos", "label", F.col("own").alias("side"), *_BITS)
     blocks = blocks.repartition("token", "g1", "g2").sortWithinPartitions("token", "g1", "g2")
     rest = blocks.mapInArrow(lambda b: _crossing(b, percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = cut(rest, "jaccard-rest")
+    rest = cut(_alike(rest, classes, percent), "jaccard-rest")
     if rest.count():
         more = _verify(docs, classes, rest, shingle, percent)
         if more.count():
@@ -352,15 +362,28 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their parity bitmaps allow."""
-    apart, total = F.lit(0), F.lit(0)
+    """The pairs that pass the suffix filter: the sets can differ in no fewer n-grams
+    than their parity bitmaps do in bits, and in no more than similarity allows."""
     for end in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("name").alias(end), F.col("size").alias(f"{end}.size"), *(F.col(c).alias(f"{end}.{c}") for c in _BITS)), end)
-        total = total + F.col(f"`{end}.size`")
-    for c in _BITS:
-        apart = apart + F.bit_count(F.col(f"`a.{c}`").bitwiseXOR(F.col(f"`b.{c}`")))
-    need = F.ceil(F.lit(percent) * total / F.lit(100 + percent) - F.lit(1e-9))
-    return pairs.where(apart <= total - 2 * need).select("a", "b")
+        pairs = pairs.join(classes.select(F.col("name").alias(end), F.col("size").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart <= most))
+
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a long, b long")
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the wider one folded."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -370,18 +393,18 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
     move once, and then once for each pair, and for every PARTNERS pairs their pivot."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("parts"))
     dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    of = classes.select("name", "class_id", F.col("text_hash").alias("its_hash"))
+    key = lambda doc_id: F.xxhash64(F.coalesce(doc_id, F.lit(0)), "text_hash")
+    of = classes.select("name", key("class_id").alias("h"), "text_hash")
     ends = dealt.select(F.col("a").alias("pivot"), "part", F.lit(True).alias("partner"), F.col("b").alias("name"))
     ends = ends.unionByName(dealt.select(F.col("a").alias("pivot"), "part", F.lit(False).alias("partner"), F.col("a").alias("name")).distinct())
     ends = cut(ends.join(of, "name"), "jaccard-ends")
 
-    place = lambda a, b: F.xxhash64(F.coalesce(a, F.lit(0)), b)
-    word = lambda h: F.shiftrightunsigned(h, 64 - ASKED.bit_length() + 1)
-    asked = ends.select(place("class_id", "its_hash").alias("h")).groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("mask"))
-    keyed = _keyed(docs).withColumn("h", place("doc_id", "text_hash"))
-    keyed = keyed.join(F.broadcast(asked), word(F.col("h")) == F.col("word")).where("shiftrightunsigned(mask, int(h & 63)) & 1 = 1")
-    texts = keyed.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-    rows = ends.join(texts, F.col("class_id").eqNullSafe(F.col("doc_id")) & (F.col("its_hash") == F.col("text_hash")))
+    word = F.shiftrightunsigned("h", 64 - ASKED.bit_length() + 1)
+    asked = ends.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("mask"))
+    keyed = _keyed(docs).withColumn("h", key("doc_id")).withColumn("word", word)
+    keyed = keyed.join(F.broadcast(asked), "word").where("shiftrightunsigned(mask, int(h & 63)) & 1 = 1")
+    texts = keyed.groupBy("h", "text_hash").agg(F.first("text").alias("text"))
+    rows = ends.join(texts, ["h", "text_hash"])
     rows = rows.select("pivot", "name", "partner", "text", "part").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "partner")
     return cut(rows.drop("part").mapInArrow(lambda b: _verified(b, shingle, percent), "a long, b long"), "jaccard-links")
 
