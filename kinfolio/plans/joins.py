@@ -11,19 +11,29 @@ BROADCAST_ROWS = 100_000
 SALTS = 64
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """``big`` joined null-safely to ``small``, whose rows are counted first.
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], spread: Column, how: str = "inner", *, rows: int | None = None) -> DataFrame:
+    """``big`` joined null-safely to ``small``, whose rows are counted first, or are known
+    to be ``rows`` at most.
 
     Up to BROADCAST_ROWS rows are broadcast. A larger ``small`` is copied SALTS
     times and joined on its key and a salt made of ``spread``, so that no key of
     ``big`` meets in one task. Columns of ``small`` named in ``on`` are dropped.
     """
-    keys = {k: f"__{k}" for k in on}
+    taken = {c.lower() for c in [*big.columns, *small.columns]}
+
+    def own(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        return name
+
+    keys = {k: own(f"{k}_") for k in on}
     small = small.withColumnsRenamed(keys)
     same = [big[k].eqNullSafe(small[v]) for k, v in keys.items()]
-    if small.count() <= BROADCAST_ROWS:
+    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), same, how).drop(*keys.values())
-    big = big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    small = small.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = [big[k].eqNullSafe(small[v]) for k, v in keys.items()] + [big["__salt"] == small["__salt_r"]]
-    return big.join(small, same, how).drop("__salt", "__salt_r", *keys.values())
+    salt, its = own("salt"), own("salt")
+    big = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    small = small.withColumn(its, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = [big[k].eqNullSafe(small[v]) for k, v in keys.items()] + [big[salt] == small[its]]
+    return big.join(small, same, how).drop(salt, its, *keys.values())

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset
+    and all tasks run on this machine."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.conf.get("kinfolio.shared.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = "file://" + tempfile.mkdtemp(prefix="kinfolio-")
         spark.conf.set("kinfolio.shared.dir", own)
     return own.rstrip("/")
@@ -28,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfolio/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/kinfolio/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Removes all that this application has cut; call it when no result that is still
+    to be read depends on it. True if there was anything."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))

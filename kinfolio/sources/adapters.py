@@ -58,7 +58,7 @@ def json_lines(spark: SparkSession, path: str | Path, *, blank_is_error: bool =
     """
     lines = spark.read.text(str(path)).select(F.col("value").alias("raw_json"), F.monotonically_increasing_id().alias("at"))
     if not blank_is_error:
-        lines = lines.where(F.length(F.trim("raw_json")) > 0)
+        lines = lines.where(F.rlike("raw_json", F.lit(r"(?U)[^\s\x1C-\x1F]")))
     part = F.shiftrightunsigned("at", 33).cast("int")
     counts = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a file partition
