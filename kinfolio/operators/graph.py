@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,43 +67,43 @@ def size_histogram(labels: DataFrame, records: DataFrame) -> DataFrame:
     return component_sizes(labels, records).groupBy(F.col("size").cast("string").alias("size")).agg(F.count("*").alias("components"))
 
 
-#: Components that the fold assignment takes to the driver, at most.
-MOST_COMPONENTS = 5_000_000
-
-
 def component_folds(labels: DataFrame, records: DataFrame, *, folds: int = 20, seed: int = 20260725) -> DataFrame:
-    """label, component_id and fold: components, largest first, each into the fold
-    where the squared relative overshoot of records and of its views is least;
-    ties by hash. Each choice depends on all before it, so counts by component
-    (counted first) go to the driver and nothing else does."""
+    """component_id and component_fold. Components come by size, largest first, then by
+    id; each goes where it costs least. The cost of a fold is the square of its
+    relative distance from an even share of all records with the component in it, plus the
+    same for each view that the component has; equal costs are decided by hash.
+
+    Counts, order and shares are made in Spark. Each choice depends on all before it, so
+    one task reads the counts, a row a component, in order; it holds the folds' totals
+    and nothing else, and its input is sorted on disk, so there is no most."""
     if folds < 2:
-        raise ValueError("folds must be at least 2")
+        raise ValueError(f"{folds} folds; two at least are needed")
     counts = labels.join(records.select("record_id", "view"), "record_id").groupBy("component_id", "view").agg(F.count("*").alias("n"))
-    if counts.count() > MOST_COMPONENTS:
-        raise ValueError(f"more than {MOST_COMPONENTS} components and views; fold them by a hash of component_id instead")
-    views: dict[str, Counter] = defaultdict(Counter)
-    for r in counts.toLocalIterator():
-        views[r["component_id"]][r["view"]] += r["n"]
-    target: Counter = Counter()
-    for c in views.values():
-        target.update(c)
-    all_records = sum(target.values())
-    goal = {v: max(n / folds, 1.0) for v, n in target.items()}
-    held, by_view, chosen = [0] * folds, [Counter() for _ in range(folds)], []
-    for component in sorted(views, key=lambda c: (-sum(views[c].values()), c)):
-        own = views[component]
-        size, best = sum(own.values()), None
-        for fold in range(folds):
-            cost = ((held[fold] + size - all_records / folds) / (all_records / folds)) ** 2
-            over = 0.0
-            for v, n in own.items():
-                over += ((by_view[fold][v] + n - goal[v]) / goal[v]) ** 2
-            place = (cost + over, hashlib.sha256(f"{seed}:{component}:{fold}".encode()).hexdigest(), fold)
-            best = place if best is None else min(best, place)
-        held[best[2]] += size
-        by_view[best[2]].update(own)
-        chosen.append((component, best[2]))
-    return labels.sparkSession.createDataFrame(chosen, "component_id string, component_fold int")
+    totals = sorted((r["view"], r["n"]) for r in counts.groupBy("view").agg(F.sum("n").alias("n")).collect())  # views are schema
+    if not totals:
+        return labels.sparkSession.createDataFrame([], "component_id string, component_fold int")
+    share = np.array([max(n / folds, 1.0) for _, n in totals])
+    even = sum(n for _, n in totals) / folds
+    row = F.array(*(F.coalesce(F.sum(F.when(F.col("view") == v, F.col("n"))), F.lit(0)) for v, _ in totals))
+    rows = counts.groupBy("component_id").agg(F.sum("n").alias("size"), row.alias("by_view"))
+    rows = rows.repartition(1).sortWithinPartitions(F.col("size").desc(), "component_id")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, by_view = np.zeros(folds), np.zeros((len(share), folds))
+        for batch in batches:
+            chosen = []
+            for name, size, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                have = np.flatnonzero(own)
+                n = np.array(own)[have, None]
+                cost = np.square((filled + size - even) / even) + np.square((by_view[have] + n - share[have, None]) / share[have, None]).sum(axis=0)
+                tied = np.flatnonzero(cost == cost.min()).tolist()
+                fold = tied[0] if len(tied) == 1 else min(tied, key=lambda f: (hashlib.sha256(f"{seed}:{name}:{f}".encode()).digest(), f))
+                filled[fold] += size
+                by_view[have, fold] += n[:, 0]
+                chosen.append(fold)
+            yield pa.record_batch([batch.column(0), pa.array(chosen, pa.int32())], names=["component_id", "component_fold"])
+
+    return rows.mapInArrow(choose, "component_id string, component_fold int")
 
 
 def assert_whole(assignments: DataFrame) -> None:
