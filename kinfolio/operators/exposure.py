@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["atom_type", "value_hash"]
+CELL = ["record_id", "evaluation_view", "atom_type", "source_view"]
+#: Training records of a view from which a value that they share is hot.
+HOT = 1000
 
 
 def _sides(atoms: DataFrame, training: str, evaluation: str) -> tuple[DataFrame, DataFrame]:
@@ -21,19 +24,42 @@ def matches(atoms: DataFrame, *, training: str = "train", evaluation: str = "val
     ``atoms`` has record_id, view, split and the columns of an atom. Training
     atoms are counted by key and view before they meet evaluation atoms, so a
     key that a third of all records hold makes a row a view, not one for each
-    pair. Only records that match with several values of one type need the
-    training records themselves, to count those they share once.
+    pair. Only records that match with several values of one type need training
+    records, to count those they share once: see ``_distinct_sources``.
     """
     t, e = _sides(atoms, training, evaluation)
     counted = t.groupBy(*KEY, "source_view").agg(F.count("*").alias("n"))
     own = e.groupBy("record_id", "evaluation_view", *KEY).agg(F.count("*").alias("fields"))
-    cell = ["record_id", "evaluation_view", "atom_type", "source_view"]
     met = own.join(counted, KEY)
-    cells = met.groupBy(*cell).agg(F.sum("fields").alias("matching_atoms"), F.count("*").alias("values"), F.max("n").alias("n"))
-    several = cells.where(F.col("values") > 1).select(*cell)
-    union = met.join(several, cell, "left_semi").join(t, [*KEY, "source_view"]).groupBy(*cell).agg(F.count_distinct("source_id").alias("m"))
-    out = cells.join(union, cell, "left")
-    return out.select(*cell, "matching_atoms", F.coalesce("m", "n").alias("matching_training_records"))
+    values = F.collect_list(F.struct("value_hash", (F.col("n") > HOT).alias("hot")))
+    cells = met.groupBy(*CELL).agg(F.sum("fields").alias("matching_atoms"), F.max("n").alias("n"), F.when(F.count("*") > 1, values).alias("values"))
+    sets = cells.where("values is not null").select("atom_type", "source_view", F.array_sort("values").alias("values")).distinct()
+    out = cells.withColumn("values", F.array_sort("values")).join(_distinct_sources(sets, t, counted), ["atom_type", "source_view", "values"], "left")
+    return out.select(*CELL, "matching_atoms", F.coalesce("m", "n").alias("matching_training_records"))
+
+
+def _distinct_sources(sets: DataFrame, t: DataFrame, counted: DataFrame) -> DataFrame:
+    """For each set of values (with whether each is hot) of a type and view, m: the
+    training records that hold any of them.
+
+    A value that more than HOT training records hold never meets these one by one:
+    records are grouped by which hot values they hold, and groups that share one with the
+    set are summed. The others are at most HOT for each value of a set; they are counted
+    unless they hold one of the set's hot values. Records with the same values ask once."""
+    side = ["atom_type", "source_view"]
+    s = sets.withColumn("hot", F.transform(F.filter("values", lambda v: v["hot"]), lambda v: v["value_hash"]))
+    hot = counted.where(F.col("n") > HOT).select(*side, "value_hash")
+    holders = t.join(hot, [*side, "value_hash"]).groupBy(*side, "source_id").agg(F.sort_array(F.collect_set("value_hash")).alias("holds"))
+    groups = holders.groupBy(*side, "holds").agg(F.count("*").alias("n"))
+    asked = s.where(F.size("hot") > 0).select(*side, "hot").distinct()
+    shared = asked.withColumn("value_hash", F.explode("hot")).join(groups.withColumn("value_hash", F.explode("holds")), [*side, "value_hash"]).select(*side, "hot", "holds", "n").distinct()
+    of_hot = shared.groupBy(*side, "hot").agg(F.sum("n").alias("of_hot"))
+    rare = s.select(*side, "values", "hot", F.explode(F.filter("values", lambda v: ~v["hot"])).alias("v")).withColumn("value_hash", F.col("v.value_hash"))
+    few = rare.join(t, [*side, "value_hash"]).select(*side, "values", "hot", "source_id").distinct()
+    few = few.join(holders, [*side, "source_id"], "left").where(F.col("holds").isNull() | ~F.arrays_overlap("holds", "hot"))
+    of_few = few.groupBy(*side, "values").agg(F.count("*").alias("of_few"))
+    out = s.join(of_hot, [*side, "hot"], "left").join(of_few, [*side, "values"], "left")
+    return out.select(*side, "values", (F.coalesce("of_hot", F.lit(0)) + F.coalesce("of_few", F.lit(0))).alias("m"))
 
 
 def exposure_rows(atoms: DataFrame, **splits: str) -> DataFrame:
