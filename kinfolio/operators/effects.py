@@ -152,3 +152,17 @@ def winner_regions(lines: DataFrame) -> DataFrame:
     w = Window.orderBy("x")
     best = best.withColumn("g", F.sum(F.coalesce((F.col("candidate") != F.lag("candidate").over(w)).cast("int"), F.lit(1))).over(w))
     return best.groupBy("g", "candidate").agg(F.min("x").alias("left"), F.max("right").alias("right")).select("candidate", "left", "right")
+
+
+def frozen_ranks(scores: DataFrame, score: str, name: str, order: str = "candidate") -> DataFrame:
+    """Adds ``name``: places from 1, the highest score first; of equal ones the smaller
+    ``order``, so that no place is shared. Candidates are few."""
+    return scores.withColumn(name, F.row_number().over(Window.orderBy(F.col(score).desc(), F.col(order))))
+
+
+def candidate_summary(values: DataFrame) -> DataFrame:
+    """candidate, its accuracy on the exposed and the clean set, and its places by
+    either; ``values`` has candidate, evaluation_set and correct."""
+    of = lambda s: F.avg(F.when(F.col("evaluation_set") == s, F.col("correct")))
+    c = values.groupBy("candidate").agg(F.round(of("target"), 12).alias("exposed_accuracy"), F.round(of("clean"), 12).alias("clean_accuracy"))
+    return frozen_ranks(frozen_ranks(c, "exposed_accuracy", "exposed_rank"), "clean_accuracy", "clean_rank")

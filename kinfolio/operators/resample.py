@@ -110,6 +110,84 @@ def winner_probabilities(values: DataFrame, replicates: int, *, seed: int = 5) -
     return best.groupBy("candidate").agg((F.count("*") / F.lit(replicates)).alias("probability"))
 
 
+def _times(items: DataFrame, replicates: int, seed: int, namespace: str, order: str = "pair_id") -> DataFrame:
+    """replicate, item and how often it is drawn."""
+    return draws(items, replicates, seed=seed, namespace=namespace, order=order).groupBy("replicate", order).agg(F.count("*").alias("times"))
+
+
+def candidate_means(values: DataFrame, replicates: int, *, seed: int = 6) -> DataFrame:
+    """replicate, candidate, exposed and clean: mean accuracy over drawn pairs; the
+    pairs of either set are drawn apart, and all candidates keep the same ones. Rounded,
+    so that ties are ties in any order of adding."""
+    def of(which: str, name: str) -> DataFrame:
+        v = values.where(F.col("evaluation_set") == which)
+        m = v.join(_times(v.select("pair_id").distinct(), replicates, seed, f"boot:{name}"), "pair_id")
+        return m.groupBy("replicate", "candidate").agg(F.bround(F.sum(F.col("correct") * F.col("times")) / F.sum("times"), 12).alias(name))
+
+    return of("target", "exposed").join(of("clean", "clean"), ["replicate", "candidate"])
+
+
+def weighted_winners(means: DataFrame, replicates: int, weights: int = 101) -> DataFrame:
+    """exposed_weight, candidate and winner_probability: the share of replicates in
+    which the candidate is best by weight * exposed + (1 - weight) * clean; of equal ones
+    the smaller. Candidates that never win have no row."""
+    steps = means.sparkSession.range(weights).select((F.col("id") / F.lit(weights - 1)).alias("exposed_weight"))
+    value = F.bround(F.col("exposed_weight") * F.col("exposed") + (1 - F.col("exposed_weight")) * F.col("clean"), 10)
+    best = means.crossJoin(F.broadcast(steps)).groupBy("exposed_weight", "replicate").agg(F.min_by("candidate", F.struct(-value, F.col("candidate"))).alias("candidate"))
+    return best.groupBy("exposed_weight", "candidate").agg((F.count("*") / F.lit(replicates)).alias("winner_probability"))
+
+
+def endpoint_stability(means: DataFrame, summary: DataFrame, replicates: int) -> DataFrame:
+    """criterion, candidate, winner_probability and whether it is the observed winner; all candidates."""
+    def of(name: str, rank: str) -> DataFrame:
+        best = means.groupBy("replicate").agg(F.min_by("candidate", F.struct(-F.col(name), F.col("candidate"))).alias("candidate"))
+        wins = best.groupBy("candidate").agg((F.count("*") / F.lit(replicates)).alias("p"))
+        return summary.join(wins, "candidate", "left").select(F.lit(name).alias("criterion"), "candidate", F.coalesce("p", F.lit(0.0)).alias("winner_probability"), (F.col(rank) == 1).alias("observed_winner"))
+
+    return of("exposed", "exposed_rank").unionByName(of("clean", "clean_rank"))
+
+
+def policy_bootstrap(predictions: DataFrame, replicates: int, *, target: str = "target", clean: str = "clean", downstream: str = "untouched", boundary: str = "naive", seed: int = 7) -> DataFrame:
+    """replicate, model and what three policies differ in downstream: selecting the
+    checkpoint on the target set, on the clean set, or taking the last one. Items of
+    each set and seeds are drawn, and selection is made anew in every replicate; the
+    earliest of equal checkpoints is selected."""
+    p = predictions.where(F.col("boundary") == boundary)
+
+    def means(which: str, name: str) -> DataFrame:
+        v = p.where(F.col("evaluation_set") == which)
+        m = v.join(_times(v.select("pair_id").distinct(), replicates, seed, f"boot:{name}"), "pair_id")
+        return m.groupBy("replicate", "model", "seed", "fraction").agg(F.bround(F.sum(F.col("correct") * F.col("times")) / F.sum("times"), 12).alias("m"))
+
+    key = ["replicate", "model", "seed"]
+    pick = lambda which, name: means(which, name).groupBy(*key).agg(F.min_by("fraction", F.struct(-F.col("m"), F.col("fraction"))).alias(name))
+    down = means(downstream, "downstream").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("fraction", "m"))).alias("at"), F.max_by("m", "fraction").alias("final"))  # a few checkpoints
+    weights = _times(p.select("seed").distinct(), replicates, seed, "boot:seed", "seed").withColumnRenamed("times", "weight")
+    both = pick(target, "target").join(pick(clean, "clean"), key).join(down, key).join(weights, ["replicate", "seed"])
+    t, c = F.col("at")[F.col("target")], F.col("at")[F.col("clean")]
+    mean = lambda x: F.sum(x * F.col("weight")) / F.sum("weight")
+    return both.groupBy("replicate", "model").agg(mean(t - c).alias("target_minus_clean"), mean(t - F.col("final")).alias("target_minus_final"), mean(c - F.col("final")).alias("clean_minus_final"))
+
+
+def arrival_bootstrap(deltas: DataFrame, replicates: int, *, seed: int = 8) -> DataFrame:
+    """replicate, model, fraction, target, placebo and difference: arrival contrasts
+    over drawn items, as ratios of drawn sums by seed, then over drawn seeds. ``deltas``
+    has the position of every item; clean items have the placebo's. An arm that a
+    replicate leaves without items raises."""
+    def contrast(which: str, name: str) -> DataFrame:
+        d = deltas.where((F.col("evaluation_set") == which) & (F.col("fraction") < 1))
+        m = d.join(_times(d.select("pair_id").distinct(), replicates, seed, f"boot:{name}"), "pair_id")
+        seen = F.col("position") < F.col("fraction")
+        of = lambda arm: F.try_divide(F.sum(F.when(arm, F.col("delta") * F.col("times"))), F.sum(F.when(arm, F.col("times"))))
+        empty = F.raise_error(F.concat(F.lit("an arm without items in replicate "), F.col("replicate").cast("string"))).cast("double")
+        return m.groupBy("replicate", "model", "seed", "fraction").agg((of(seen) - of(~seen)).alias("c")).select("replicate", "model", "seed", "fraction", F.coalesce("c", empty).alias(name))
+
+    weights = _times(deltas.select("seed").distinct(), replicates, seed, "boot:seed", "seed").withColumnRenamed("times", "weight")
+    both = contrast("target", "target").join(contrast("clean", "placebo"), ["replicate", "model", "seed", "fraction"]).join(weights, ["replicate", "seed"])
+    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")
+    return both.groupBy("replicate", "model", "fraction").agg(mean("target").alias("target"), mean("placebo").alias("placebo"), (mean("target") - mean("placebo")).alias("difference"))
+
+
 # --- parity mode: arrays of (model, seed, checkpoint, item) on the driver
 
 

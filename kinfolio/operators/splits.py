@@ -99,7 +99,9 @@ def nearest_pairs(targets: DataFrame, clean: DataFrame, quota: DataFrame, *, see
             if free.sum() < 2:
                 raise ValueError(f"stratum {stratum} ran out of clean rows")
             d = np.where(free, ((x - np.array(f)) ** 2).sum(axis=1), np.inf)
-            near = np.argsort(d, kind="stable")[:2]
+            second = np.partition(d, 1)[1]
+            near = np.flatnonzero(d <= second)
+            near = near[np.argsort(d[near], kind="stable")][:2]
             free[near] = False
             left, right = (ids[i] for i in near)
             for k, v in zip(out, (stratum, target, *((left, right) if odd else (right, left))), strict=True):
@@ -111,11 +113,12 @@ def nearest_pairs(targets: DataFrame, clean: DataFrame, quota: DataFrame, *, see
     return q.groupBy("stratum").cogroup(c.groupBy("stratum")).applyInArrow(match, f"stratum string, target_id {kind}, validation_id {kind}, test_id {kind}")
 
 
-def numbered(rows: DataFrame, rank: Column, name: str, parts: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, rank: Column, name: str, *, part: Column | None = None) -> DataFrame:
     """Adds ``name``: 0-based numbers in rank order over the whole table. Rows are
-    dealt out by ranges of the rank's first digits (a hash, so ranges are even),
-    counted, and numbered within; nothing is sorted in one task."""
-    d = rows.withColumn("__rank", rank).withColumn("__part", F.substring("__rank", 1, 2))
+    dealt out by ranges of the rank's first digits (a hash, so ranges are even), or by
+    ``part``, which rises with the rank; parts are counted and numbered within, so
+    nothing is sorted in one task."""
+    d = rows.withColumn("__rank", rank).withColumn("__part", F.substring("__rank", 1, 2) if part is None else part)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = d.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # 256 rows
     within = Window.partitionBy("__part").orderBy("__rank")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.canonical import is_odd, stable_rank
+from .functions.canonical import is_odd, literal_record_hash, record_hash, stable_rank
 from .functions.numbers import event_bin, prefix_size, wilson
 from .functions.text import length_bin, orient
-from .operators import effects, exposure, graph, learners, reports, resample, splits
+from .operators import effects, exposure, graph, learners, recovery, reports, resample, splits
+from .operators.atoms import Mapping, exploded, with_atoms
 from .plans import tables as t
 
 QUERIES: dict = {}
@@ -206,7 +207,25 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(folds, "component_id").join(hashes, "record_id").select("record_id", "record_hash_id", "record_hash", "view", F.col("split").alias("original_split"), "component_id", "component_fold")
 
 
-@_query("component_folds")
+_FOLDS = f"""WITH RECURSIVE {_LINK}, {_WHOLE},
+ci AS MATERIALIZED (SELECT label, sha256('["' || string_agg(record_hash_id, '","' ORDER BY record_hash_id) || '"]') AS component_id FROM lab JOIN hi USING (record_id) GROUP BY label),
+vw AS MATERIALIZED (SELECT view, count(*) AS n FROM rec GROUP BY view),
+sh AS MATERIALIZED (SELECT list(greatest(n / 20::DOUBLE, 1.0::DOUBLE) ORDER BY view) AS share, sum(n)::DOUBLE / 20::DOUBLE AS even, count(*)::INT AS views FROM vw),
+cv AS (SELECT component_id, vw.view, count(rec.record_id) AS n FROM ci JOIN lab USING (label) CROSS JOIN vw LEFT JOIN rec ON rec.record_id = lab.record_id AND rec.view = vw.view GROUP BY ALL),
+cw AS (SELECT component_id, sum(n)::BIGINT AS size, list(n::DOUBLE ORDER BY view) AS own FROM cv GROUP BY component_id),
+co AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY size DESC, component_id) AS i FROM cw),
+st AS (
+  SELECT 0::BIGINT AS i, '' AS component_id, -1 AS fold, list_transform(range(0, 20), lambda f: 0.0::DOUBLE) AS filled, list_transform(range(0, 20), lambda f: list_transform(range(0, views), lambda v: 0.0::DOUBLE)) AS held FROM sh
+  UNION ALL
+  SELECT i, component_id, fold, list_transform(filled, lambda x, f: x + CASE WHEN f = fold + 1 THEN size ELSE 0 END), list_transform(held, lambda h, f: CASE WHEN f = fold + 1 THEN list_transform(h, lambda x, v: x + own[v]) ELSE h END)
+  FROM (SELECT co.i, co.component_id, co.size, co.own, filled, held, list_min(list_transform(range(0, 20), lambda f: struct_pack(
+      cost := ((filled[f + 1] + size - even) / even) * ((filled[f + 1] + size - even) / even) + list_sum(list_transform(range(1, views + 1), lambda v: CASE WHEN own[v] > 0 THEN ((held[f + 1][v] + own[v] - share[v]) / share[v]) * ((held[f + 1][v] + own[v] - share[v]) / share[v]) ELSE 0 END)),
+      tie := sha256('20260725:' || co.component_id || ':' || f), fold := f))).fold::INT AS fold
+    FROM st JOIN co ON co.i = st.i + 1 CROSS JOIN sh))
+SELECT lab.record_id, record_hash_id, record_hash, rec.view, rec.split AS original_split, component_id, fold AS component_fold FROM st JOIN ci USING (component_id) JOIN lab USING (label) JOIN hi ON hi.record_id = lab.record_id JOIN rec ON rec.record_id = lab.record_id"""
+
+
+@_query("component_folds", _FOLDS)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _assigned(spark, d)
 
@@ -451,7 +470,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # --- resampling, natively
 
-_B = 40
+_B = 200
 
 
 def _boot(which: str, seed: int, ns: str, source: str, order: str, b: int = _B) -> str:
@@ -513,6 +532,193 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return effects.winner_regions(p.groupBy(F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(of("safe").alias("clean"), of("naive").alias("exposed")))
 
 
+# --- the extractor and the hashes of whole JSON records
+
+
+def _as_json(spark: SparkSession, d: str) -> DataFrame:
+    return t._documents(spark, d).select("record_id", F.to_json(F.struct("first", "last", "lines", "text")).alias("raw_json"), F.to_json(F.struct(F.col("domain").alias("lang"), "source", "text")).alias("whole"))
+
+
+@_query("extracted_atoms", rf"""WITH {_ATOMS}, lq AS (SELECT *, list_transform(ls, lambda x: {_Q.format(_WS.format("x"))}) AS qs FROM fl)
+  SELECT record_id, 'record' AS atom_type, sha256('{{"first":' || {_Q.format("f")} || ',"last":' || {_Q.format("l")} || ',"lines":[' || array_to_string(qs, ',') || '],"text":' || {_Q.format("w")} || '}}') AS value_hash, '__record__' AS field, true AS linkable FROM lq
+  UNION ALL SELECT record_id, 'context', sha256({_Q.format("f")}), 'first', true FROM fl WHERE f <> '' UNION ALL SELECT record_id, 'response', sha256({_Q.format("w")}), 'text', false FROM fl WHERE w <> ''
+  UNION ALL SELECT record_id, 'feedback', value_hash, replace(field, 'feedback', 'lines'), false FROM atoms WHERE atom_type = 'feedback' UNION ALL SELECT record_id, 'edit_link', value_hash, field, true FROM atoms WHERE atom_type = 'edit_link'""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = Mapping(context="first", context_else=None, responses=("text",), feedback=("lines",), principle=None, edits=(("first", "last"),))
+    return exploded(with_atoms(_as_json(spark, d), m), "record_id")
+
+
+@_query("json_record_hashes", f"""WITH {_RECORDS}, {_WHOLE} SELECT record_id, record_hash, sha256('{{"lang":' || to_json(domain)::VARCHAR || ',"source":' || to_json(source)::VARCHAR || ',"text":' || to_json(text)::VARCHAR || '}}') AS literal_hash FROM hs""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _as_json(spark, d).select("record_id", record_hash(F.col("whole")).alias("record_hash"), literal_record_hash(F.col("whole")).alias("literal_hash"))
+
+
+# --- donors, training files, pairs made again
+
+
+_DONORS = rf"""{_ATOMS.replace("fl AS", "fl AS MATERIALIZED")},
+tg AS (SELECT record_id AS target_id, f, l FROM fl WHERE split = 'validation' AND f <> '' AND l <> ''),
+pl AS (SELECT DISTINCT record_id AS donor_id, f, unnest([f, l]) AS r FROM fl WHERE split = 'train' AND f <> '' AND l <> ''),
+dn AS MATERIALIZED (SELECT target_id, count(DISTINCT donor_id) AS donors, CASE WHEN count(DISTINCT donor_id) = 1 THEN min(donor_id) END AS donor_id FROM tg LEFT JOIN pl ON pl.f = tg.f AND pl.r = tg.l GROUP BY target_id)"""
+
+
+def _donor_candidates(spark: SparkSession, d: str) -> DataFrame:
+    r = t._documents(spark, d).where("first <> '' and last <> ''")
+    targets = r.where("split = 'validation'").select(F.col("record_id").alias("target_id"), F.col("first").alias("context"), F.col("last").alias("preferred"))
+    pool = r.where("split = 'train'").select(F.col("record_id").alias("donor_id"), F.col("first").alias("context"), F.col("first").alias("response1"), F.col("last").alias("response2"))
+    return recovery.donor_candidates(targets, pool)
+
+
+@_query("exact_donor_candidates", f"WITH {_DONORS} SELECT target_id, donors, donor_id FROM dn")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _donor_candidates(spark, d)
+
+
+@_query("donor_positions", f"""WITH {_DONORS}, od AS (SELECT min(target_id) AS target_id, donor_id FROM dn WHERE donors = 1 GROUP BY donor_id HAVING count(*) = 1),
+  fi AS (SELECT seed, record_id AS donor_id, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || chr(0) || 'file' || chr(0) || record_id)) - 1 AS position FROM rec, (VALUES (1), (2), (3)) s(seed) WHERE split = 'train')
+  SELECT seed, target_id, position FROM od JOIN fi USING (donor_id)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    donors = _donor_candidates(spark, d).where("donors = 1").groupBy("donor_id").agg(F.min("target_id").alias("target_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    train = t.records(spark, d).where("split = 'train'").select(F.col("record_id").alias("id"))
+    files = [splits.numbered(train, stable_rank(seed, "file", F.col("id")), "position").withColumn("seed", F.lit(seed)) for seed in (1, 2, 3)]
+    return recovery.donor_positions(donors, files[0].unionByName(files[1]).unionByName(files[2]))
+
+
+_FILES = f"""{_RECORDS}, {_SLOTS}, bs AS (SELECT position, row_number() OVER (ORDER BY position) AS n FROM so WHERE kind = 'boundary'),
+xd AS (SELECT record_id AS d, row_number() OVER (ORDER BY {_rank(7, repr('donor'), 'record_id')}) AS n FROM rec WHERE split <> 'train'), xf AS (SELECT record_id AS f, row_number() OVER (ORDER BY {_rank(7, repr('filler'), 'record_id')}) AS n FROM rec WHERE split <> 'train'),
+fs AS (SELECT so.position, kind, coalesce(d, id) AS naive_id, coalesce(f, id) AS safe_id FROM so LEFT JOIN bs ON bs.position = so.position LEFT JOIN xd ON xd.n = bs.n LEFT JOIN xf ON xf.n = bs.n)"""
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    other = t.records(spark, d).where("split <> 'train'").select(F.col("record_id").alias("id"))
+    return recovery.train_files(_slots(spark, d), *(splits.numbered(other, stable_rank(7, n, F.col("id")), "n") for n in ("donor", "filler")))
+
+
+@_query("train_files", f"WITH {_FILES} SELECT position, kind, naive_id, safe_id FROM fs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _files(spark, d)
+
+
+@_query("train_file_differences", f"WITH {_FILES} SELECT position, naive_id AS left_id, safe_id AS right_id FROM fs WHERE naive_id <> safe_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    f = _files(spark, d)
+    return recovery.row_differences(f.select("position", F.col("naive_id").alias("id")), f.select("position", F.col("safe_id").alias("id")))
+
+
+@_query("rebuilt_train_file", f"""WITH {_FILES}, nb AS (SELECT record_id AS id, row_number() OVER (ORDER BY {_rank(8, repr('base'), 'record_id')}) AS n FROM rec WHERE split = 'train'), ob AS (SELECT position, row_number() OVER (ORDER BY position) AS n FROM so WHERE kind = 'base')
+  SELECT fs.position, kind, coalesce(nb.id, naive_id) AS id FROM fs LEFT JOIN ob ON ob.position = fs.position LEFT JOIN nb ON nb.n = ob.n""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    base = t.records(spark, d).where("split = 'train'").select(F.col("record_id").alias("id"))
+    return recovery.rebuilt(_files(spark, d).select("position", "kind", F.col("naive_id").alias("id")), splits.numbered(base, stable_rank(8, "base", F.col("id")), "n"))
+
+
+_PAIRED = f"""{_ATOMS.replace("fl AS", "fl AS MATERIALIZED")}, {_WHOLE},
+ep AS (SELECT record_hash AS pair_id, f AS context, l AS better, f AS worse, domain, 'unknown' AS language, f AS original_response, [l] AS feedback, substr({_rank(0, repr('pair_orientation'), 'record_hash')}, 16, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') AS odd
+  FROM (SELECT DISTINCT record_hash, f, l, domain FROM (SELECT DISTINCT ON (record_hash) record_hash, hs.record_id, fl.f, fl.l, hs.domain FROM hs JOIN fl USING (record_id) WHERE fl.f <> '' AND fl.l <> '' ORDER BY record_hash, hs.record_id))),
+pr AS (SELECT pair_id, context, CASE WHEN odd THEN worse ELSE better END AS response1, CASE WHEN odd THEN better ELSE worse END AS response2, CASE WHEN odd THEN 1 ELSE -1 END AS overall_preference, domain, language, original_response, feedback FROM ep)"""
+_PAIR_COLUMNS = "pair_id, '{}' AS source_view, context, response1, response2, overall_preference, domain, language"
+_CONSTRUCT = "original_response, array_to_string(feedback, '|') AS feedback, 'context|original_response|feedback|candidate_edit' AS construct_fields"
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as records of the edit views: the last line edits the first one. One record a hash."""
+    r = t._documents(spark, d).where("first <> '' and last <> ''").join(t.record_hashes(spark, d).select("record_id", "record_hash"), "record_id")
+    r = splits.best_per(r.select("record_hash", "record_id", "first", "last", "domain"), ["record_hash"], F.col("record_id"))
+    return r.select(
+        "record_hash", F.col("first").alias("context"), F.col("first").alias("original_response"), F.col("last").alias("edited_response"), F.col("last").alias("good_edited_response"), F.col("first").alias("bad_edited_response"),
+        F.array("last").alias("feedback"), "domain", F.lit(None).cast("string").alias("language"),
+    )
+
+
+def _flat(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({c: F.array_join(c, "|") for c in ("feedback", "construct_fields")})
+
+
+@_query("edit_training_pairs", f"WITH {_PAIRED} SELECT {_PAIR_COLUMNS.format('edit')} FROM pr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return recovery.edit_training_pairs(_sources(spark, d))
+
+
+@_query("enriched_quality_pairs", f"WITH {_PAIRED} SELECT {_PAIR_COLUMNS.format('edit_quality')}, {_CONSTRUCT} FROM pr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(recovery.enriched_quality_pairs(_sources(spark, d)))
+
+
+@_query("recovered_pairs", f"WITH {_PAIRED} SELECT {_PAIR_COLUMNS.format('edit')}, {_CONSTRUCT} FROM pr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _sources(spark, d)
+    return _flat(recovery.recovered(recovery.edit_training_pairs(s), s, "edit"))
+
+
+# --- candidates, policies and arrivals, resampled
+
+
+_CANDIDATES = f"""{_PRED}, cv AS MATERIALIZED (SELECT pair_id, evaluation_set, model || seed AS candidate, avg(correct) AS correct FROM p WHERE boundary = 'naive' AND fraction = 1 GROUP BY ALL),
+cs AS (SELECT candidate, round(avg(correct) FILTER (WHERE evaluation_set = 'target'), 12) AS exposed_accuracy, round(avg(correct) FILTER (WHERE evaluation_set = 'clean'), 12) AS clean_accuracy FROM cv GROUP BY candidate),
+cr AS (SELECT *, row_number() OVER (ORDER BY exposed_accuracy DESC, candidate)::INT AS exposed_rank, row_number() OVER (ORDER BY clean_accuracy DESC, candidate)::INT AS clean_rank FROM cs)"""
+_CANDIDATE_BOOT = f"""{_CANDIDATES}, {_boot('g', 6, 'boot:exposed', "cv WHERE evaluation_set = 'target'", 'pair_id')}, {_boot('c', 6, 'boot:clean', "cv WHERE evaluation_set = 'clean'", 'pair_id')},
+ge AS (SELECT r, candidate, round_even(sum(correct * times) / sum(times), 12) AS exposed FROM cv JOIN gt ON item = pair_id WHERE evaluation_set = 'target' GROUP BY ALL), ce AS (SELECT r, candidate, round_even(sum(correct * times) / sum(times), 12) AS clean FROM cv JOIN ct ON item = pair_id WHERE evaluation_set = 'clean' GROUP BY ALL),
+cm AS MATERIALIZED (SELECT r, candidate, exposed, clean FROM ge JOIN ce USING (r, candidate))"""
+
+
+def _candidate_values(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d).where("boundary = 'naive' and fraction = 1")
+    return p.groupBy("pair_id", "evaluation_set", F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(F.avg("correct").alias("correct"))
+
+
+@_query("candidate_summary", f"WITH {_CANDIDATES} SELECT * FROM cr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return effects.candidate_summary(_candidate_values(spark, d))
+
+
+@_query("endpoint_stability", f"""WITH {_CANDIDATE_BOOT}, w AS (SELECT 'exposed' AS criterion, r, candidate, row_number() OVER (PARTITION BY r ORDER BY exposed DESC, candidate) AS n FROM cm UNION ALL SELECT 'clean', r, candidate, row_number() OVER (PARTITION BY r ORDER BY clean DESC, candidate) FROM cm)
+  SELECT criterion, candidate, (count(*) FILTER (WHERE n = 1)) / {_B} AS winner_probability, any_value(CASE WHEN criterion = 'exposed' THEN exposed_rank ELSE clean_rank END) = 1 AS observed_winner FROM w JOIN cr USING (candidate) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = _candidate_values(spark, d)
+    return resample.endpoint_stability(resample.candidate_means(v, _B), effects.candidate_summary(v), _B)
+
+
+@_query("weighted_winners", f"""WITH {_CANDIDATE_BOOT}, x AS (SELECT r, i / 100::DOUBLE AS exposed_weight, candidate, round_even(i / 100::DOUBLE * exposed + (1 - i / 100::DOUBLE) * clean, 10) AS v FROM cm, range(101) s(i)), w AS (SELECT *, row_number() OVER (PARTITION BY r, exposed_weight ORDER BY v DESC, candidate) AS n FROM x)
+  SELECT exposed_weight, candidate, count(*) / {_B} AS winner_probability FROM w WHERE n = 1 GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return resample.weighted_winners(resample.candidate_means(_candidate_values(spark, d), _B), _B)
+
+
+def _set_means(which: str, name: str) -> str:
+    return f"{name}m AS MATERIALIZED (SELECT r, model, seed, fraction, round_even(sum(correct * times) / sum(times), 12) AS m FROM p JOIN {name}t ON item = pair_id WHERE boundary = 'naive' AND evaluation_set = '{which}' GROUP BY ALL)"
+
+
+_POLICY = f"""{_PRED}, {', '.join(f'{_boot(n, 7, ns, f"p WHERE boundary = {b!r} AND evaluation_set = {w!r}", "pair_id")}, {_set_means(w, n)}' for n, ns, w, b in (('g', 'boot:target', 'target', 'naive'), ('c', 'boot:clean', 'clean', 'naive'), ('u', 'boot:downstream', 'untouched', 'naive')))},
+{_boot('s', 7, 'boot:seed', "p WHERE boundary = 'naive'", 'seed')},
+pg AS (SELECT r, model, seed, fraction FROM (SELECT *, row_number() OVER (PARTITION BY r, model, seed ORDER BY m DESC, fraction) AS n FROM gm) WHERE n = 1), pc AS (SELECT r, model, seed, fraction FROM (SELECT *, row_number() OVER (PARTITION BY r, model, seed ORDER BY m DESC, fraction) AS n FROM cm) WHERE n = 1)"""
+_POLICY = _POLICY.replace("pc AS (SELECT r,", "pk AS (SELECT r,")
+
+
+@_query("policy_bootstrap_native", f"""WITH {_POLICY}, v AS (SELECT pg.r, pg.model, pg.seed, times, a.m AS t, b.m AS c, f.m AS z FROM pg JOIN pk USING (r, model, seed) JOIN um a ON a.r = pg.r AND a.model = pg.model AND a.seed = pg.seed AND a.fraction = pg.fraction
+  JOIN um b ON b.r = pg.r AND b.model = pg.model AND b.seed = pg.seed AND b.fraction = pk.fraction JOIN um f ON f.r = pg.r AND f.model = pg.model AND f.seed = pg.seed AND f.fraction = 1 JOIN st ON st.r = pg.r AND st.item = pg.seed)
+  SELECT r::INT AS replicate, model, round(sum((t - c) * times) / sum(times), 9) AS target_minus_clean, round(sum((t - z) * times) / sum(times), 9) AS target_minus_final, round(sum((c - z) * times) / sum(times), 9) AS clean_minus_final FROM v GROUP BY r, model""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.policy_bootstrap(t.predictions(spark, d), _B), "target_minus_clean", "target_minus_final", "clean_minus_final")
+
+
+def _arm(which: str, name: str) -> str:
+    return f"""{name}m AS (SELECT r, model, seed, fraction, sum(delta * times) FILTER (WHERE position < fraction) / sum(times) FILTER (WHERE position < fraction) - sum(delta * times) FILTER (WHERE position >= fraction) / sum(times) FILTER (WHERE position >= fraction) AS c
+  FROM dl JOIN {name}t ON item = pair_id WHERE evaluation_set = '{which}' AND fraction < 1 GROUP BY ALL)"""
+
+
+@_query("arrival_bootstrap_native", f"""WITH {_PRED}, {_boot('g', 8, 'boot:target', "dl WHERE evaluation_set = 'target' AND fraction < 1", 'pair_id')}, {_boot('c', 8, 'boot:placebo', "dl WHERE evaluation_set = 'clean' AND fraction < 1", 'pair_id')}, {_boot('s', 8, 'boot:seed', 'dl', 'seed')}, {_arm('target', 'g')}, {_arm('clean', 'c')}
+  SELECT gm.r::INT AS replicate, gm.model, gm.fraction, round(sum(gm.c * times) / sum(times), 9) AS target, round(sum(cm.c * times) / sum(times), 9) AS placebo, round(sum(gm.c * times) / sum(times) - sum(cm.c * times) / sum(times), 9) AS difference
+  FROM gm JOIN cm USING (r, model, seed, fraction) JOIN st ON st.r = gm.r AND st.item = gm.seed GROUP BY gm.r, gm.model, gm.fraction""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.arrival_bootstrap(_deltas(spark, d), _B), "target", "placebo", "difference")
+
+
+@_query("effect_bootstrap_native", f"""WITH {_PRED}, {_boot('g', 2, 'boot:effect', "dl WHERE evaluation_set = 'target'", 'pair_id')}, {_boot('s', 2, 'boot:seed', "dl WHERE evaluation_set = 'target'", 'seed')}, gm AS (SELECT r, model, seed, fraction, sum(delta * times) / sum(times) AS m FROM dl JOIN gt ON item = pair_id WHERE evaluation_set = 'target' GROUP BY ALL)
+  SELECT gm.r::INT AS replicate, model, fraction, round(sum(m * times) / sum(times), 9) AS effect FROM gm JOIN st ON st.r = gm.r AND st.item = gm.seed GROUP BY gm.r, model, fraction""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _round(resample.effect_bootstrap(effects.paired(t.predictions(spark, d)).where("evaluation_set = 'target'"), _B), "effect")
+
+
 # --- learners and report tables
 
 

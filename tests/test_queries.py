@@ -25,7 +25,7 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, db, name):
-    if name in ("stratum_quotas", "nearest_clean_pairs"):
+    if name in ("stratum_quotas", "nearest_clean_pairs", "arrival_bootstrap_native"):
         pytest.skip("needs more records than this size has")
     df = registry.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
