@@ -298,8 +298,9 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
        set moves its first size - ceil(percent * size / 100) + 1; sets that link
        share one of these. Buckets of one set are dropped. In those of up to
        SMALL sets all pairs pass the length and positional filters.
-    3. In larger buckets the PIVOTS sets of least name, mostly the same sets in
-       all buckets of a group, are paired with all others. Pairs of both kinds
+    3. In larger buckets the PIVOTS sets with the fewest rarer n-grams are paired
+       with all others; they differ from bucket to bucket, so a group of near copies
+       is compared with many of its members, and not with all. Pairs of both kinds
        are made distinct, pass the filter by bitmaps and are verified on the whole
        texts: a pivot's text meets PARTNERS partners in one go.
     4. Components of these links. Pairs of each larger bucket whose components
@@ -328,10 +329,10 @@ def similar(documents: DataFrame, *, shingle: int = 4, percent: int = 85) -> Dat
 
     wide = buckets.where("token is not null").select("token", F.col("a").alias("name"), "pos")
     wide = cut(wide.join(classes.select("name", "size", *_BITS), "name"), "jaccard-wide")
-    first = Window.partitionBy("token").orderBy("name")
+    first = Window.partitionBy("token").orderBy("pos", "size", "name")
     pivots = wide.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PIVOTS).drop("nth")
     x, p = wide.alias("x"), pivots.alias("p")
-    pairs = x.join(p, F.col("x.token") == F.col("p.token")).where((F.col("x.name") > F.col("p.name")) & _passes("x", "p", percent)).select(F.col("p.name").alias("a"), F.col("x.name").alias("b"))
+    pairs = x.join(p, F.col("x.token") == F.col("p.token")).where((F.struct("x.pos", "x.size", "x.name") > F.struct("p.pos", "p.size", "p.name")) & _passes("x", "p", percent)).select(F.least("p.name", "x.name").alias("a"), F.greatest("p.name", "x.name").alias("b"))
     pairs = buckets.where("b is not null").select("a", "b").unionByName(pairs).distinct()
     pairs = cut(_alike(pairs, classes, percent), "jaccard-pairs")
     links = _verify(docs, classes, pairs, shingle, percent)
