@@ -1,4 +1,4 @@
-"""Line dedup by exact hashes of windows of lines."""
+"""Line dedup by winnowing over line hashes."""
 
 from __future__ import annotations
 
@@ -17,31 +17,76 @@ def filled_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
+def _selected(d: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_hash and, of the column ``hashes``, pos: each line that is the least
+    of some window (the first of equal ones), low and high: the first and last start of
+    such windows, fingerprint: its hash, left and right: up to window - 1 lines on either
+    side, the nearest first. Each array is a column, so lambdas look it up and don't make it again."""
+    least = lambda i: i + F.array_position(F.slice("hashes", i + 1, window), F.array_min(F.slice("hashes", i + 1, window))).cast("int") - 1
+    d = d.withColumn("least", F.transform(F.sequence(F.lit(0), F.size("hashes") - window), least))
+    opens = lambda j: (j == 0) | (F.get("least", j) != F.get("least", j - 1))
+    d = d.withColumn("opens", F.filter(F.sequence(F.lit(0), F.size("least") - 1), opens))
+    side, pos = window - 1, lambda k: F.get("least", F.get("opens", k))
+    chosen = F.transform(
+        F.sequence(F.lit(0), F.size("opens") - 1),
+        lambda k: F.struct(
+            pos(k).alias("pos"), F.get("opens", k).alias("low"), (F.coalesce(F.get("opens", k + 1), F.size("least")) - 1).alias("high"), F.get("hashes", pos(k)).alias("fingerprint"),
+            F.reverse(F.slice("hashes", F.greatest(pos(k) - side, F.lit(0)) + 1, F.least(F.lit(side), pos(k)))).alias("left"), F.slice("hashes", pos(k) + 2, side).alias("right"),
+        ),
+    )
+    return d.select("doc_id", "text_hash", F.inline(chosen))
+
+
+def _same(x: str, y: str) -> Column:
+    """How many lines two arrays share from their beginnings on."""
+    differs = F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False))), F.lit(False)).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(x), F.size(y)))
+
+
 def repeated_runs(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """Runs of ``window`` or more filled lines that stand earlier already.
 
-    The order of lines is (doc_id, hash of the text, line). Every window takes
-    part, joined on the hash of all its lines (its least line hash goes along and
-    decides nothing), each with the earliest of its kind alone: a line that a third of all documents hold makes
-    one row a position, never pairs. Matches that go on along one diagonal are
-    chained both ways into runs.
+    The order of lines is (doc_id, hash of the text, line).
+
+    1. Winnowing: of every ``window`` neighbouring lines the one with the least hash
+       is selected, so any run of so many lines has a selected one at the same place in
+       each of its copies. Selected positions are joined on the line's hash with the earliest
+       such position, never with each other.
+    2. Either match is extended both ways by comparing lines, window - 1 on each side;
+       what goes on beyond that is found from the next selected line, on the same diagonal.
+    3. An exact check of the rest: windows whose selected line stands earlier among other
+       lines only are compared among themselves, by the hash of the whole window.
+    4. Matches that meet on one diagonal are chained into runs.
+
+    A line that a third of all documents hold makes one row a position and is summed
+    before it is shuffled; the joins' hot side can be split.
 
     Returns doc_id, text_hash (of the text), start and length of the run in
     filled lines, first_doc_id and first_start (where it stood before).
     """
     d = only(documents).select("doc_id", F.xxhash64("text").alias("text_hash"), filled_lines(F.col("text")).alias("lines"))
-    d = d.where(F.size("lines") >= window).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    at = F.sequence(F.lit(0), F.size("lines") - window)
-    seen = F.transform(at, lambda i: F.struct(i.alias("start"), F.array_min(F.slice("hashes", i + 1, window)).alias("fingerprint"), F.xxhash64(F.lit(window), F.array_join(F.slice("lines", i + 1, window), "\n")).alias("around")))
-    windows = d.select("doc_id", "text_hash", F.inline(seen))
-    place = F.struct("doc_id", "text_hash", "start")
-    firsts = windows.groupBy("fingerprint", "around").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("fingerprint", "around", "first")
-    seeds = windows.join(firsts, ["fingerprint", "around"]).where(place > F.col("first")).select("doc_id", "text_hash", "start", "first")
-    along = Window.partitionBy("doc_id", "text_hash", "first.doc_id", "first.text_hash", "diagonal").orderBy("start")
-    seeds = seeds.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "start"]).withColumn("diagonal", F.col("start") - F.col("first.start"))
-    seeds = seeds.withColumn("opens", F.coalesce(F.col("start") - F.lag("start").over(along) > 1, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(along))
-    runs = seeds.groupBy("doc_id", "text_hash", F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), "diagonal", "run")
-    runs = runs.agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + window).alias("length"))
+    d = d.where(F.size("lines") >= window).select("doc_id", "text_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    chosen = _selected(d, window)
+    place = F.struct("doc_id", "text_hash", "pos", "left", "right")
+    firsts = chosen.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("fingerprint", "first")
+    met = chosen.join(firsts, "fingerprint").where(F.struct("doc_id", "text_hash", "pos") > F.struct("first.doc_id", "first.text_hash", "first.pos"))
+    met = met.withColumn("a", F.col("pos") - _same("left", "first.left")).withColumn("b", F.col("pos") + _same("right", "first.right") + 1)
+    shift = F.col("pos") - F.col("first.pos")
+    seeds = met.where(F.col("b") - F.col("a") >= window).select("doc_id", "text_hash", F.col("a").alias("start"), F.col("b").alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), shift.alias("diagonal"))
+    if window > 1:
+        open_ = F.filter(F.sequence("low", "high"), lambda i: (i < F.col("a")) | (i + window > F.col("b")))
+        rest = met.select("doc_id", "text_hash", "fingerprint", (F.col("pos") - F.size("left")).alias("from"), F.concat(F.reverse("left"), F.array("fingerprint"), "right").alias("around"), F.explode(open_).alias("pos"))
+        rest = rest.withColumn("around", F.xxhash64(F.slice("around", F.col("pos") - F.col("from") + 1, window)))
+        place = F.struct("doc_id", "text_hash", "pos")
+        firsts = rest.groupBy("fingerprint", "around").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("fingerprint", "around", "first")
+        more = rest.join(firsts, ["fingerprint", "around"]).where(place > F.col("first"))
+        more = more.select("doc_id", "text_hash", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), shift.alias("diagonal"))
+        seeds = seeds.unionByName(more)
+    along = Window.partitionBy("doc_id", "text_hash", "first_doc_id", "first_text_hash", "diagonal").orderBy("start", "end")
+    seeds = seeds.repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "start", "end"])
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = seeds.withColumn("opens", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(along))
+    runs = seeds.groupBy("doc_id", "text_hash", "first_doc_id", "first_text_hash", "diagonal", "run").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"))
     return runs.select("doc_id", "text_hash", "start", "length", "first_doc_id", (F.col("start") - F.col("diagonal")).alias("first_start"))
 
 
@@ -59,40 +104,31 @@ def dedup_lines(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     result. Other columns stay; those named like the new ones give way.
     """
     documents = documents.drop("n_lines", "n_removed", "kept_text")
-    th, runs_c = fresh(documents, "text_hash"), fresh(documents, "runs")
-    runs = repeated_runs(documents, window=window).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("all"))
-    runs = runs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), _disjoint(F.col("all")).alias(runs_c))
+    th, runs_c, id_c, hash_c, lines_c, marks_c = (fresh(documents, c) for c in ("text_hash", "runs", "run_id", "run_hash", "all_lines", "marks"))
+    runs = repeated_runs(documents, window=window).select("doc_id", "text_hash", "start", (F.col("start") + F.col("length")).alias("end"))
+    by_doc = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    opens = F.col("start") > F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))  # runs along several diagonals can meet
+    runs = runs.withColumn("opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(by_doc))
+    runs = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.groupBy(F.col("doc_id").alias(id_c), F.col("text_hash").alias(hash_c)).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(runs_c))
     out = documents.withColumn(th, F.xxhash64("text"))
-    out = out.join(runs, out["doc_id"].eqNullSafe(runs["__id"]) & (out[th] == runs["__hash"]), "left").drop("__id", "__hash")
+    out = out.join(runs, out["doc_id"].eqNullSafe(runs[id_c]) & (out[th] == runs[hash_c]), "left").drop(id_c, hash_c)
     out = out.withColumn("n_lines", F.size(filled_lines(F.col("text"))).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.aggregate(runs_c, F.lit(0), lambda a, x: a + x["end"] - x["start"]), F.lit(0)).cast("long"))
     # where the filled lines stand among all lines, then the stretches between the runs
     lines = F.split(F.col("text"), "\n")
     marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x, F.lit(BLANKS)) != "", i).otherwise(-1)), lambda i: i >= 0)
-    out = out.withColumn("__lines", F.when(F.col(runs_c).isNotNull(), lines)).withColumn("__marks", F.when(F.col(runs_c).isNotNull(), marks))
+    out = out.withColumn(lines_c, F.when(F.col(runs_c).isNotNull(), lines)).withColumn(marks_c, F.when(F.col(runs_c).isNotNull(), marks))
     r = F.col(runs_c)
     stretches = F.transform(
         F.sequence(F.lit(0), F.size(r)),
         lambda k: F.struct(
-            F.when(k == 0, F.lit(0)).otherwise(F.get("__marks", F.get(r, k - 1)["end"] - 1) + 1).alias("a"),
-            F.when(k == F.size(r), F.size("__lines")).otherwise(F.get("__marks", F.get(r, k)["start"])).alias("b"),
+            F.when(k == 0, F.lit(0)).otherwise(F.get(marks_c, F.get(r, k - 1)["end"] - 1) + 1).alias("a"),
+            F.when(k == F.size(r), F.size(lines_c)).otherwise(F.get(marks_c, F.get(r, k)["start"])).alias("b"),
         ),
     )
-    kept = F.array_join(F.flatten(F.transform(stretches, lambda s: F.slice("__lines", s["a"] + 1, s["b"] - s["a"]))), "\n")
-    return out.withColumn("kept_text", F.when(r.isNull(), F.col("text")).otherwise(kept)).drop(th, runs_c, "__lines", "__marks")
-
-
-def _disjoint(runs: Column) -> Column:
-    """Sorted runs of one document, with those that meet made one."""
-    kind = "array<struct<start:int,end:int>>"
-
-    def add(a: Column, x: Column) -> Column:
-        last = F.try_element_at(a, F.lit(-1))
-        new = F.array(F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
-        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"].cast("int")).alias("end")))
-        return F.when((F.size(a) > 0) & (last["end"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), longer)).otherwise(F.concat(a, new))
-
-    return F.aggregate(runs, F.array().cast(kind), add)
+    kept = F.array_join(F.flatten(F.transform(stretches, lambda s: F.slice(lines_c, s["a"] + 1, s["b"] - s["a"]))), "\n")
+    return out.withColumn("kept_text", F.when(r.isNull(), F.col("text")).otherwise(kept)).drop(th, runs_c, lines_c, marks_c)
 
 
 def stage(documents: DataFrame, *, window: int = 1) -> DataFrame:
