@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import flat_lists, fresh, only, rolled, least_of, slices, table, words
+from .common import flat_lists, fresh, least_of, only, rolled, slices, table, word_hashes, words
 
 #: Words of a window.
 WINDOW = 13
@@ -18,11 +18,12 @@ WINDOW = 13
 CHUNK = 1 << 20
 #: ``at`` of a row that stands for several documents of its chunk; from PASSED down it is a result already.
 SEVERAL, PASSED = -1, -2
-ROWS = "key long, doc_id long, at int"
+ROWS = "key long, doc_id long, at long"
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def _tag(text: Column) -> Column:
+    """31 bits that tell apart the texts of rows with one doc_id."""
+    return F.hash(text).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
@@ -30,12 +31,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
     start, its document's row in the batch, that document's id and first word;
     then the batch. Documents without an id have no windows."""
     for batch in batches:
-        h, offsets = flat_lists(batch.column(1))
+        h, offsets = word_hashes(batch.column(1))
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
         ids = batch.column(0).fill_null(0).to_numpy()
         lengths = np.diff(offsets)
         for a, b in slices(lengths, CHUNK):
-            x = h[offsets[a] : offsets[b]].view(np.uint64)
+            x = h[offsets[a] : offsets[b]]
             if len(x) < window:
                 continue
             row = np.repeat(np.arange(a, b), lengths[a:b])[: len(x) - window + 1]
@@ -47,7 +48,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
 
 
 def _rows(key: np.ndarray, doc_id: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc_id), pa.array(at.astype(np.int32))], names=["key", "doc_id", "at"])
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(doc_id), pa.array(at.astype(np.int64))], names=["key", "doc_id", "at"])
 
 
 def _half_windows(x: np.ndarray, window: int) -> np.ndarray:
@@ -78,7 +79,7 @@ def _first_level(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
 def _second_level(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     odd = np.uint64(0x9E3779B97F4A7C15)
     for x, at, row, ids, begin, batch in _chunks(batches, window):
-        lists = batch.column(2)
+        lists, tag = batch.column(2), batch.column(3).to_numpy().astype(np.int64)
         held, offsets = flat_lists(lists)
         a, b = row[0], row[-1] + 1
         with np.errstate(over="ignore"):
@@ -87,7 +88,7 @@ def _second_level(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             hit = np.isin(_half_windows(x, window)[at] ^ (row.astype(np.uint64) * odd), wanted)
         if not hit.any():
             continue
-        key, ids, start = rolled(x, window, 0xA24BAED4963EE407)[at[hit]], ids[hit], (at - begin)[hit]
+        key, ids, start = rolled(x, window, 0xA24BAED4963EE407)[at[hit]], ids[hit], (at - begin)[hit] | tag[row[hit]] << 32
         order = np.lexsort((start, ids, key))
         key, ids, start = key[order], ids[order], start[order]
         group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
@@ -137,8 +138,8 @@ def _met(rows: DataFrame, later: bool) -> DataFrame:
 
 
 def repeated_windows(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """doc_id and starts (array): where windows start that also start in a
-    document with a smaller doc_id.
+    """doc_id, tag and starts (array): where windows start, in the text of that
+    ``_tag``, that also start in a document with a smaller doc_id.
 
     First level: windows of half the length, rounded up; of those inside each
     whole window the one with the least hash is tried, so that equal windows try
@@ -151,13 +152,14 @@ def repeated_windows(documents: DataFrame, *, window: int = WINDOW) -> DataFrame
     Windows are compared by 64-bit hashes of both levels.
     """
     docs = only(documents)
-    tried = docs.select("doc_id", _hashes(F.col("text")).alias("h")).mapInArrow(lambda b: _first_level(b, window), ROWS)
-    halves = _met(tried, False).groupBy("doc_id").agg(F.collect_list("key").alias("halves")).withColumnRenamed("doc_id", "__id")
+    tried = docs.mapInArrow(lambda b: _first_level(b, window), ROWS)
+    halves = _met(tried, False).groupBy("doc_id").agg(F.collect_list("key").alias("halves")).withColumnRenamed("doc_id", "its_id")
     # an outer join, as below, so that the texts are shuffled once for both
-    both = docs.join(halves, docs["doc_id"] == halves["__id"], "left")
-    h = F.when(F.col("halves").isNotNull(), _hashes(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
-    tried = both.select("doc_id", h.alias("h"), F.coalesce("halves", F.array().cast("array<bigint>")).alias("halves")).mapInArrow(lambda b: _second_level(b, window), ROWS)
-    return _met(tried, True).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    both = docs.join(halves, docs["doc_id"] == halves["its_id"], "left")
+    text = F.when(F.col("halves").isNotNull(), F.col("text")).otherwise("")
+    tried = both.select("doc_id", text.alias("text"), F.coalesce("halves", F.array().cast("array<bigint>")).alias("halves"), _tag(F.col("text")).alias("tag")).mapInArrow(lambda b: _second_level(b, window), ROWS)
+    place = _met(tried, True).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
+    return place.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("starts"))
 
 
 @F.arrow_udf(ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())])))
@@ -183,15 +185,15 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     with a smaller doc_id; windows are judged on the texts as they come. Repeats
     within one document stay, and so do texts shorter than a window. Null texts
     have no words and keep the empty text. Rows without a doc_id keep all and
-    remove nothing. Rows that repeat a doc_id are one document: what is found in
-    one goes from all. Other columns stay; those named like the new ones give
+    remove nothing. Rows that repeat a doc_id are texts of one document: each loses
+    what stands in smaller doc_ids, none what stands in another of them. Other columns stay; those named like the new ones give
     way. An empty table gives an empty result.
     """
     new = ("n_words", "n_removed", "removed", "kept_text")
     documents = documents.drop(*new)
-    w = fresh(documents, "words")
-    found = repeated_windows(documents, window=window).select(F.col("doc_id").alias("__id"), _ranges(F.col("starts"), F.lit(window)).alias("removed"))
-    out = documents.join(found, documents["doc_id"] == found["__id"], "left").drop("__id").withColumn(w, words(F.col("text")))
+    w, kept_c, id_c, tag_c = (fresh(documents, c) for c in ("words", "kept", "its_id", "tag"))
+    found = repeated_windows(documents, window=window).select(F.col("doc_id").alias(id_c), F.col("tag").alias(tag_c), _ranges(F.col("starts"), F.lit(window)).alias("removed"))
+    out = documents.join(found, (documents["doc_id"] == found[id_c]) & (_tag(documents["text"]) == found[tag_c]), "left").drop(id_c, tag_c).withColumn(w, words(F.col("text")))
     r = F.col("removed")
     stretches = F.transform(
         F.sequence(F.lit(0), F.size(r)),
@@ -201,8 +203,8 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
         ),
     )
     kept = F.when(r.isNull(), F.col(w)).otherwise(F.flatten(F.transform(stretches, lambda s: F.slice(w, s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0))))))
-    out = out.withColumn("n_words", F.size(w).cast("long")).withColumn("__kept", kept)
-    return out.withColumn("n_removed", F.col("n_words") - F.size("__kept")).withColumn("kept_text", F.array_join("__kept", " ")).drop(w, "__kept")
+    out = out.withColumn("n_words", F.size(w).cast("long")).withColumn(kept_c, kept)
+    return out.withColumn("n_removed", F.col("n_words") - F.size(kept_c)).withColumn("kept_text", F.array_join(kept_c, " ")).drop(w, kept_c)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
