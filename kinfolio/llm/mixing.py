@@ -9,8 +9,11 @@ from ..plans.joins import join_counted
 from ..plans.lineage import cut
 from .common import fresh, table, words
 
-#: Bits of the seeded order that are cut into bins at each of so many levels.
-BITS, LEVELS = 7, 3
+#: Bits of the seeded order that are cut into bins at each level; so many levels before
+#: single places count, and before single texts do among rows that share one place.
+BITS, LEVELS = 12, {"place": 2, "tie": 1}
+#: Parts in which rows that share place and text are numbered.
+PARTS = 64
 
 
 def source_targets(sizes: DataFrame, *, share: float = 1.5, epochs: float = 2.0, weights: tuple = (5, 2, 1)) -> DataFrame:
@@ -21,7 +24,8 @@ def source_targets(sizes: DataFrame, *, share: float = 1.5, epochs: float = 2.0,
     the excess is shared out again by weight. The result is min(cap, level *
     weight): with sources ordered by cap / weight, all before some point stand at
     their cap and the rest at one level, so the level is found by prefix sums
-    rather than by rounds. Sources of size 0 get 0.
+    rather than by rounds. Sources of size 0 get 0. The prefix sums run in one task over
+    a row a source; sources are a dimension, not documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -50,57 +54,74 @@ def mix_sources(documents: DataFrame, *, share: float = 1.5, epochs: float = 2.0
     seeded order; the last of these gives only its first ``part`` words, so that
     a source's taken words add up to its target, rounded down.
 
-    The seeded order is the leading 60 bits of SHA-256. The place where a source's
-    words run out is found in LEVELS levels of 2 ** BITS bins, each summed before
-    it is shuffled; only the documents of one last bin a source are ordered, so no
-    source meets in one task however large it is.
+    The seeded order is the leading 60 bits of SHA-256 of the id, then a hash of the
+    text; rows that share both are numbered. The place where a source's words run
+    out is found in levels of 2 ** BITS bins, each summed before it is
+    shuffled, then among the ids of one bin; documents that share that id are cut
+    by their text in the same way. So no source meets in one task however large it
+    is, and however many rows share an id.
 
     Null or empty texts have size 0 and are taken 0 times. A null source is a
     source. A null doc_id is an id. Rows that repeat an id are documents of
-    their own; those that end up last together each give the same part. An empty
-    table gives an empty result. Columns of ``documents`` are kept, except those
-    of the same names as the new ones.
+    their own. An empty table gives an empty result. Columns of ``documents`` are
+    kept, except those of the same names as the new ones.
     """
     new = ("size", "source_size", "target", "repeats", "part", "taken")
     documents = documents.drop(*new)
-    place = fresh(documents, "place")
+    place, tie = fresh(documents, "place"), fresh(documents, "tie")
     name = F.concat(F.lit(f"mix:{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     sized = documents.withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn(place, F.conv(F.substring(F.sha2(name, 256), 1, 15), 16, 10).cast("long"))
-    slim = cut(sized.select("source", "size", F.col(place).alias("place")), "mix-sizes")
+    sized = sized.withColumn(tie, F.shiftrightunsigned(F.xxhash64("text"), 4))
+    slim = cut(sized.select("source", "size", F.col(place).alias("place"), F.col(tie).alias("tie")), "mix-sizes")
 
     targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share=share, epochs=epochs, weights=weights)
     targets = targets.withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = cut(targets.withColumn("missing", F.floor(F.col("target") - F.col("repeats") * F.col("source_size")).cast("long")), "mix-targets")
 
-    # level by level, the bin of each source in which its missing words run out
-    last_bin, rows = targets.select("source", F.lit(0).cast("long").alias("bin"), F.col("missing").alias("rest")), slim
+    # step by step, the bin of each source in which its missing words run out; a source that needs none has none
+    last, rows = targets.where("missing > 0").select("source", F.lit(0).cast("long").alias("bin"), F.col("missing").alias("rest")), slim
     up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    for level in range(1, LEVELS + 1):
-        bins = rows.groupBy("source", F.shiftright("place", 60 - BITS * level).alias("bin")).agg(F.sum("size").alias("words"))
-        run = join_counted(bins, last_bin.select("source", "rest"), ["source"], F.col("bin")).withColumn("upto", F.sum("words").over(up))
-        run = run.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
-        last_bin = cut(run.select("source", "bin", (F.col("rest") - F.col("upto") + F.col("words")).alias("rest")), "mix-bins")
-        rows = join_counted(slim, last_bin.select("source", F.col("bin").alias("last_bin")), ["source"], F.col("place"))
-        rows = rows.where(F.shiftright("place", 60 - BITS * level) == F.col("last_bin")).drop("last_bin")
-    order = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
-    last = join_counted(rows, last_bin.select("source", "rest"), ["source"], F.col("place"))
-    last = last.groupBy("source", "rest", "place").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
-    last = last.withColumn("upto", F.sum("words").over(order)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
-    last = last.select("source", F.col("place").alias("last_place"), F.least("size", F.col("rest") - F.col("upto") + F.col("words")).alias("last_part"))
-    plan = targets.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "missing")
-    plan = cut(plan.withColumns({"last_place": F.coalesce("last_place", F.lit(-1)), "last_part": F.coalesce("last_part", F.lit(0))}), "mix-plan")
-
-    out = join_counted(sized, plan.withColumnsRenamed({"last_place": "__last", "last_part": "__part"}), ["source"], F.col(place))
-    out = out.withColumn("repeats", F.when(F.col("size") > 0, F.col("repeats") + (F.col(place) < F.col("__last")).cast("long")).otherwise(F.lit(0)))
-    out = out.withColumn("part", F.when((F.col(place) == F.col("__last")) & (F.col("size") > 0), F.least("size", "__part")).otherwise(F.lit(0).cast("long")))
-    return out.withColumn("taken", F.col("repeats") * F.col("size") + F.col("part")).drop(place, "__last", "__part")
+    n = targets.count()
+    for by, levels in LEVELS.items():
+        for level in [*range(1, levels + 1), None]:
+            bin_ = F.shiftright(by, 60 - BITS * level) if level else F.col(by)
+            bins = rows.groupBy("source", bin_.alias("bin")).agg(F.sum("size").alias("words"))
+            run = join_counted(bins, last.select("source", "rest"), ["source"], F.col("bin"), rows=n).withColumn("upto", F.sum("words").over(up))
+            run = run.where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
+            last = cut(run.select("source", "bin", (F.col("rest") - F.col("upto") + F.col("words")).alias("rest")), "mix-bins")
+            rows = join_counted(rows, last.select("source", F.col("bin").alias("last_bin")), ["source"], F.col("tie"), rows=n).where(bin_ == F.col("last_bin")).drop("last_bin")
+        if by == "place":
+            last_place = last.select("source", F.col("bin").alias("last_place"))
+    last = last.join(last_place.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "last_place", F.col("bin").alias("last_tie"), "rest")
+    plan = targets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "missing")
+    plan = cut(plan.withColumns({c: F.coalesce(c, F.lit(0 if c == "rest" else -1)) for c in ("last_place", "last_tie", "rest")}), "mix-plan")
+
+    temp = {c: fresh(documents, c) for c in ("last_place", "last_tie", "rest", "nth", "part_of")}
+    out = join_counted(sized, plan.withColumnsRenamed({c: temp[c] for c in ("last_place", "last_tie", "rest")}), ["source"], F.col(place), rows=n)
+    at = F.col(place) == F.col(temp["last_place"])
+    is_last = at & (F.col(tie) == F.col(temp["last_tie"]))
+    before = (F.col(place) < F.col(temp["last_place"])) | (at & (F.col(tie) < F.col(temp["last_tie"])))
+    others = out.where(~is_last | (F.col("size") == 0)).withColumn("part", F.lit(0).cast("long")).withColumn("repeats", F.when(F.col("size") > 0, F.col("repeats") + before.cast("long")).otherwise(F.lit(0).cast("long")))
+    # rows of one source that share place and text: so many whole ones, one in part, none of the others
+    last = cut(out.where(is_last & (F.col("size") > 0)).withColumn(temp["part_of"], F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "mix-last")
+    own = F.col(temp["part_of"])
+    counts = last.groupBy(F.col("source").alias("s"), own.alias("p")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("earlier", F.sum("n").over(Window.partitionBy("s").orderBy("p")) - F.col("n")).withColumnRenamed("n", "own_n")
+    nth = F.row_number().over(Window.partitionBy("source", temp["part_of"]).orderBy(F.lit(0)))
+    keys = {c: fresh(last, c) for c in ("s", "p", "own_n", "earlier")}
+    last = last.withColumn(temp["nth"], nth)
+    last = last.join(counts.withColumnsRenamed(keys), last["source"].eqNullSafe(F.col(keys["s"])) & (last[temp["part_of"]] == F.col(keys["p"])))
+    left = F.col(temp["rest"]) - (F.col(keys["earlier"]) + F.col(temp["nth"]) - 1) * F.col("size")
+    last = last.withColumn("part", F.when(left >= F.col("size"), F.lit(0)).otherwise(F.greatest(left, F.lit(0))).cast("long")).withColumn("repeats", F.col("repeats") + (left >= F.col("size")).cast("long"))
+    both = others.unionByName(last.drop(*keys.values(), temp["nth"], temp["part_of"]))
+    return both.withColumn("taken", F.col("repeats") * F.col("size") + F.col("part")).drop(place, tie, *(temp[c] for c in ("last_place", "last_tie", "rest")))
 
 
 def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``documents``: each row as often as it
     is repeated, and the leading words of the documents that are taken in part."""
     m, columns = mix_sources(documents, **how), documents.columns
-    whole = m.where("repeats > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*columns)
+    whole = m.where("repeats > 0").withColumn(fresh(m, "copy"), F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*columns)
     part = m.where("part > 0").withColumn("text", F.array_join(F.slice(words(F.col("text")), 1, F.col("part").cast("int")), " "))
     if "n_chars" in columns:
         part = part.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
