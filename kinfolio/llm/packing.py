@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from array import array
 from bisect import bisect_left
 from collections import deque
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import only, table
 
@@ -25,8 +27,9 @@ SENTENCE_CUT, HARD_CUT = 4, 24
 HARD_STEP = 64
 #: Lengths below the largest at which a sequence needs no padding.
 UNPADDED = (128, 256, 512)
-#: Of the sentence ends in each stretch of so many tokens, the last is a place to cut.
-SENTENCE_STEP = 24
+#: Characters of white space in a row from which ``tokenizers`` encodes a text.
+BLANK_RUN = 10_000
+_BLANKS = re.compile(r"\s+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,7 +44,8 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of a byte-level BPE vocabulary file of ``tokenizers``.
 
-    Texts that hold the name of a special token go to ``tokenizers`` itself; all
+    Texts that hold the name of a special token, or a run of white space so long that
+    the other's pattern would exhaust its stack, go to ``tokenizers`` itself; all
     others to the same vocabulary in ``tiktoken``, which is several times faster
     and gives the same ids.
     """
@@ -62,7 +66,7 @@ class Encoder:
             self.sentence_end[i] = t.rstrip(b" \"')")[-1:] in (b".", b"!", b"?") or b"\n" in t
 
     def __call__(self, text: str) -> list[int]:
-        if any(t in text for t in self.special):
+        if any(t in text for t in self.special) or len(text) >= BLANK_RUN and any(m.end() - m.start() >= BLANK_RUN for m in _BLANKS.finditer(text)):
             if self.slow is None:
                 from tokenizers import Tokenizer
 
@@ -149,8 +153,6 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, most: int, end_id: int,
             _, start, n = docs[k]
             own = np.frombuffer(ids[k], np.uint32)
             ends = np.flatnonzero(encode.sentence_end[own[:-1]]) + 1
-            cell = ends // SENTENCE_STEP
-            ends = ends[np.append(cell[1:] != cell[:-1], True)] if len(ends) else ends
             marks = np.concatenate(([0], ends, [n]))
             gaps = np.diff(marks)
             if gaps.max() > HARD_STEP:
@@ -227,7 +229,7 @@ def pack(documents: DataFrame, *, tokenizer: str = "byte_bpe_50k.json", most: in
     """
     docs = only(documents)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.mapInArrow(lambda batches: _pack(batches, tokenizer, most, end_id, arrow, per_flush), schema)
 
