@@ -101,7 +101,7 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
             groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, m.start(), m.end())]
             for i in range(0, len(groups) - 3, 4):
                 four = groups[i : i + 4]
-                if all(e - s < 4000 and int(text[s:e]) <= 255 for s, e in four):
+                if all(len(d := text[s:e].lstrip("0")) < 4 and int(d or 0) <= 255 for s, e in four):
                     found.append((1, four[0][0], four[3][1]))
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() <= 37:
