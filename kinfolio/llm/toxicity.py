@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, slices, table
 
 #: Labelled documents of each class from which the model is learned, at most.
 PER_CLASS = 1_500
+#: Characters of the texts from which it is learned, of each class, at most: documents in their seeded order as far as they fit.
+LEARN_CHARS = 16_000_000
+#: Features that a worker scores at once, but for one document's.
+CHUNK = 1 << 18
 #: A word or word start counts if so many documents of the sample hold it.
 LEAST_DOCS = 4
 #: Lengths of the word starts that count beside whole words.
@@ -104,17 +109,21 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, seed: int = 5) -> Model:
+def train(documents: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, learn_chars: int = LEARN_CHARS, seed: int = 5) -> Model:
     """Learns from labelled documents whose id isn't held out (CRC-32 of the id
     as text, modulo 5, is 0). Of each class the ``per_class`` labels with the
-    least seeded hash are taken, so that what comes to the driver is bounded;
-    their ids are broadcast, and no text is shuffled. A document with several
-    labels is toxic if one says so; null labels and ids count for nothing."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~_held_out(F.col("doc_id")))
-    order = [F.xxhash64(F.lit(seed), "doc_id"), "doc_id"]
-    picked = one.where("toxic > 0").orderBy(*order).limit(per_class).unionByName(one.where("toxic <= 0").orderBy(*order).limit(per_class))
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select((F.col("toxic") > 0).alias("toxic"), word_ids(F.col("text")).alias("words"))
-    got = texts.toArrow().combine_chunks()
+    least seeded hash are taken; their ids are broadcast, and only their texts move.
+    An id counts once, with the least of its texts. Texts of more than a 64th of
+    ``learn_chars`` aren't learned from, the others in the seeded order until a class's have ``learn_chars`` characters; so rows and bytes that come to
+    the driver are bounded. A document with several labels is toxic if one says so;
+    null labels and ids count for nothing."""
+    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).where(~_held_out(F.col("doc_id")))
+    one = one.withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
+    picked = one.where("toxic").orderBy("place", "doc_id").limit(per_class).unionByName(one.where("not toxic").orderBy("place", "doc_id").limit(per_class))
+    texts = documents.select(documents["doc_id"].alias("doc_id"), F.coalesce(documents["text"], F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")).where(F.length("text") <= learn_chars // 64)
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("place", "doc_id"))  # per_class rows a class at most
+    got = texts.withColumn("so_far", so_far).where(F.col("so_far") <= learn_chars).select("toxic", word_ids(F.col("text")).alias("words")).toArrow().combine_chunks()
     if not len(got):
         return Model(np.empty(0, np.int32), np.empty(0), -30.0)
     words, sentence_starts, doc_starts = _unnest(got.column("words").combine_chunks())
@@ -131,6 +140,13 @@ def _unnest(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offsets[:-1] - offsets[0], outer[:-1] - outer[0]
 
 
+def _spans(words: np.ndarray, sentence_starts: np.ndarray, doc_starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """First and last sentence, first and last feature of some documents at a time."""
+    edges = np.append(sentence_starts[doc_starts], len(words))
+    for i, j in slices(np.diff(edges), CHUNK):
+        yield doc_starts[i], doc_starts[j] if j < len(doc_starts) else len(sentence_starts), edges[i], edges[j]
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Adds toxicity (0 to 1) and offending: the numbers, from 0, of the
     sentences that alone would be called toxic.
@@ -144,7 +160,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         words, sentence_starts, doc_starts = _unnest(column)
         if not len(doc_starts):
             return pa.array([], pa.struct([("score", pa.float64()), ("offending", pa.list_(pa.int32()))]))
-        z = model.logits(words, sentence_starts)
+        z = np.concatenate([model.logits(words[a:b], sentence_starts[s:t] - a) for s, t, a, b in _spans(words, sentence_starts, doc_starts)])
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         of_docs = -np.expm1(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), doc_starts))
         bad = np.flatnonzero(p >= 0.5)
