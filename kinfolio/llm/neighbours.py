@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .common import flat_lists, table
+from .common import flat_lists, mixed, table
 
 #: Trees; vectors to which they are fitted, at most; of these, vectors in a leaf.
 TREES, SAMPLE, LEAF = 8, 20_000, 24
 #: A query visits leaves, over all trees, until they hold so many rows, or this
 #: share of the indexed rows if that is more.
 BUDGET, SHARE = 32_768, 0.64
-#: Queries whose visits are sent on at a time.
+#: Queries whose visits are sent on, or whose distances are computed, at a time.
 CHUNK = 64
+#: Rows of a leaf that meet in one task; a larger leaf is dealt out by vec_id.
+CELL = 16_384
 
 
 @dataclass
@@ -116,13 +119,15 @@ def _matrix(column) -> np.ndarray:
 
 
 def proper(embeddings: DataFrame) -> DataFrame:
-    """vec_id and embedding of the vectors that take part: not null, not zero,
-    all components finite, and as long as the longest such vector."""
+    """vec_id, embedding and width of the vectors that take part: those that are not
+    null, not empty, not zero, and finite in all components."""
     e = embeddings.select(embeddings["vec_id"].alias("vec_id"), embeddings["embedding"].alias("embedding"))
     finite = lambda v: F.coalesce((F.abs(v) < F.lit(float("inf"))) & ~F.isnan(v), F.lit(False))
     e = e.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda v: v != 0))
-    width = e.agg(F.max(F.size("embedding"))).first()[0]
-    return e.where(F.size("embedding") == F.lit(width or 0))
+    return e.withColumn("width", F.size("embedding"))
+
+
+_FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: int = BUDGET, share: float = SHARE, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
@@ -134,67 +139,77 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: i
     one priority queue over all trees, until they hold ``budget`` rows or
     ``share`` of all, whichever is more, and goes to those leaves; there its
     distances to the leaf's vectors are computed exactly, and the best are
-    merged. Vectors that are equal in all components are indexed as their k + 1
+    merged. A leaf of more than CELL rows is dealt out into cells, so none outgrows a
+    task. Vectors that are equal in all components are indexed as their k + 1
     smallest ids, which loses no answer, so no leaf fills up with copies.
 
     A query isn't its own neighbour, by vec_id. Ties go to the smaller vec_id.
-    Null, zero and non-finite vectors take no part; see ``proper``. Rows that
-    repeat an id and vector count once. If there are fewer candidates than k,
-    all are returned; without any the result is empty. Returns query_id, rank
-    (from 1), vec_id and score.
+    Null, empty, zero and non-finite vectors take no part; see ``proper``. Vectors are
+    compared with those of their own length, each length by a forest of its own.
+    Rows that repeat an id and vector count once. If there are fewer candidates
+    than k, all are returned; without any the result is empty. Returns query_id,
+    rank (from 1), vec_id and score.
     """
-    spark = embeddings.sparkSession
     same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
     rows = proper(embeddings).dropDuplicates(["vec_id", "embedding"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
     rows = cut(rows, "ann-rows")
-    n = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
+    asked = proper(queries).dropDuplicates(["vec_id", "embedding"])
+    widths = sorted(tuple(r) for r in rows.groupBy("width").count().collect())  # as many as there are lengths of vectors
+    each = [_among(rows.where(F.col("width") == w), asked.where(F.col("width") == w), n, k, max(budget, share * n), trees, sample, leaf) for w, n in widths]
+    if not each:
+        return embeddings.sparkSession.createDataFrame([], _FOUND)
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    pairs = reduce(DataFrame.unionByName, each).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _among(rows: DataFrame, asked: DataFrame, n: int, k: int, budget: float, trees: int, sample: int, leaf: int) -> DataFrame:
+    """query_id, vec_id and score of near vectors; all ``n`` rows and all queries are of one length."""
     forest = fit(_matrix(rows.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0)), trees=trees, leaf=leaf)
-    scale, width = n / forest.rows.sum() * trees, forest.directions.shape[1]
-    budget = max(budget, share * n)
+    scale = n / forest.rows.sum() * trees
+    cells = np.ceil(forest.rows * scale / CELL).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(cells)))[:-1]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 leaves = forest.leaves_of(_matrix(batch.column(1)))
-                yield pa.record_batch([pa.array(leaves.ravel()), batch.column(0).take(np.repeat(np.arange(len(leaves)), trees)), batch.column(1).take(np.repeat(np.arange(len(leaves)), trees))], names=["leaf", "vec_id", "embedding"])
+                row = np.repeat(np.arange(len(leaves)), trees)
+                at = mixed(batch.column(0).cast(pa.int64()).to_numpy().astype(np.uint64))[row] % cells[leaves.ravel()].astype(np.uint64)
+                yield pa.record_batch([pa.array(first[leaves.ravel()] + at.astype(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["cell", "vec_id", "embedding"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(at, CHUNK)
-                visits = [forest.visit(q, budget, scale) for q in _matrix(batch.column(1))]
-                row = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
-                yield pa.record_batch([pa.array(np.concatenate(visits).astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row)], names=["leaf", "vec_id", "embedding"])
+                visits = [np.array(forest.visit(q, budget, scale), np.int64) for q in _matrix(batch.column(1))]
+                found = [np.repeat(first[v] - np.cumsum(cells[v]) + cells[v], cells[v]) + np.arange(cells[v].sum()) for v in visits]  # all cells of those leaves
+                row = np.repeat(np.arange(len(found)), [len(v) for v in found])
+                yield pa.record_batch([pa.array(np.concatenate(found)), batch.column(0).take(row), batch.column(1).take(row)], names=["cell", "vec_id", "embedding"])
 
     def rerank(queries: pa.Table, found: pa.Table) -> pa.Table:
-        ids, out = np.empty(0, np.int64), ([], [], [])
+        out = ([], [], [])
         if found.num_rows and queries.num_rows:
-            ids = found.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], _matrix(found.column("embedding"))[order]
-            for own, q in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("embedding")), strict=True):
-                d = np.sqrt(((x - q) ** 2).sum(axis=1))
-                d[ids == own] = np.inf
-                best = np.argsort(d, kind="stable")[:k]
-                best = best[np.isfinite(d[best])]
-                out[0].append(np.full(len(best), own))
-                out[1].append(ids[best])
-                out[2].append(d[best])
+            ids, x = found.column("vec_id").to_numpy(), _matrix(found.column("embedding"))
+            lengths, own, q = (x * x).sum(axis=1), queries.column("vec_id").to_numpy(), _matrix(queries.column("embedding"))
+            for a in range(0, len(q), CHUNK):
+                y, me = q[a : a + CHUNK], own[a : a + CHUNK]
+                d = lengths - 2 * (y @ x.T) + (y * y).sum(axis=1)[:, None]  # close to the squared distances: tells what is worth the exact ones
+                d[me[:, None] == ids] = np.inf
+                last = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(y), np.inf)
+                r, c = np.nonzero((d <= last[:, None] + 1e-9 * (lengths.max() + (y * y).sum(axis=1)[:, None])) & np.isfinite(d))
+                apart = x[c] - y[r]
+                out[0].append(me[r])
+                out[1].append(ids[c])
+                out[2].append(np.sqrt((apart * apart).sum(axis=1)))
         cat = [np.concatenate(o) if o else np.empty(0) for o in out]
         return pa.table({"query_id": cat[0].astype(np.int64), "vec_id": cat[1].astype(np.int64), "score": cat[2].astype(np.float64)})
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    leafed = f"leaf int, vec_id long, embedding {kind}"
-    asked = proper(queries).where(F.size("embedding") == width).dropDuplicates(["vec_id", "embedding"])
-    a = asked.mapInArrow(search, leafed).groupBy("leaf")
-    b = rows.mapInArrow(index, leafed).groupBy("leaf")
-    pairs = a.cogroup(b).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    placed = f"cell long, vec_id long, embedding {kind}"
+    a = asked.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(search, placed).groupBy("cell")
+    b = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(index, placed).groupBy("cell")
+    return a.cogroup(b).applyInArrow(rerank, "query_id long, vec_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,4 +217,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(e, e.where("vec_id % 100 = 0"))
 
 
-QUERIES, ORACLES = {"op10_nearest_neighbours": query}, {}
+_SQUARES = [f"list_sum(list_transform(range({j}, len(q.e), 8), lambda i: (q.e[i + 1] - v.e[i + 1]) * (q.e[i + 1] - v.e[i + 1])))" for j in range(8)]
+#: Exact. Where all trees together index no more than BUDGET rows, every leaf is visited.
+#: Squares are added up as NumPy does it: eight sums of every eighth, then these.
+SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt((({_SQUARES[0]} + {_SQUARES[1]}) + ({_SQUARES[2]} + {_SQUARES[3]})) + (({_SQUARES[4]} + {_SQUARES[5]}) + ({_SQUARES[6]} + {_SQUARES[7]}))) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS nth, vec_id, score FROM p)
+SELECT query_id, nth::INT AS rank, vec_id, score FROM r WHERE nth <= 10
+"""
+QUERIES, ORACLES = {"op10_nearest_neighbours": query}, {"op10_nearest_neighbours": SQL}
