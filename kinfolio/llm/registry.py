@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
+from . import jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, pipeline, substrings, toxicity
 
 _MODULES = (jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+if pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

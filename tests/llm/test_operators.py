@@ -6,11 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfolio.llm import jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
-from kinfolio.llm.common import least_of, rolled
+from kinfolio.llm import common, jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity
+from kinfolio.llm.common import least_of, rolled, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,6 +46,22 @@ def test_kernels():
         assert (least_of(x[::-1].copy(), k) == [min(x[::-1][i : i + k]) for i in range(80 - k + 1)]).all()
 
 
+def test_word_hashes(mess, monkeypatch):
+    texts = [t for _, t in mess] + ["naïve\u00a0x y", "a" * 500 + " b", "A b"]
+    h, offsets = word_hashes(pa.array(texts, pa.string()))
+    found = [WORD.findall(t or "") for t in texts]
+    assert np.diff(offsets).tolist() == [len(w) for w in found]
+    of = {}
+    assert all(of.setdefault(w, x) == x for w, x in zip((w for ws in found for w in ws), h.tolist(), strict=True)) and len(set(of.values())) == len(of)
+    for n in (64, 7):  # segments that end in texts and in words
+        monkeypatch.setattr(common, "SEGMENT", n)
+        monkeypatch.setattr(common, "_POWERS", common._POWERS[:n])
+        monkeypatch.setattr(common, "_INVERSES", common._INVERSES[:n])
+        assert (word_hashes(pa.array(texts, pa.large_string()).slice(2))[0] == h[offsets[2] :]).all()
+    assert word_hashes(pa.array(["x A", "X a"]), fold=True)[0].reshape(2, 2)[0].tolist() == word_hashes(pa.array(["X a"]), fold=True)[0].tolist()
+    assert len(word_hashes(pa.array([], pa.string()))[0]) == 0
+
+
 def test_mixing(spark, mess):
     rows = [(i, t, s) for (i, t), s in zip(mess, [*"aab", None, *"abcd"] * 10, strict=False)]
     d = documents(spark, rows).withColumn("size", F.lit("clash"))
@@ -73,6 +90,21 @@ def test_mixing(spark, mess):
     assert mixing.mix_sources(documents(spark, [])).count() == 0
 
 
+def test_mixing_repeated_ids(spark):
+    fifteen = " ".join(["w"] * 10)
+    for rows in (
+        [(None, fifteen, "s")] * 100, [(7, fifteen, "s")] * 60 + [(i, fifteen, "s") for i in range(40)], [(None, " ".join(["v"] * (i % 9 + 1)), "s") for i in range(90)], [(None, "a", "s")] * 100,
+        [(1, fifteen, "s"), (1, fifteen, "t"), (1, None, "t"), (None, "b c", None)],
+    ):
+        d = documents(spark, rows).withColumn("salt", F.lit(1)).repartition(3)
+        got = mixing.mix_sources(d).collect()
+        assert len(got) == len(rows)
+        for source in {r["source"] for r in got}:
+            own = [r for r in got if r["source"] == source]
+            assert sum(r["taken"] for r in own) == int(own[0]["target"])
+        assert all(r["taken"] <= 2 * r["size"] for r in got)
+
+
 def brute_lines(rows, w=2):
     at, out = [], {}
     for i, t in rows:
@@ -102,6 +134,19 @@ def test_line_dedup(spark, mess):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_line_runs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "\n".join(rng.choice(list("abcde" if i % 3 else "abcdefghijklmnopqrstuvwxyz"), rng.integers(0, 14)))) for i in range(120)]
+    d = documents(spark, rows).withColumn("least", F.lit(1)).repartition(3)
+    for w in (1, 2, 3, 4):
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], [s for s in r["kept_text"].split("\n") if s]) for r in lines.dedup_lines(d, window=w).collect()}
+        assert got == brute_lines(rows, w), w
+        by_id = {i: t.split("\n") for i, t in rows}
+        for r in lines.repeated_runs(d, window=w).collect():
+            a, b = (by_id[r[i]][r[s] : r[s] + r["length"]] for i, s in (("doc_id", "start"), ("first_doc_id", "first_start")))
+            assert a == b and len(a) == r["length"] >= w and (r["first_doc_id"], r["first_start"]) < (r["doc_id"], r["start"])
+
+
 def test_line_stage_drops_single_lines(spark, mess):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [r for r in dict(mess).items() if r[0] is not None] + [(70, f"a\n{long}\nb"), (71, f"c\n\n{long} \nd"), (72, long), (73, "a\nb"), (74, "e\ne"), (75, "one line alone")]
@@ -137,6 +182,13 @@ def test_substrings(spark, mess, monkeypatch):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_substrings_of_repeated_ids(spark):
+    p, q = " ".join(f"p{i}" for i in range(13)), " ".join(f"q{i}" for i in range(13))
+    rows = [(1, p), (5, f"{p} tail"), (5, f"{q} other"), (5, f"{q} again")]
+    got = sorted((r["doc_id"], r["text"], r["kept_text"]) for r in substrings.remove_repeats(documents(spark, rows).withColumn("kept", F.lit(0))).collect())
+    assert got == sorted([(1, p, p), (5, f"{p} tail", "tail"), (5, f"{q} other", f"{q} other"), (5, f"{q} again", f"{q} again")])
+
+
 def brute_components(rows, k, percent):
     sets, ids = {}, [i for i, _ in rows]
     for i, t in rows:
@@ -165,7 +217,10 @@ def test_jaccard_join(spark, mess, monkeypatch):
     group = [(100 + i, " ".join(w if rng.random() > 0.02 else f"y{rng.integers(1000)}" for w in base)) for i in range(60)]
     rows += group
     want = brute_components(rows, 4, 85)
-    for pivots, block, chunk in ((4, 2048, 1 << 20), (1, 8, 500)):
+    for small, hot, pivots, block, chunk in ((8, 10, 4, 1024, 1 << 18), (2, 10, 1, 8, 500), (3, 0, 1, 8, 500)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        monkeypatch.setattr(jaccard, "PARTNERS", 3 if small == 2 else 128)
         monkeypatch.setattr(jaccard, "PIVOTS", pivots)
         monkeypatch.setattr(jaccard, "BLOCK", block)
         monkeypatch.setattr(jaccard, "CHUNK", chunk)
@@ -188,6 +243,42 @@ def test_jaccard_stage_repeated_ids(spark):
     assert only_null.count() == 1 and jaccard.stage(documents(spark, [])).count() == 0
 
 
+def test_jaccard_buckets():
+    rng = np.random.default_rng(9)
+    token, name = np.sort(rng.integers(0, 60, 700)) * 7, rng.integers(0, 40, 700)
+    order = np.lexsort((name, token))
+    token, name = token[order], name[order]
+    size = 20 + name % 3
+    of = {}
+    for t, n in zip(token.tolist(), name.tolist(), strict=True):
+        of.setdefault(t, set()).add(n)
+    for step in (1, 2, 5, 64, 700):
+        batches = [pa.record_batch([pa.array(token[i : i + step]), pa.array(name[i : i + step]), pa.array(size[i : i + step], pa.int32()), pa.array(np.zeros(len(token[i : i + step])), pa.int32()), pa.array(token[i : i + step] == 14)], names=["token", "name", "size", "pos", "hot"]) for i in range(0, 700, step)]
+        pairs, rows = set(), []
+        for b in jaccard._buckets(iter(batches), 85):
+            for r in b.to_pylist():
+                if r["b"] is None:
+                    rows.append((r["token"], r["a"]))
+                else:
+                    pairs.add((r["a"], r["b"]))
+        large = {t for t, ns in of.items() if len(ns) > jaccard.SMALL or t == 14}
+        assert sorted(rows) == sorted((t, n) for t in large for n in of[t])
+        assert pairs == {(a, b) for t, ns in of.items() if t not in large for a in ns for b in ns if a < b}
+
+
+def test_parity_bitmaps():
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 40, 64, 65, 500, 900)]
+    sets.append(np.concatenate((sets[-1][:-30], sets[1][:12])))
+    token, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    bits = jaccard._parity(token, row, np.array([len(x) for x in sets])).to_pylist()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = len(np.setxor1d(x, y))
+            assert jaccard._apart(bits[i], bits[j]) <= apart and (i != j or apart == 0)
+    assert jaccard._apart(bits[5], bits[6]) > 20 and jaccard._apart(bits[4], bits[5]) > 100
+
+
 def test_fingerprints(spark, mess):
     d = documents(spark, mess).withColumn("part", F.lit("clash"))
     got = merkle.edited_likeness(d).collect()
@@ -256,6 +347,17 @@ def test_packing(spark, mess):
     assert cuts[-1] == 20 and all(b - a <= 8 for a, b in zip([0, *cuts], cuts, strict=False))
 
 
+def test_packing_of_blanks(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 1_500_000 + "b", "x\n" * 40_000, "\n" * 30_000 + "c. d"]
+    encode = packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    assert [encode(t) for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    d = spark.createDataFrame([(1, texts[0]), (None, "x. y")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast("decimal(20,0)"))
+    assert {r["doc_id"] for r in packing.pack(d).collect()} == {1, None}
+
+
 PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
@@ -304,6 +406,39 @@ def test_spelled_digits_among_digits():
     assert pii.spans("host 10.0.0.4 five times") == [(1, 5, 13, True)]
 
 
+def test_disguised_is_never_wrongly_false():
+    rng = np.random.default_rng(11)
+    parts = ["a", "user", " ", "\t", "\n", "@", ".", "(", ")", "[", "]", "at", "AT", "dot", "DOT", "one", "Two", "plus", "5", "22", "-", ",", "о", "ｅ", "K", "ſ", "punkt", "arroba", "example", "com", "\u00ad"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts, rng.integers(2, 12)))
+        assert pii.disguised(t) or pii.normalised(t)[0] == t, t
+    for t in ("user\t@\texample.com", "call one 22 33 44 two 55 66 77 three 88 99 11 four"):
+        assert pii.disguised(t)
+
+
+def test_addresses_with_zeros():
+    for t in ("0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 300 + "4", "000.0.0.0", "1.2.3.0256", "0001.0255.3.00000"):
+        assert [s[:3] for s in pii.spans(t) if s[3] and s[0] == 1] == [x for x in plain_ip(t)], t
+
+
+def plain_ip(t):
+    return [(1, m.start(), m.end()) for m in re.finditer(PLAIN[1], t) if all(int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+
+
+def test_toxicity_learns_from_bounded_texts(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(held[0], f"vile text {k}") for k in range(3000)] + [(i, "vile one" if n % 2 else "kind one") for n, i in enumerate(held[1:])] + [(held[1], "k" * 9000)]
+    lab = spark.createDataFrame([(i, int(n % 2 or i == held[0])) for n, i in enumerate(held)], "doc_id long, toxic int")
+    sizes = []
+    learn = toxicity.learn
+    try:
+        toxicity.learn = lambda f, s, d, y, **k: sizes.append((len(d), len(f))) or learn(f, s, d, y, **k)
+        toxicity.train(documents(spark, rows), lab, learn_chars=64_000)
+    finally:
+        toxicity.learn = learn
+    assert sizes[0][0] <= len(held) and sizes[0][1] < 64_000
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
@@ -355,6 +490,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(e.where("vec_id > 900 and vec_id < 905"), e).count() == 0
 
 
+def test_neighbours_of_mixed_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 20)  # leaves are dealt out
+    rng = np.random.default_rng(7)
+    vectors = {i: rng.normal(size=6 if i % 3 else 9) for i in range(300)} | {300: rng.normal(size=4)}
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").withColumn("width", F.lit("clash"))
+    got = neighbours.nearest(e, e.where("vec_id % 10 = 0"), sample=60).collect()
+    for q in range(0, 301, 10):
+        near = sorted((float(np.sqrt(((v - vectors[q]) ** 2).sum())), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:10]
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for _, i in near]
+
+
 def test_neighbours_budget_grows(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(6000, 32))
