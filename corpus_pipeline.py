@@ -1,55 +1,8 @@
-"""A corpus from documents to packed sequences, in five stages.
+"""The corpus pipeline, from documents to packed sequences: see kinfolio/llm/pipeline.py.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it
-kept; all but the last return the columns of ``documents``. Between stages the
-table is written to the shared folder, so a lost executor costs one stage.
+STAGES lists (name, function); run(spark, sf_dir) applies them to ``documents``.
 """
 
-from __future__ import annotations
+from kinfolio.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from kinfolio.llm import jaccard, lines, mixing, packing, toxicity
-from kinfolio.llm.common import table
-from kinfolio.plans.lineage import cut
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity, learned from the labels, is below 0.5."""
-    return toxicity.stage(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of lines, single ones too; documents of which nothing is left go."""
-    return lines.stage(docs)
-
-
-def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that a Jaccard similarity of 0.8 on five words links."""
-    return jaccard.stage(docs, shingle=5, percent=80)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the sources' target weights take them."""
-    return mixing.mixed_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids, a row a piece."""
-    return packing.pack(docs)
-
-
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("jaccard_join", keep_one_of_similar), ("mix_sources", mix), ("pack_sequences", pack)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs, f"pipeline-{name}")
-    return docs
-
-
-#: Training and packing can't be written in SQL; tests compare the stages with brute force.
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
