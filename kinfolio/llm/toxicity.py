@@ -64,7 +64,7 @@ class Model:
         return np.bincount(once // len(self.features), weights=self.weights[once % len(self.features)], minlength=len(starts)) + self.bias
 
 
-def learn(features: np.ndarray, sentence_starts: np.ndarray, doc_starts: np.ndarray, toxic: np.ndarray, *, rounds: int = 200, l1: float = 1e-4) -> Model:
+def learn(features: np.ndarray, sentence_starts: np.ndarray, doc_starts: np.ndarray, toxic: np.ndarray, *, rounds: int = 400, l1: float = 3e-4) -> Model:
     """Fits a Model to documents given as features, the features at which
     sentences start and the sentences at which documents start: full-batch Adam
     on the log loss of the noisy-or, with an L1 penalty that leaves few
