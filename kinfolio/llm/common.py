@@ -102,8 +102,8 @@ def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-#: Bytes of text that are hashed at once.
-SEGMENT = 1 << 18
+#: Bytes of text that are hashed at once, and that are searched for words at once but for one text's.
+SEGMENT, SEARCHED = 1 << 18, 1 << 21
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _CODE = np.where(_BLANK, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
@@ -128,14 +128,24 @@ def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.
 
     A word's hash is a polynomial in the codes of its bytes, summed over the
     column's buffer in one go; blanks have code 0. ``fold`` gives A to Z the codes
-    of a to z. Memory is a few times SEGMENT beside the texts and the result."""
+    of a to z. Memory is a few times SEARCHED beside the texts and the result."""
     data, bounds = text_bytes(texts)
+    done, offsets = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in slices(np.diff(bounds), SEARCHED):
+        h, at = _words_of(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], _FOLDED if fold else _CODE)
+        done.append(h)
+        offsets.append(at[1:] + offsets[-1][-1])
+    return np.concatenate(done), np.concatenate(offsets)
+
+
+def _words_of(data: np.ndarray, bounds: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of texts that start and end at ``bounds``."""
     blank = _BLANK[data]
     opens = np.append(True, blank[:-1])[: len(blank)]
     opens[bounds[:-1][bounds[:-1] < len(data)]] = True
     starts = np.flatnonzero(opens & ~blank)
     del opens, blank
-    code, out, i = _FOLDED if fold else _CODE, np.empty(len(starts), np.uint64), 0
+    out, i = np.empty(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             a = starts[i]

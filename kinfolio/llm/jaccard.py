@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.lineage import cut
-from .common import by_row_and, fresh, mixed, only, rolled, slices, table, word_hashes
+from .common import by_row_and, fresh, mixed, only, rolled, slices, table, text_bytes, word_hashes
 
-#: Words that a worker handles at once.
-CHUNK = 1 << 18
+#: Bytes of text that a worker handles at once, but for one text's.
+CHUNK = 1 << 21
 #: Width of the table of frequencies, which bounds it: a byte each.
 SKETCH = 1 << 20
 #: From this logarithm of its count on, an n-gram is known to be shared and is dealt out by set as well.
@@ -33,11 +33,9 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple]:
     """Of some rows at a time: rows from a to b, their sets' n-grams (sorted
     hashes, one set after the other), the row of each and the sizes. A to Z are
     lower-cased, and no other letters."""
-    h, offsets = word_hashes(texts, fold=True)
-    lengths = np.diff(offsets)
-    for a, b in slices(lengths, CHUNK):
-        x, n = h[offsets[a] : offsets[b]], lengths[a:b]
-        begin = offsets[a:b] - offsets[a]
+    for a, b in slices(np.diff(text_bytes(texts)[1]), CHUNK):
+        x, offsets = word_hashes(texts.slice(a, b - a), fold=True)
+        n, begin = np.diff(offsets), offsets[:-1]
         tokens, rows = [], []
         if len(x) >= k:
             row = np.repeat(np.arange(b - a), n)[: len(x) - k + 1]
@@ -369,11 +367,13 @@ def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(classes.select(F.col("name").alias(end), F.col("size").alias(f"n{end}"), F.col("parity").alias(f"p{end}")), end)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            most = total - 2 * -(-percent * total // (100 + percent))
-            apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-            yield batch.select([0, 1]).filter(pa.array(apart <= most))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+                most = total - 2 * -(-percent * total // (100 + percent))
+                apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+                yield batch.select([0, 1]).filter(pa.array(apart <= most))
 
     return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(near, "a long, b long")
 
