@@ -72,7 +72,7 @@ def serialize_candidate(context: Sequence[int], response: Sequence[int], *, most
 
 
 #: Least tokens of each part, and who gets what is left over.
-PART_LEAST = {"original": 64, "feedback": 80, "candidate": 144, "context": 160}
+PART_LEAST = {"context": 64, "original": 80, "feedback": 144, "candidate": 160}
 SPARE_ORDER = ("candidate", "feedback", "original", "context")
 
 
@@ -105,6 +105,50 @@ def shared_quota(lengths: Sequence[int], total: int) -> list[int]:
     return out
 
 
+#: What stands before each part, and for tokens that are left out.
+PART_MARKERS = {"context": "[CONTEXT]", "original": "[ORIGINAL_RESPONSE]", "feedback": "[FEEDBACK]", "candidate": "[CANDIDATE_EDIT]"}
+OMITTED = "[...OMITTED...]"
+
+
+def without_middle(tokens: Sequence[int], budget: int, marker: Sequence[int]) -> list[int]:
+    """Tokens within ``budget``: head, marker and tail, the head with the odd one more;
+    the head alone where the marker would leave one token or none."""
+    free = budget - len(marker)
+    if len(tokens) <= budget:
+        return list(tokens)
+    if free <= 1:
+        return list(tokens[: max(0, budget)])
+    return [*tokens[: (free + 1) // 2], *marker, *(tokens[-(free // 2) :] if free // 2 else ())]
+
+
+def joined_entries(headers: Sequence[Sequence[int]], contents: Sequence[Sequence[int]], budget: int, marker: Sequence[int]) -> list[int]:
+    """Every entry under its header, within ``budget``: one token each at least, what
+    is left shared out by ``shared_quota``. Raises if an entry is empty or can't be held."""
+    if not all(contents):
+        raise ValueError("an entry is empty")
+    left = budget - sum(map(len, headers)) - len(contents)
+    if left < 0:
+        raise ValueError(f"{budget} tokens can't hold {len(contents)} entries")
+    more = shared_quota([len(c) - 1 for c in contents], left)
+    return [t for h, c, n in zip(headers, contents, more, strict=True) for t in (*h, *without_middle(c, n + 1, marker))]
+
+
+def serialize_construct(encode: Callable[[str], Sequence[int]], context: str, original: str, feedback: Sequence[str], candidate: str, *, most: int = 512, start: Sequence[int] = (), end: Sequence[int] = ()) -> list[int]:
+    """The parts of a candidate, each behind its marker, in ``most`` tokens with what
+    opens and closes a sequence. Each part keeps some tokens; one that is empty raises."""
+    markers, marker = {k: encode(v) for k, v in PART_MARKERS.items()}, encode(OMITTED)
+    headers, contents = [encode(f"[ENTRY {i}/{len(feedback)}]") for i in range(1, len(feedback) + 1)], [encode(f.strip()) for f in feedback]
+    parts = {"context": encode(context), "original": encode(original.strip()), "feedback": [t for h, c in zip(headers, contents, strict=True) for t in (*h, *c)], "candidate": encode(candidate.strip())}
+    if empty := [k for k, v in parts.items() if not len(v)]:
+        raise ValueError(f"empty parts: {', '.join(empty)}")
+    room = most - sum(map(len, markers.values())) - len(start) - len(end)
+    if room < sum(PART_LEAST.values()):
+        raise ValueError(f"{most} tokens are too few for the parts' least budgets")
+    budgets = part_budgets({k: len(v) for k, v in parts.items()}, room)
+    held = {k: without_middle(v, budgets[k], marker) for k, v in parts.items() if k != "feedback"} | {"feedback": joined_entries(headers, contents, budgets["feedback"], marker)}
+    return [*start, *(t for k in PART_MARKERS for t in (*markers[k], *held[k])), *end]
+
+
 def token_lengths(tokenize: Callable[[str], Sequence[int]], context: str, response: str, *, end: bool = True) -> tuple[int, int, int]:
     """Tokens of context, response and both, with one more if an end token is added."""
     a, b = len(tokenize(context)), len(tokenize(response))

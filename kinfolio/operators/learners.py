@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -68,24 +69,29 @@ def tfidf(train: DataFrame, frames: list[DataFrame], terms, *, least_documents:
     return [cut(counted(counted(f, "response1", "c1"), "response2", "c2"), "learner-counts").withColumn("x", difference("c1", "c2")).drop("c1", "c2") for f in frames]
 
 
-def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, *, c: float = 1.0, iterations: int = 100, **how) -> DataFrame:
-    """pair_id, label, margin and probability: a logistic model of label (second
-    response preferred) on x, with an L2 penalty of 1 / (c * n) on all weights, the
-    constant's too."""
-    a, b = tfidf(train, [train, evaluation], terms, **how)
+def predict_sets(train: DataFrame, evaluations: dict[str, DataFrame], terms=word_terms, *, c: float = 1.0, iterations: int = 100, **how) -> dict[str, DataFrame]:
+    """For each evaluation set pair_id, label, margin and probability: a logistic model
+    of label (second response preferred) on x, with an L2 penalty of 1 / (c * n) on all
+    weights, the constant's too. Terms are counted and the model is fitted once for all sets."""
+    a, *others = tfidf(train, [train, *evaluations.values()], terms, **how)
     a = cut(a.select("pair_id", "x", F.col("label").cast("double").alias("label")), "learner")
     model = LogisticRegression(featuresCol="x", regParam=1 / (c * max(1, train.count())), standardization=False, fitIntercept=False, maxIter=iterations, tol=1e-6).fit(a)
     raw = vector_to_array("rawPrediction")
-    return model.transform(b.withColumn("label", F.col("label").cast("double"))).select("pair_id", "label", F.get(raw, F.lit(1)).alias("margin"), F.get(vector_to_array("probability"), F.lit(1)).alias("probability"))
+    scored = (model.transform(b.withColumn("label", F.col("label").cast("double"))) for b in others)
+    return {name: s.select("pair_id", "label", F.get(raw, F.lit(1)).alias("margin"), F.get(vector_to_array("probability"), F.lit(1)).alias("probability")) for name, s in zip(evaluations, scored, strict=True)}
 
 
-def grid(train: DataFrame, evaluations: dict[str, DataFrame], *, fractions: tuple[float, ...], models: dict) -> DataFrame:
+def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, **how) -> DataFrame:
+    """``predict_sets`` for one set."""
+    return predict_sets(train, {"": evaluation}, terms, **how)[""]
+
+
+def grid(train: DataFrame, evaluations: dict[str, DataFrame], *, fractions: tuple[float, ...], models: dict, **how) -> DataFrame:
     """Predictions of every model at every prefix of ``train`` (by position) on every evaluation set."""
-    n, out = train.count(), None
+    n, out = train.count(), []
     for fraction in fractions:
         prefix = train.where(F.col("position") < F.bround(F.lit(n * fraction), 0))
-        for name, (terms, c) in models.items():
-            for set_name, e in evaluations.items():
-                p = fit_predict(prefix, e, terms, c=c).select(F.lit(name).alias("model"), F.lit(fraction).alias("fraction"), F.lit(set_name).alias("evaluation_set"), "*")
-                out = p if out is None else out.unionByName(p)
-    return out
+        for name, (terms, c, most) in models.items():
+            for set_name, p in predict_sets(prefix, evaluations, terms, c=c, most_features=most, **how).items():
+                out.append(p.select(F.lit(name).alias("model"), F.lit(fraction).alias("fraction"), F.lit(set_name).alias("evaluation_set"), "*"))
+    return reduce(DataFrame.unionByName, out)

@@ -187,3 +187,18 @@ def component_disjoint(rows: DataFrame, component: str, *, development: int, bas
     return dev, top_by_hash(rest, stable_rank(seed, "base", F.col(key)), base)
 
 
+def disjoint_mixture(rows: DataFrame, shared: DataFrame, *, excluded: DataFrame, contexts: DataFrame, development: int, base: int, retained: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A development set, a base set and retained shared rows, where no component of
+    the development set is in the others.
+
+    ``rows`` and ``shared`` have id, component and context. Rows of components in
+    ``excluded`` or with contexts in ``contexts`` don't count; of each component and context
+    the row of least rank stands for all. Development rows come from components without
+    shared rows, base rows from components that the development set leaves. Raises if
+    either is short."""
+    rank = lambda ns: stable_rank(seed, ns, F.col("id"))
+    clean = strict_clean(rows.select("id", "component", "context"), (excluded, "component"), (contexts, "context"))
+    one = best_per(clean, ["component", "context"], F.struct(rank("within_component"), F.col("id")))
+    dev = top_by_hash(one.join(shared.select("component").distinct(), "component", "left_anti"), rank("development"), development)
+    train = top_by_hash(one.join(dev.select("component").distinct(), "component", "left_anti"), rank("training"), base)
+    return dev, train, top_by_hash(shared.select("id", "component", "context"), rank("retained"), retained)

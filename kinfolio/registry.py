@@ -11,6 +11,7 @@ from .functions.text import length_bin, orient
 from .operators import effects, exposure, graph, learners, recovery, reports, resample, splits
 from .operators.atoms import Mapping, exploded, with_atoms
 from .plans import tables as t
+from .plans.lineage import cut
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -650,6 +651,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _flat(recovery.recovered(recovery.edit_training_pairs(s), s, "edit"))
 
 
+_MIX = f"""{_LINK}, cx AS (SELECT record_id AS id, value_hash AS context, label AS component, split, view FROM atoms JOIN lab USING (record_id) WHERE atom_type = 'context'),
+ms AS (SELECT * FROM cx WHERE split = 'train' AND view = 'v3'), mr AS (SELECT *, row_number() OVER (PARTITION BY component, context ORDER BY {_rank(7, repr('within_component'), 'id')}, id) AS n FROM cx x WHERE split = 'train' AND view <> 'v3'
+  AND NOT EXISTS (SELECT 1 FROM cx e WHERE e.split = 'validation' AND e.view = 'v0' AND e.component = x.component) AND NOT EXISTS (SELECT 1 FROM cx e WHERE e.split = 'validation' AND e.context = x.context)),
+md AS MATERIALIZED (SELECT id, component, context FROM mr WHERE n = 1 AND component NOT IN (SELECT component FROM ms) ORDER BY {_rank(7, repr('development'), 'id')} LIMIT 5),
+mb AS (SELECT id, component, context FROM mr WHERE n = 1 AND component NOT IN (SELECT component FROM md) ORDER BY {_rank(7, repr('training'), 'id')} LIMIT 10), mk AS (SELECT id, component, context FROM ms ORDER BY {_rank(7, repr('retained'), 'id')} LIMIT 10)"""
+_MIX = _MIX.replace("mb AS (SELECT id", "mt AS (SELECT id")
+
+
+@_query("disjoint_mixture", f"WITH RECURSIVE {_MIX} SELECT 'development' AS part, * FROM md UNION ALL SELECT 'base', * FROM mt UNION ALL SELECT 'retained', * FROM mk")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = _contexts(spark, d).join(cut(graph.components(t.atoms(spark, d)), "labels"), "record_id").select(F.col("record_id").alias("id"), F.col("label").alias("component"), "context", "split", "view")
+    train, held = c.where("split = 'train'"), c.where("split = 'validation'")
+    parts = splits.disjoint_mixture(train.where("view <> 'v3'"), train.where("view = 'v3'"), excluded=held.where("view = 'v0'"), contexts=held, development=5, base=10, retained=10, seed=7)
+    named = [p.select(F.lit(name).alias("part"), "id", "component", "context") for name, p in zip(("development", "base", "retained"), parts, strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 # --- candidates, policies and arrivals, resampled
 
 

@@ -17,14 +17,14 @@ from .adapters import file_sha256
 def refuse_existing(path: str | Path) -> Path:
     p = Path(path)
     if p.exists():
-        raise FileExistsError(f"refusing to overwrite existing output: {p}")
+        raise FileExistsError(f"{p} is there already; nothing is overwritten")
     return p
 
 
 def write_csv(df: DataFrame, path: str, *, gz: bool = False, one_file: bool = False) -> None:
     """A folder of CSV files with headers. An empty table is refused."""
     if df.isEmpty():
-        raise ValueError(f"refusing to write an empty table: {path}")
+        raise ValueError(f"no rows for {path}")
     out = df.coalesce(1) if one_file else df
     out.write.mode("errorifexists").csv(path, header=True, compression="gzip" if gz else "none")
 
@@ -85,3 +85,19 @@ def verify_manifest(expected: DataFrame, found: DataFrame) -> DataFrame:
 def percent_macro(name: str, value: float) -> str:
     """A LaTeX command that holds a percentage with two decimals."""
     return f"\\newcommand{{\\{name}}}{{{100 * value:.2f}}}"
+
+
+def write_macros(path: str | Path, values: Mapping[str, float]) -> None:
+    """A file of ``percent_macro`` commands, by name."""
+    p = refuse_existing(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text("".join(f"{percent_macro(k, values[k])}\n" for k in sorted(values)), encoding="utf-8")
+
+
+def verification_report(expected: DataFrame, found: DataFrame) -> dict:
+    """Counts of expected, missing and changed files, the first of them by path, and
+    whether all are valid."""
+    v = verify_manifest(expected, found)
+    r = v.agg(F.count("*").alias("files"), F.count_if(~F.col("exists")).alias("missing"), F.count_if(F.col("exists") & ~F.col("valid")).alias("changed")).first()
+    first = [x["path"] for x in v.where("not valid").orderBy("path").limit(20).collect()]
+    return {"files": r["files"], "missing": r["missing"], "changed": r["changed"], "first_invalid": first, "valid": not r["missing"] and not r["changed"]}

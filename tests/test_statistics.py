@@ -151,3 +151,21 @@ def test_streaming_exposure(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["record_id"], r["same_view"]) for r in spark.table("exposed").collect()] == [(1, False)]
+
+
+def test_learner_grid(spark):
+    """Every model at every prefix on every set, and the same as fitting that prefix alone."""
+    from pyspark.sql import functions as F
+
+    from kinfolio.operators import learners
+
+    rows = [(i, i, f"plain words here {i % 5}", f"good words {'fine' if i % 2 else 'plain'} there {i % 3}", i % 2) for i in range(40)]
+    pairs = spark.createDataFrame(rows, "pair_id long, position long, response1 string, response2 string, label int")
+    sets = {"a": pairs.where("pair_id < 10"), "b": pairs.where("pair_id >= 30")}
+    models = {k: learners.MODELS[k] for k in ("word",)}
+    got = learners.grid(pairs, sets, fractions=(0.5, 1.0), models=models, iterations=20).collect()
+    assert len(got) == 2 * (10 + 10) and {r["fraction"] for r in got} == {0.5, 1.0}
+    assert all((r["margin"] > 0) == (r["label"] > 0) for r in got if r["fraction"] == 1.0)
+    alone = learners.fit_predict(pairs.where(F.col("position") < 20), sets["b"], learners.word_terms, c=0.3, iterations=20).collect()
+    of = {r["pair_id"]: r["margin"] for r in got if r["fraction"] == 0.5 and r["evaluation_set"] == "b"}
+    assert all(abs(of[r["pair_id"]] - r["margin"]) < 1e-9 for r in alone)
