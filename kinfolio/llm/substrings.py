@@ -22,8 +22,8 @@ ROWS = "key long, doc_id long, at long"
 
 
 def _tag(text: Column) -> Column:
-    """31 bits that tell apart the texts of rows with one doc_id."""
-    return F.hash(text).bitwiseAND(F.lit(0x7FFFFFFF))
+    """A number above 0, of 30 bits, that tells apart the texts of rows with one doc_id."""
+    return F.hash(text).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
@@ -138,8 +138,9 @@ def _met(rows: DataFrame, later: bool) -> DataFrame:
 
 
 def repeated_windows(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """doc_id, tag and starts (array): where windows start, in the text of that
-    ``_tag``, that also start in a document with a smaller doc_id.
+    """doc_id, tag and starts (array): where windows start that also start in a document
+    with a smaller doc_id. Of ids that several texts share, each ``_tag`` has rows of its
+    own; for all others the tag is 0, which costs the shuffle next to nothing.
 
     First level: windows of half the length, rounded up; of those inside each
     whole window the one with the least hash is tried, so that equal windows try
@@ -156,8 +157,11 @@ def repeated_windows(documents: DataFrame, *, window: int = WINDOW) -> DataFrame
     halves = _met(tried, False).groupBy("doc_id").agg(F.collect_list("key").alias("halves")).withColumnRenamed("doc_id", "its_id")
     # an outer join, as below, so that the texts are shuffled once for both
     both = docs.join(halves, docs["doc_id"] == halves["its_id"], "left")
+    tag = _tag(F.col("text"))
+    shared = docs.groupBy("doc_id").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low < high").select(F.col("doc_id").alias("shared_id"))
+    both = both.join(shared, both["doc_id"] == shared["shared_id"], "left").withColumn("tag", F.when(F.col("shared_id").isNotNull(), tag).otherwise(0))
     text = F.when(F.col("halves").isNotNull(), F.col("text")).otherwise("")
-    tried = both.select("doc_id", text.alias("text"), F.coalesce("halves", F.array().cast("array<bigint>")).alias("halves"), _tag(F.col("text")).alias("tag")).mapInArrow(lambda b: _second_level(b, window), ROWS)
+    tried = both.select("doc_id", text.alias("text"), F.coalesce("halves", F.array().cast("array<bigint>")).alias("halves"), "tag").mapInArrow(lambda b: _second_level(b, window), ROWS)
     place = _met(tried, True).select("doc_id", F.shiftright("at", 32).cast("int").alias("tag"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
     return place.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("starts"))
 
@@ -193,7 +197,7 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     documents = documents.drop(*new)
     w, kept_c, id_c, tag_c = (fresh(documents, c) for c in ("words", "kept", "its_id", "tag"))
     found = repeated_windows(documents, window=window).select(F.col("doc_id").alias(id_c), F.col("tag").alias(tag_c), _ranges(F.col("starts"), F.lit(window)).alias("removed"))
-    out = documents.join(found, (documents["doc_id"] == found[id_c]) & (_tag(documents["text"]) == found[tag_c]), "left").drop(id_c, tag_c).withColumn(w, words(F.col("text")))
+    out = documents.join(found, (documents["doc_id"] == found[id_c]) & ((found[tag_c] == 0) | (found[tag_c] == _tag(documents["text"]))), "left").drop(id_c, tag_c).withColumn(w, words(F.col("text")))
     r = F.col("removed")
     stretches = F.transform(
         F.sequence(F.lit(0), F.size(r)),
