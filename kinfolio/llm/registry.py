@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, pipeline, substrings, toxicity
+from . import infilling, jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, pipeline, resampling, substrings, suffixes, toxicity
 
-_MODULES = (jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, substrings, toxicity)
+_MODULES = (infilling, jaccard, licenses, lines, merkle, mixing, neighbours, packing, pii, resampling, substrings, suffixes, toxicity)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 QUERIES["pipeline"] = pipeline.run
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

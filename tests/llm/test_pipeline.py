@@ -41,6 +41,6 @@ def test_stages(spark):
 
 
 def test_registered_queries(spark):
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in registry.QUERIES if k != "pipeline"}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in registry.QUERIES if k != "pipeline"}
     for name in ("op5_fingerprints", "op6_pack_sequences", "op7_pii_spans", "op9_toxicity", "op10_nearest_neighbours"):
         assert registry.QUERIES[name](spark, SF).count() > 0
