@@ -37,7 +37,7 @@ BLOCK = 4
 #: over a match of containment 0.8, one has j of 0.45 or more: 0.99 at least.
 BANDS = 8
 CONTAINED = 0.8
-#: Shingles without a match that end a region: so many, or a fourth of the template's if that is more.
+#: Foreign words that a region can hold in a row: so many, or a fourth of the template's shingles if that is more.
 GAP = 10
 
 
@@ -99,8 +99,8 @@ def scan(documents: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
 
     Windows of two blocks of BLOCK shingles, and single shingles, are looked up
     among the templates' by the least of BANDS hashes. Documents that hit are
-    compared with the templates exactly: shared shingles, with gaps of GAP or a
-    fourth of the template's at most, make a region, and a region counts if it holds CONTAINED of the
+    compared with the templates exactly: shared shingles, with at most GAP foreign words or a
+    fourth of the template's shingles between them, make a region, and a region counts if it holds CONTAINED of the
     template's distinct shingles. Texts that hit nothing are done in one pass
     without a shuffle; regions are put together by document. What is looked up
     grows with ``texts``, which the caller bounds, not with ``documents``.
@@ -132,7 +132,7 @@ def scan(documents: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     every = F.concat(*(F.transform(_shingles("words", k), _placed(k)) for k in sorted(keys)))
     m = d.select("doc_id", "text_hash", F.inline(every)).join(F.broadcast(ours), ["k", "shingle"]).distinct()
     order = Window.partitionBy("doc_id", "text_hash", "license").orderBy("at")
-    m = m.withColumn("opens", F.coalesce(F.col("at") - F.lag("at").over(order) > F.greatest(F.lit(GAP), F.floor(F.col("of") / 4)), F.lit(True)).cast("int")).withColumn("region", F.sum("opens").over(order))
+    m = m.withColumn("opens", F.coalesce(F.col("at") - F.lag("at").over(order) - F.col("k") > F.greatest(F.lit(GAP), F.floor(F.col("of") / 4)), F.lit(True)).cast("int")).withColumn("region", F.sum("opens").over(order))
     r = m.groupBy("doc_id", "text_hash", "license", "of", "k", "region").agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + F.col("k")).alias("n_words"), F.count_distinct("shingle").alias("n"))
     return r.where(F.col("n") >= CONTAINED * F.col("of")).select("doc_id", "license", "start", "n_words", (F.col("n") / F.col("of")).alias("containment"))
 
@@ -178,7 +178,7 @@ ks AS (SELECT DISTINCT k FROM ts),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 x AS (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM d, ks WHERE len(w) >= k),
 m AS (SELECT doc_id, license, pos, x.k, shingle FROM x JOIN ts ON ts.k = x.k AND ts.shingle = array_to_string(w[pos + 1:pos + x.k], ' ')),
-o AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, license ORDER BY pos) <= greatest({GAP}, floor(n_of / 4)) THEN 0 ELSE 1 END AS opens FROM m JOIN tn USING (license)),
+o AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id, license ORDER BY pos) - m.k <= greatest({GAP}, floor(n_of / 4)) THEN 0 ELSE 1 END AS opens FROM m JOIN tn USING (license)),
 r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, license ORDER BY pos) AS region FROM o),
 g AS (SELECT doc_id, license, region, min(pos) AS start, max(pos) - min(pos) + any_value(k) AS n_words, count(DISTINCT shingle) AS n FROM r GROUP BY ALL)
 SELECT doc_id, license, start::INT AS start, n_words::INT AS n_words, n / n_of AS containment FROM g JOIN tn USING (license) WHERE n >= {CONTAINED} * n_of
