@@ -116,9 +116,10 @@ _INVERSES = np.cumprod(np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64)) * n
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow column of texts (null: none) and where each text starts and ends in them."""
-    texts = texts.fill_null("") if texts.null_count else texts
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = texts.fill_null(b"" if binary else "") if texts.null_count else texts
     _, at, data = texts.buffers()
-    bounds = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) else np.int32, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    bounds = np.frombuffer(at, np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
     return data, bounds - bounds[0]
 

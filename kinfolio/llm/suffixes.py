@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import flat_lists, fresh, least_of, mixed, only, rolled, table, text_bytes
 from .substrings import PASSED, SEVERAL, _judge, _rows, _tag
@@ -21,7 +22,7 @@ from .substrings import PASSED, SEVERAL, _judge, _rows, _tag
 #: Bytes of a window, and of the anchor in it whose hash says where the window goes.
 WINDOW, ANCHOR = 50, 16
 #: Bytes of text that a worker handles at once, and windows of one row at most.
-PIECE, RUN = 1 << 20, 1 << 12
+PIECE, RUN = 1 << 21, 1 << 12
 #: Bytes that are sorted as one shard, unless one key has more; suffixes of a shard that are held in memory at a time.
 SHARD, HELD = 1 << 22, 1 << 22
 #: Suffixes that are induced from at once.
@@ -162,19 +163,26 @@ def _chained(x: np.ndarray, member: np.ndarray, first: np.ndarray, rank: np.ndar
     index = np.full(len(x) + 1, -1)
     index[place] = np.arange(len(place))
     inner = member[place]
-    key = np.lexsort((np.where(inner, 0, rank[place]), ~first[place], x[place]))
-    of = np.empty(len(place), np.int64)
-    cols = [x[place][key], first[place][key], np.where(inner, 0, rank[place])[key]]
-    of[key] = np.cumsum(np.append(0, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
-    after = np.where(inner, index[np.minimum(place + 1, len(x))], np.arange(len(place)))
+    cols = [x[place], ~first[place], np.where(inner, 0, rank[place])]
+    key = np.lexsort(cols[::-1])
+    opens = np.append(True, np.any([c[key][1:] != c[key][:-1] for c in cols], axis=0))[: len(place)]
+    of = np.empty(len(place), np.int64)  # a group's first place in the order is its number
+    of[key] = np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    own = np.arange(len(place))
+    after = np.where(inner, index[np.minimum(place + 1, len(x))], own)
     while True:
-        open_ = after != np.arange(len(place))
-        if not open_.any():
+        tied = np.flatnonzero((np.bincount(of, minlength=1)[of] > 1) & (after != own))
+        if not len(tied):
             return _spread(of, place, len(x))
-        pair = of * (int(of.max()) + 2) + np.where(open_, of[after] + 1, 0)
-        of = np.unique(pair, return_inverse=True)[1]
+        pair = of[tied] * (len(place) + 1) + of[after[tied]]
+        order = np.argsort(pair, kind="stable")
+        opens = np.append(True, np.diff(pair[order]) != 0)
+        group = np.append(True, np.diff(of[tied][order]) != 0)
+        at = np.flatnonzero(opens)[np.cumsum(opens) - 1] - np.flatnonzero(group)[np.cumsum(group) - 1]
+        refined = of.copy()
+        refined[tied[order]] = of[tied][order] + at
         ended = after[after] == after
-        after = np.where(open_ & ended, np.arange(len(place)), after[after])
+        of, after = refined, np.where(ended, own, after[after])
 
 
 def _spread(of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
@@ -380,8 +388,9 @@ def _pieces(batch: pa.RecordBatch, window: int) -> Iterator[tuple[np.ndarray, np
 
 
 def _anchors(data: np.ndarray, window: int) -> np.ndarray:
-    """For each window the least hash of the anchors in it, without the last bit. Equal windows have the same, and neighbours mostly share it."""
-    return least_of(rolled(_CODE[data], ANCHOR), window - ANCHOR + 1) & np.uint64(0xFFFFFFFFFFFFFFFE)
+    """For each window 48 bits of the least hash of the anchors in it. Equal windows have the
+    same, and neighbours mostly share it; others that share it by chance cost their way only."""
+    return least_of(rolled(_CODE[data], ANCHOR), window - ANCHOR + 1) >> np.uint64(16)
 
 
 def _first_level(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -431,29 +440,44 @@ def _out(key, doc, at, n, text) -> pa.RecordBatch:
     return pa.record_batch([pa.array(key), pa.array(doc), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int32)), text], names=["key", "doc_id", "at", "n", "text"])
 
 
+@F.arrow_udf(BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed one by one, for their way."""
+    press = zstandard.ZstdCompressor()
+    return pa.array([None if not t.is_valid else press.compress(t.as_buffer()) for t in texts], pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([None if not t.is_valid else press.decompress(t.as_buffer()) for t in packed], pa.large_binary())
+
+
+@F.arrow_udf(StringType())
+def _text(packed: pa.Array) -> pa.Array:
+    return _unpacked(packed).cast(pa.string())
+
+
 def _second_level(batches: Iterator[pa.RecordBatch], window: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Runs of windows with a repeated anchor, with their bytes; of equal ones in a piece
     only the first document's, the others are settled and have none."""
-    odd = np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
+        batch = pa.record_batch([batch.column(0), _unpacked(batch.column(1)), *batch.columns[2:]], names=["doc_id", "text", "anchors", "tag"])
         ids, tag = batch.column(0).fill_null(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
         held, offsets = flat_lists(batch.column(2))
-        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets)).astype(np.uint64)
+        owner = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(offsets)) << 31
         for data, at, row, start in _pieces(batch, window):
             a, b = offsets[row[0]], offsets[row[-1] + 1]
             if a == b:
                 continue
             key = _anchors(data, window)[at]
-            with np.errstate(over="ignore"):
-                wanted = held[a:b].view(np.uint64) ^ (owner[a:b] * odd)
-                hit = np.flatnonzero(np.isin(key ^ (row.astype(np.uint64) * odd), wanted))
+            hit = np.flatnonzero(np.isin(row << 31 | (key & np.uint64(0x7FFFFFFF)).astype(np.int64), held[a:b] | owner[a:b]))
             if not len(hit):
                 continue
             key, at, row, start = key[hit], at[hit], row[hit], start[hit]
             alone = np.isin(key, frequent)
             if alone.any():
                 key = key.copy()
-                key[alone] = rolled(_CODE[data], window)[at[alone]]
+                key[alone] = rolled(_CODE[data], window)[at[alone]] >> np.uint64(16)
             new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] != start[:-1] + 1))
             opens = np.flatnonzero(new)
             within = np.arange(len(key)) - opens[np.cumsum(new) - 1]
@@ -549,9 +573,10 @@ def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if len(batches) > 1 else batches[0]
 
 
-def repeated_runs(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
+def repeated_runs(docs: DataFrame, moved: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, tag and runs (array of at, n): n windows from byte ``at`` on also start in a smaller
-    doc_id. ``docs`` has doc_id and text, dealt out by doc_id. Tags are as in operator 4.
+    doc_id. ``docs`` has doc_id and text, ``moved`` the same rows dealt out by doc_id, as doc_id,
+    packed text and tag. Tags are as in operator 4.
 
     1. Of the anchors in each window the one with the least hash is tried, so equal windows
        try the same and only some places move: anchors that two documents hold go on.
@@ -565,12 +590,12 @@ def repeated_runs(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """
     tried = docs.mapInArrow(lambda b: _first_level(b, window), "key long, doc_id long, at long")
     met = tried.repartition(F.when(F.col("at") > PASSED, F.col("key")).otherwise(F.xxhash64("doc_id"))).sortWithinPartitions("key").mapInArrow(lambda b: _judge(b, False), "key long, doc_id long, at long")
-    anchors = met.groupBy("doc_id").agg(F.collect_list("key").alias("anchors")).withColumnRenamed("doc_id", "its_id")
-    tag = _tag(F.col("text"))
-    shared = docs.groupBy("doc_id").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where("low < high").select(F.col("doc_id").alias("shared_id"))
-    both = docs.join(anchors, docs["doc_id"] == anchors["its_id"]).join(shared, docs["doc_id"] == shared["shared_id"], "left")
+    part = F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # enough to know a document's own anchors by
+    anchors = met.groupBy("doc_id").agg(F.collect_list(part).alias("anchors")).withColumnRenamed("doc_id", "its_id")
+    shared = moved.groupBy("doc_id").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high").select(F.col("doc_id").alias("shared_id"))
+    both = moved.join(anchors, moved["doc_id"] == anchors["its_id"]).join(shared, moved["doc_id"] == shared["shared_id"], "left")
     frequent = _frequent(docs, window)
-    asked = both.select("doc_id", "text", "anchors", F.when(F.col("shared_id").isNotNull(), tag).otherwise(0).alias("tag"))
+    asked = both.select("doc_id", "packed", "anchors", F.when(F.col("shared_id").isNotNull(), F.col("tag")).otherwise(0).alias("tag"))
     runs = asked.mapInArrow(lambda b: _second_level(b, window, frequent), _OUT)
     runs = runs.repartition(F.when(F.col("text").isNotNull(), F.col("key")).otherwise(F.xxhash64("doc_id"))).sortWithinPartitions("key", "text")
     found = runs.mapInArrow(lambda b: _sorted_shards(b, window), _FOUND)
@@ -582,9 +607,9 @@ _SPANS = ArrayType(StructType([StructField("a", IntegerType()), StructField("b",
 
 
 @F.arrow_udf(StructType([StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("removed", _SPANS), StructField("kept", BinaryType())]))
-def _without(texts: pa.Array, runs: pa.Array, window: pa.Array) -> pa.Array:
+def _without(packed: pa.Array, runs: pa.Array, window: pa.Array) -> pa.Array:
     """What is left of texts without the bytes that windows cover."""
-    data, bounds = text_bytes(texts)
+    data, bounds = text_bytes(_unpacked(packed))
     out = []
     for i, (r, w) in enumerate(zip(runs, window.to_pylist(), strict=True)):
         own = data[bounds[i] : bounds[i + 1]]
@@ -621,11 +646,13 @@ def remove_repeated_bytes(documents: DataFrame, *, window: int = WINDOW) -> Data
     new = ("n_bytes", "n_removed", "removed", "kept")
     documents = documents.drop(*new)
     id_c, tag_c, runs_c, out_c = (fresh(documents, c) for c in ("its_id", "tag", "runs", "out"))
-    documents = documents.repartition("doc_id")  # texts move once: both joins read what this wrote
-    found = repeated_runs(only(documents), window=window).select(F.col("doc_id").alias(id_c), F.col("tag").alias(tag_c), F.col("runs").alias(runs_c))
-    same = (documents["doc_id"] == found[id_c]) & ((found[tag_c] == 0) | (found[tag_c] == _tag(documents["text"])))
-    out = documents.join(found, same, "left").withColumn(out_c, _without(F.col("text"), F.col(runs_c), F.lit(window)))
-    return out.select(*documents.columns, *(_field(out_c, c) for c in new))
+    z, t = fresh(documents, "packed"), fresh(documents, "its_tag")
+    moved = documents.select(*(c for c in documents.columns if c.lower() != "text"), _packed("text").alias(z), _tag(F.col("text")).alias(t)).repartition("doc_id")  # texts move once: both joins read what this wrote
+    found = repeated_runs(only(documents), moved.select("doc_id", F.col(z).alias("packed"), F.col(t).alias("tag")), window=window)
+    found = found.select(F.col("doc_id").alias(id_c), F.col("tag").alias(tag_c), F.col("runs").alias(runs_c))
+    same = (moved["doc_id"] == found[id_c]) & ((found[tag_c] == 0) | (found[tag_c] == moved[t]))
+    out = moved.join(found, same, "left").withColumn(out_c, _without(F.col(z), F.col(runs_c), F.lit(window)))
+    return out.select(*(_text(z).alias(c) if c.lower() == "text" else F.col(c) for c in documents.columns), *(_field(out_c, c) for c in new))
 
 
 def _field(column: str, name: str) -> Column:
