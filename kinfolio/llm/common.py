@@ -52,7 +52,9 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def rolled(h: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hashes of all runs of ``k`` values of ``h``, by doubling: a run of a + b
-    is a run of a followed by a run of b. Position i holds the run that starts there."""
+    is a run of a followed by a run of b. Position i holds the run that starts there. A
+    polynomial modulo 2^64 of values that are hashes themselves; the strings by which such
+    polynomials fail whatever their base have 1024 values or more, so ``k`` is to stay below."""
     if len(h) < k:
         return np.empty(0, np.uint64)
     power, have, acc, done = np.uint64(base), h.astype(np.uint64), None, 0
@@ -106,12 +108,20 @@ def flat_lists(column) -> tuple[np.ndarray, np.ndarray]:
 SEGMENT, SEARCHED = 1 << 18, 1 << 21
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_CODE = np.where(_BLANK, np.uint64(0), mixed(np.arange(1, 257, dtype=np.uint64) * _ODD))
-_FOLDED = _CODE.copy()
-_FOLDED[65:91] = _CODE[97:123]
-_BASE = 0xC2B2AE3D27D4EB4F
-_POWERS = np.cumprod(np.full(SEGMENT, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
-_INVERSES = np.cumprod(np.full(SEGMENT, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
+#: Places in a word whose bytes' values are looked up; further ones are worked out.
+_PLACES = 32
+
+
+def _value(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What a byte at a place in its word adds to the word's hash: a number that looks random for each pair."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed((place.astype(np.uint64) + np.uint64(1)) * _ODD) + (byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+_FIRST = _value(np.tile(np.arange(256), _PLACES), np.repeat(np.arange(_PLACES), 256))
+_SAME = np.arange(256, dtype=np.uint8)
+_FOLDED = _SAME.copy()
+_FOLDED[65:91] += 32
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,25 +137,36 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: pa.Array, *, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of an Arrow column of texts, and row offsets.
 
-    A word's hash is a polynomial in the codes of its bytes, summed over the
-    column's buffer in one go; blanks have code 0. ``fold`` gives A to Z the codes
-    of a to z. Memory is a few times SEARCHED beside the texts and the result."""
+    A word's hash is the sum of a value for each of its bytes and the byte's place, so
+    words differ as if by chance, without a rule as polynomials modulo 2^64 have one. ``fold`` reads A to Z as
+    a to z. Memory is a few times SEARCHED beside the texts and the result."""
     data, bounds = text_bytes(texts)
     done, offsets = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
     for a, b in slices(np.diff(bounds), SEARCHED):
-        h, at = _words_of(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], _FOLDED if fold else _CODE)
+        h, at = _words_of(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], _FOLDED if fold else _SAME)
         done.append(h)
         offsets.append(at[1:] + offsets[-1][-1])
     return np.concatenate(done), np.concatenate(offsets)
 
 
-def _words_of(data: np.ndarray, bounds: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``word_hashes``, of texts that start and end at ``bounds``."""
+def _values(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """``_value`` of bytes, most from the table."""
+    near = place < _PLACES
+    if near.all():
+        return _FIRST[place * 256 + data]
+    out = np.empty(len(data), np.uint64)
+    out[near] = _FIRST[place[near] * 256 + data[near]]
+    out[~near] = _value(data[~near], place[~near])
+    return out
+
+
+def _words_of(data: np.ndarray, bounds: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of texts that start and end at ``bounds``; bytes are ``read`` as others."""
     blank = _BLANK[data]
     opens = np.append(True, blank[:-1])[: len(blank)]
     opens[bounds[:-1][bounds[:-1] < len(data)]] = True
     starts = np.flatnonzero(opens & ~blank)
-    del opens, blank
+    del opens
     out, i = np.empty(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
         while i < len(starts):
@@ -155,14 +176,19 @@ def _words_of(data: np.ndarray, bounds: np.ndarray, code: np.ndarray) -> tuple[n
             if b - a > SEGMENT and j > i + 1:
                 j -= 1
                 b = starts[j]
-            if b - a <= SEGMENT:
+            if j > i + 1 or b - a <= SEGMENT:
                 at = starts[i:j] - a
-                out[i:j] = np.add.reduceat(code[data[a:b]] * _POWERS[: b - a], at) * _INVERSES[at]
+                place = np.arange(b - a) - np.repeat(at, np.diff(np.append(at, b - a)))
+                value = _values(read[data[a:b]], place)
+                value[blank[a:b]] = 0
+                out[i:j] = np.add.reduceat(value, at)
             else:  # one word, longer than a segment
-                total, scale = np.uint64(0), np.uint64(1)
+                total = np.uint64(0)
                 for s in range(a, b, SEGMENT):
-                    part = code[data[s : min(b, s + SEGMENT)]]
-                    total, scale = total + scale * (part * _POWERS[: len(part)]).sum(dtype=np.uint64), scale * _POWERS[-1] * np.uint64(_BASE)
+                    e = min(b, s + SEGMENT)
+                    value = _values(read[data[s:e]], np.arange(s - a, e - a))
+                    value[blank[s:e]] = 0
+                    total += value.sum(dtype=np.uint64)
                 out[i] = total
             i = j
         return mixed(out), np.searchsorted(starts, bounds)

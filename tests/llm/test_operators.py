@@ -55,13 +55,26 @@ def test_word_hashes(mess, monkeypatch):
     assert all(of.setdefault(w, x) == x for w, x in zip((w for ws in found for w in ws), h.tolist(), strict=True)) and len(set(of.values())) == len(of)
     for n in (64, 7):  # segments that end in texts and in words
         monkeypatch.setattr(common, "SEGMENT", n)
-        monkeypatch.setattr(common, "_POWERS", common._POWERS[:n])
-        monkeypatch.setattr(common, "_INVERSES", common._INVERSES[:n])
         assert (word_hashes(pa.array(texts, pa.large_string()).slice(2))[0] == h[offsets[2] :]).all()
     assert word_hashes(pa.array(["x A", "X a"]), fold=True)[0].reshape(2, 2)[0].tolist() == word_hashes(pa.array(["X a"]), fold=True)[0].tolist()
     assert len(word_hashes(pa.array([], pa.string()))[0]) == 0
 
 
+def test_words_of_doubled_complements(spark):
+    """Words by which every polynomial modulo 2^64 fails have hashes of their own."""
+    x, y = "a", "b"
+    while len(x) < 2048:
+        x, y = x + y, y + x
+    h = word_hashes(pa.array([x, y, x + y, y + x]))[0].tolist()
+    assert len(set(h)) == 4
+    rest = " ".join(f"w{i}" for i in range(12))
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(documents(spark, [(1, f"{rest} {x}"), (2, f"{rest} {y}"), (3, f"{rest} {x}")])).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    few = " ".join(f"v{i}" for i in range(8))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar(documents(spark, [(1, f"{few} {x} {few[::-1]}"), (2, f"{few} {y} {few[::-1]}"), (3, f"{few} {x} {few[::-1]}")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_mixing(spark, mess):
     rows = [(i, t, s) for (i, t), s in zip(mess, [*"aab", None, *"abcd"] * 10, strict=False)]
     d = documents(spark, rows).withColumn("size", F.lit("clash"))
