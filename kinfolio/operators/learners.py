@@ -1,18 +1,20 @@
-"""Sparse pairwise preference learners: TF-IDF of two responses, logistic on the difference."""
+"""Sparse pairwise preference learners: TF-IDF of two responses, logistic on the difference.
+
+Terms are rows, so counts, weights and lengths are grouped sums; a pair's
+difference becomes a sparse vector only for the solver. No Python runs.
+"""
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions.numbers import logistic
 from ..plans.lineage import cut
 
 
@@ -37,61 +39,96 @@ def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
 MODELS = {"word": (word_terms, 0.3, 120_000), "char": (char_terms, 1.0, 160_000)}
 
 
-def tfidf(train: DataFrame, frames: list[DataFrame], terms, *, least_documents: int = 3, most_features: int = 120_000) -> list[DataFrame]:
-    """Frames (pair_id, response1, response2, ...) with x, the difference of the two
-    responses' vectors and a constant. Counts are 1 + log, weights
-    ln((1 + n) / (1 + df)) + 1, vectors of length 1; df is over both responses of
-    ``train``. Vectors stay sparse; what is sent along is a weight a feature."""
-    both = train.select(F.explode(F.array("response1", "response2")).alias("text")).select(terms(F.col("text")).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=least_documents, vocabSize=most_features).fit(both)
-    n, size = both.count(), len(model.vocabulary)
-    vocabulary = train.sparkSession.createDataFrame(list(enumerate(model.vocabulary)), "at int, term string")  # most_features rows at most
-    df = both.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("at").agg(F.count("*").alias("df"))
-    idf = np.ones(size)
-    for r in df.collect():
-        idf[r["at"]] = math.log((1 + n) / (1 + r["df"])) + 1
-
-    def one(c) -> np.ndarray:
-        v = (1 + np.log(c.values)) * idf[c.indices]
-        return v / (np.linalg.norm(v) or 1.0)
-
-    @F.udf(VectorUDT())
-    def difference(a, b):
-        at = np.concatenate((a.indices, b.indices))
-        where, back = np.unique(at, return_inverse=True)
-        values = np.bincount(back, weights=np.concatenate((-one(a), one(b))), minlength=len(where))
-        return Vectors.sparse(size + 1, [*where.tolist(), size], [*values.tolist(), 1.0])
-
-    def counted(d: DataFrame, column: str, out: str) -> DataFrame:
-        return model.transform(d.withColumn("terms", terms(F.col(column)))).withColumnRenamed("counts", out).drop("terms")
-
-    # written first: a Python function over the character terms can't be planned
-    return [cut(counted(counted(f, "response1", "c1"), "response2", "c2"), "learner-counts").withColumn("x", difference("c1", "c2")).drop("c1", "c2") for f in frames]
-
-
-def predict_sets(train: DataFrame, evaluations: dict[str, DataFrame], terms=word_terms, *, c: float = 1.0, iterations: int = 100, **how) -> dict[str, DataFrame]:
-    """For each evaluation set pair_id, label, margin and probability: a logistic model
-    of label (second response preferred) on x, with an L2 penalty of 1 / (c * n) on all
-    weights, the constant's too. Terms are counted and the model is fitted once for all sets."""
-    a, *others = tfidf(train, [train, *evaluations.values()], terms, **how)
-    a = cut(a.select("pair_id", "x", F.col("label").cast("double").alias("label")), "learner")
-    model = LogisticRegression(featuresCol="x", regParam=1 / (c * max(1, train.count())), standardization=False, fitIntercept=False, maxIter=iterations, tol=1e-6).fit(a)
-    raw = vector_to_array("rawPrediction")
-    scored = (model.transform(b.withColumn("label", F.col("label").cast("double"))) for b in others)
-    return {name: s.select("pair_id", "label", F.get(raw, F.lit(1)).alias("margin"), F.get(vector_to_array("probability"), F.lit(1)).alias("probability")) for name, s in zip(evaluations, scored, strict=True)}
+def term_counts(pairs: DataFrame, terms) -> DataFrame:
+    """pair_id, side (-1 for response1, 1 for response2), term and n. Pairs are dealt out once; all
+    that follows by pair stays where it is."""
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in ((-1, "response1"), (1, "response2"))))
+    each = pairs.select("pair_id", F.inline(sides)).repartition("pair_id")
+    return each.select("pair_id", "side", F.explode(terms(F.col("text"))).alias("term")).groupBy("pair_id", "side", "term").agg(F.count("*").alias("n"))
+
+
+def vocabulary(document_counts: DataFrame, documents: int, *, least_documents: int, most_features: int) -> DataFrame:
+    """term, at and idf of the terms that ``least_documents`` hold, at most ``most_features`` of
+    them: the most frequent, of equal ones the smaller. ``document_counts`` has term, df
+    and total. idf is ln((1 + documents) / (1 + df)) + 1."""
+    most = document_counts.where(F.col("df") >= least_documents).orderBy(F.col("total").desc(), "term").limit(most_features)
+    at = F.row_number().over(Window.orderBy("term")) - 1  # most_features rows at most
+    return most.select("term", at.alias("at"), (F.log((F.lit(documents) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def differences(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """pair_id, at, term and value: the vector of response2 less that of response1. A term weighs (1 + ln n) times its
+    idf, and each response's weights have length 1. The vocabulary has a bound, so it is sent along."""
+    w = counts.join(F.broadcast(vocabulary), "term").withColumn("w", (1 + F.log(F.col("n").cast("double"))) * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pair_id", "side")))
+    return w.withColumn("w", F.col("side") * F.col("w") / length).groupBy("pair_id", "at", "term").agg(F.sum("w").alias("value"))
+
+
+def _vectors(pairs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """label and x of pairs: sparse vectors, with a constant behind the terms. A pair turned round, with
+    the other label, loses as much under any weights; about half are turned, since the solver gives a column
+    without variance no weight. They are written as the fields of a vector and read as vectors."""
+    kept = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))  # a pair's own terms
+    v = F.coalesce("v", F.array().cast("array<struct<at:int,value:double>>"))
+    turned = F.pmod(F.xxhash64("pair_id"), F.lit(2)) == 1
+    values = F.transform(F.concat(v["value"], F.array(F.lit(1.0))), lambda z: F.when(turned, -z).otherwise(z))
+    x = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size + 1).alias("size"), F.concat(v["at"], F.array(F.lit(size))).alias("indices"), values.alias("values"))
+    label = F.col("label").cast("double")
+    written = cut(pairs.select("pair_id", F.when(turned, 1 - label).otherwise(label).alias("label")).join(kept, "pair_id", "left").select("label", x.alias("x")), "learner")
+    fields = StructType([StructField("label", DoubleType()), StructField("x", VectorUDT())])
+    return written.sparkSession.read.schema(fields).parquet(*written.inputFiles())
+
+
+def fit(pairs: DataFrame, rows: DataFrame, size: int, *, c: float, iterations: int = 100) -> DataFrame:
+    """at and weight of a logistic model of label (response2 preferred), with an L2 penalty of
+    1 / (c * n) on all weights; the constant is at ``size``. A row a feature at most."""
+    x = _vectors(pairs, rows, size)
+    model = LogisticRegression(featuresCol="x", regParam=1 / (c * max(1, pairs.count())), standardization=False, fitIntercept=False, maxIter=iterations, tol=1e-6).fit(x)
+    weights = [(i, float(w)) for i, w in enumerate(model.coefficients.toArray()) if w]
+    return pairs.sparkSession.createDataFrame(weights, "at int, weight double")
+
+
+def score(pairs: DataFrame, rows: DataFrame, weights: DataFrame, size: int) -> DataFrame:
+    """pair_id, label, margin and probability."""
+    constant = next((r["weight"] for r in weights.where(F.col("at") == size).collect()), 0.0)
+    sums = rows.join(F.broadcast(weights), "at").groupBy("pair_id").agg(F.sum(F.col("value") * F.col("weight")).alias("sum"))
+    out = pairs.select("pair_id", "label").join(sums, "pair_id", "left").withColumn("margin", F.coalesce("sum", F.lit(0.0)) + F.lit(constant))
+    return out.select("pair_id", F.col("label").cast("double").alias("label"), "margin", logistic(F.col("margin")).alias("probability"))
+
+
+def grid(trains: DataFrame | dict[str, DataFrame], evaluations: dict[str, DataFrame], *, fractions: tuple[float, ...], models: dict, least_documents: int = 3, iterations: int = 100) -> DataFrame:
+    """Predictions of every model at every prefix of every training table on every evaluation set, as model, boundary (the table's name),
+    fraction, evaluation_set, pair_id, label, margin and probability.
+
+    A prefix is the first round(n * fraction) rows by ``position``. Terms of a table are counted once a model, and
+    document frequencies are summed for all prefixes in one grouping, each term with a count a prefix."""
+    trains = trains if isinstance(trains, dict) else {"": trains}
+    out = []
+    for name, (terms, c, most) in models.items():
+        held = {k: cut(term_counts(e, terms), "terms") for k, e in evaluations.items()}
+        for boundary, train in trains.items():
+            n = train.count()
+            sizes = [round(n * f) for f in fractions]
+            counts = cut(term_counts(train, terms).join(train.select("pair_id", "position"), "pair_id"), "terms")
+            inside = [F.col("position") < k for k in sizes]
+            by_term = counts.groupBy("term").agg(*(g.alias(f"{k}{i}") for i, q in enumerate(inside) for k, g in (("df", F.count_if(q)), ("total", F.sum(F.when(q, F.col("n")))))))
+            by_term = cut(by_term, "frequencies")
+            for i, fraction in enumerate(fractions):
+                v = cut(vocabulary(by_term.select("term", F.col(f"df{i}").alias("df"), F.col(f"total{i}").alias("total")), 2 * sizes[i], least_documents=least_documents, most_features=most), "vocabulary")
+                size = v.count()
+                weights = fit(train.where(inside[i]), differences(counts.where(inside[i]).drop("position"), v), size, c=c, iterations=iterations)
+                for set_name, e in evaluations.items():
+                    p = score(e, differences(held[set_name], v), weights, size)
+                    out.append(p.select(F.lit(name).alias("model"), F.lit(boundary).alias("boundary"), F.lit(fraction).alias("fraction"), F.lit(set_name).alias("evaluation_set"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def predict_sets(train: DataFrame, evaluations: dict[str, DataFrame], terms=word_terms, *, c: float = 1.0, iterations: int = 100, least_documents: int = 3, most_features: int = 120_000) -> dict[str, DataFrame]:
+    """For each evaluation set pair_id, label, margin and probability, learned from all of ``train``."""
+    g = grid(train.withColumn("position", F.lit(0)), evaluations, fractions=(1.0,), models={"": (terms, c, most_features)}, least_documents=least_documents, iterations=iterations)
+    return {k: g.where(F.col("evaluation_set") == k).select("pair_id", "label", "margin", "probability") for k in evaluations}
 
 
 def fit_predict(train: DataFrame, evaluation: DataFrame, terms=word_terms, **how) -> DataFrame:
     """``predict_sets`` for one set."""
     return predict_sets(train, {"": evaluation}, terms, **how)[""]
-
-
-def grid(train: DataFrame, evaluations: dict[str, DataFrame], *, fractions: tuple[float, ...], models: dict, **how) -> DataFrame:
-    """Predictions of every model at every prefix of ``train`` (by position) on every evaluation set."""
-    n, out = train.count(), []
-    for fraction in fractions:
-        prefix = train.where(F.col("position") < F.bround(F.lit(n * fraction), 0))
-        for name, (terms, c, most) in models.items():
-            for set_name, p in predict_sets(prefix, evaluations, terms, c=c, most_features=most, **how).items():
-                out.append(p.select(F.lit(name).alias("model"), F.lit(fraction).alias("fraction"), F.lit(set_name).alias("evaluation_set"), "*"))
-    return reduce(DataFrame.unionByName, out)

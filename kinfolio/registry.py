@@ -740,13 +740,50 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- learners and report tables
 
 
-def _learned(spark: SparkSession, d: str, model: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Edits as pairs, oriented by a hash; positions are those of a shuffled training file."""
     r = t._documents(spark, d).where("first <> '' and last <> ''").select("record_id", "split", orient(F.col("record_id"), F.col("last"), F.col("first")).alias("p"))
-    pairs = r.select(F.col("record_id").alias("pair_id"), "split", "p.response1", "p.response2", (F.col("p.overall_preference") > 0).cast("int").alias("label"))
+    return r.select(F.col("record_id").alias("pair_id"), "split", "p.response1", "p.response2", (F.col("p.overall_preference") > 0).cast("int").alias("label"))
+
+
+def _learned(spark: SparkSession, d: str, model: str) -> DataFrame:
+    pairs = _pairs(spark, d)
     terms, c, most = learners.MODELS[model]
     return learners.fit_predict(pairs.where("split = 'train'"), pairs.where("split = 'validation'"), terms, c=c, iterations=1500, least_documents=3, most_features=most)
 
 
+_TFIDF = rf"""{_ATOMS.replace("rec AS", "rec AS MATERIALIZED")}, pr AS (SELECT record_id AS pair_id, split, CASE WHEN substr({_rank(0, repr('pair_orientation'), 'record_id')}, 16, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN [f, l] ELSE [l, f] END AS rs FROM fl WHERE f <> '' AND l <> ''),
+sd AS (SELECT pair_id, split, s AS side, list_filter(string_split_regex(lower(rs[CASE s WHEN -1 THEN 1 ELSE 2 END]), '[^\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1) AS w FROM pr, (VALUES (-1), (1)) v(s)),
+tm AS (SELECT pair_id, split, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM sd),
+tc AS MATERIALIZED (SELECT pair_id, split, side, term, count(*) AS n FROM tm GROUP BY ALL),
+vc AS (SELECT term, ln((1 + (SELECT 2 * count(*) FROM pr WHERE split = 'train'))::DOUBLE / (1 + count(*))::DOUBLE) + 1 AS idf FROM tc WHERE split = 'train' GROUP BY term HAVING count(*) >= 3 ORDER BY sum(n) DESC, term LIMIT 120000),
+tw AS (SELECT pair_id, split, side, term, (1 + ln(n::DOUBLE)) * idf AS w FROM tc JOIN vc USING (term)),
+tn AS (SELECT *, side * w / sqrt(sum(w * w) OVER (PARTITION BY pair_id, side)) AS v FROM tw)"""
+
+
+@_query("tfidf_differences", f"WITH {_TFIDF} SELECT pair_id, split, term, round(sum(v), 9) + 0 AS value FROM tn GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d)
+    terms, _, most = learners.MODELS["word"]
+    counts = cut(learners.term_counts(pairs, terms).join(pairs.select("pair_id", "split"), "pair_id"), "terms")
+    train = counts.where("split = 'train'").groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    v = learners.vocabulary(train, 2 * pairs.where("split = 'train'").count(), least_documents=3, most_features=most)
+    rows = learners.differences(counts.drop("split"), cut(v, "vocabulary")).join(pairs.select("pair_id", "split"), "pair_id")
+    return rows.select("pair_id", "split", "term", (F.round("value", 9) + 0.0).alias("value"))
+
+
+@_query("learner_grid")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The word model at every prefix of two training tables (one without the edits of context atoms that validation holds)."""
+    pairs = _pairs(spark, d)
+    rank = stable_rank(7, "file", F.col("pair_id"))
+    train = cut(splits.numbered(pairs.where("split = 'train'"), rank, "position"), "train")
+    held = _contexts(spark, d)
+    clean = splits.strict_clean(_contexts(spark, d).where("split = 'train'").select(F.col("record_id").alias("pair_id"), "context"), (held.where("split = 'validation'"), "context"))
+    safe = cut(splits.numbered(train.join(clean.select("pair_id"), "pair_id").drop("position"), rank, "position"), "train")
+    return learners.grid({"naive": train, "safe": safe}, {"validation": pairs.where("split = 'validation'")}, fractions=t.FRACTIONS, models={"word": learners.MODELS["word"]}, iterations=1500)
+
+
 @_query("sparse_learner")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _learned(spark, d, "word")

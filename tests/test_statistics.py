@@ -169,3 +169,39 @@ def test_learner_grid(spark):
     alone = learners.fit_predict(pairs.where(F.col("position") < 20), sets["b"], learners.word_terms, c=0.3, iterations=20).collect()
     of = {r["pair_id"]: r["margin"] for r in got if r["fraction"] == 0.5 and r["evaluation_set"] == "b"}
     assert all(abs(of[r["pair_id"]] - r["margin"]) < 1e-9 for r in alone)
+
+
+def test_learner_against_a_small_solver(spark):
+    """Margins of the model agree with Newton steps on a dense matrix of the same differences."""
+    import math
+    import re
+
+    from kinfolio.operators import learners
+
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(12)]
+    text = lambda: " ".join(rng.choice(vocabulary, rng.integers(1, 9)))
+    rows = [(i, i, text(), text(), int(rng.integers(0, 2))) for i in range(60)] + [(60, 60, "", text(), 1), (61, 61, text(), "zz yy", 0)]
+    pairs = spark.createDataFrame(rows, "pair_id long, position long, response1 string, response2 string, label int")
+    terms = lambda t: (w := [x for x in re.split(r"\W+", t.lower()) if len(x) > 1]) + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    for fraction, c in ((1.0, 0.3), (0.5, 2.0)):
+        k = round(len(rows) * fraction)
+        docs = [terms(x) for r in rows[:k] for x in r[2:4]]
+        df = {w: sum(w in x for x in docs) for x in docs for w in x}
+        used = sorted(w for w, n in df.items() if n >= 3)
+        idf = {w: math.log((1 + 2 * k) / (1 + df[w])) + 1 for w in used}
+
+        def vector(t):
+            w = terms(t)
+            v = np.array([(1 + math.log(w.count(u))) * idf[u] if u in w else 0.0 for u in used])
+            return v / (np.linalg.norm(v) or 1)
+
+        x = np.array([[*(vector(r[3]) - vector(r[2])), 1.0] for r in rows])
+        y, a, beta = np.array([r[4] for r in rows[:k]]), x[:k], np.zeros(len(used) + 1)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ beta))
+            beta -= np.linalg.solve(np.eye(len(beta)) / c + a.T @ (a * (p * (1 - p))[:, None]), beta / c + a.T @ (p - y))
+        got = learners.grid(pairs, {"all": pairs}, fractions=(fraction,), models={"m": (learners.word_terms, c, 1000)}, iterations=300).collect()
+        margins = {r["pair_id"]: r["margin"] for r in got}
+        assert np.allclose([margins[r[0]] for r in rows], x @ beta, atol=2e-3)
+        assert all(abs(r["probability"] - 1 / (1 + math.exp(-r["margin"]))) < 1e-12 for r in got)
