@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import signed_margin
+from .resample import intervals, ratio_bootstrap
 
 
 def focal_exposure(summary: DataFrame, evaluation_view: str, types: list[str] | None = None) -> DataFrame:
@@ -17,6 +18,19 @@ def focal_exposure(summary: DataFrame, evaluation_view: str, types: list[str] |
     return s.select("atom_type", F.col("validation_rows").alias("rows"), F.inline(scopes)).select("atom_type", "scope", "rows", "exposed_rows", F.try_divide("exposed_rows", "rows").alias("estimate"))
 
 
+def focal_intervals(cells: DataFrame, clusters: DataFrame, evaluation_view: str, replicates: int, *, seed: int = 10) -> DataFrame:
+    """As ``focal_exposure``, with low and high: 95 % of the rates when contexts are drawn with
+    replacement, each with all its records. ``cells`` are rows of the tensor, ``clusters`` has record_id and
+    cluster; records without one stand alone. Records are summed by cluster before anything is drawn."""
+    e = cells.where((F.col("evaluation_view") == evaluation_view)).groupBy("record_id", "atom_type").agg(F.bool_or(F.col("exposed") & (F.col("source_view") == evaluation_view)).alias("same_view"), F.bool_or("exposed").alias("any_view"))
+    e = e.join(clusters, "record_id", "left").withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("record:"), F.col("record_id").cast("string"))))
+    scopes = F.array(*(F.struct(F.lit(k).alias("scope"), F.col(k).cast("int").alias("hit")) for k in ("same_view", "any_view")))
+    sums = e.select("atom_type", "cluster", F.inline(scopes)).groupBy("atom_type", "scope", "cluster").agg(F.sum("hit").alias("hits"), F.count("*").alias("rows"))
+    spread = intervals(ratio_bootstrap(sums, ["atom_type", "scope"], replicates, seed=seed), ["atom_type", "scope"], "ratio")
+    whole = sums.groupBy("atom_type", "scope").agg(F.sum("rows").alias("rows"), F.sum("hits").alias("exposed_rows"))
+    return whole.withColumn("estimate", F.try_divide("exposed_rows", "rows")).join(spread, ["atom_type", "scope"])
+
+
 def exposure_tensor(summary: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """Rates in percent; ``chosen`` (evaluation_view, atom_type) keeps some rows."""
     s = summary if chosen is None else summary.join(F.broadcast(chosen), ["evaluation_view", "atom_type"], "left_semi")

@@ -9,26 +9,38 @@ drawn. The modes agree in distribution, not in digits.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import NumericType
+
 from ..functions.canonical import hash_number, is_odd, stable_rank
+from .splits import numbered
 
 
-def _numbered(items: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, Column]:
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return items.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w)), F.col("n")
+def numbered_items(items: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """Items (distinct) with i, their number by ``order`` from 0, and how many there are. Ranges of
+    ``order`` are counted and numbered apart, so no task sees all items."""
+    if isinstance(items.schema[order].dataType, NumericType):
+        ends = items.agg(F.min(order).cast("double").alias("low"), F.max(order).cast("double").alias("high"), F.count("*").alias("n")).first()
+        if not ends["n"]:
+            return items.withColumn("i", F.lit(0).cast("long")), 0
+        part = F.floor((F.col(order).cast("double") - F.lit(ends["low"])) * 255 / F.lit((ends["high"] - ends["low"]) or 1.0))
+        n = ends["n"]
+    else:
+        part, n = F.substring(F.col(order).cast("string"), 1, 2), items.count()
+    return numbered(items, F.col(order), "i", part=part), n
 
 
 def draws(items: DataFrame, replicates: int, *, seed: int, namespace: str, order: str = "pair_id") -> DataFrame:
     """replicate and the value columns of the drawn items: as many draws a
     replicate as there are items (one a pair, a small table), with replacement."""
-    numbered, n = _numbered(items, [], order)
+    numbered_, n = numbered_items(items, order)
     spark = items.sparkSession
     name = F.concat_ws(":", F.col("replicate").cast("string"), F.col("slot").cast("string"))
-    slots = numbered.select(F.col("i").alias("slot"), "n").crossJoin(F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))))
-    at = slots.select("replicate", (hash_number(stable_rank(seed, namespace, name)) % n).cast("int").alias("i"))
-    return at.join(numbered.drop("n"), "i").drop("i")
+    slots = numbered_.select(F.col("i").alias("slot")).crossJoin(F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("replicate"))))
+    at = slots.select("replicate", (hash_number(stable_rank(seed, namespace, name)) % F.lit(max(1, n))).alias("i"))
+    return at.join(numbered_, "i").drop("i")
 
 
 def did_bootstrap(deltas: DataFrame, replicates: int, *, seed: int = 1) -> DataFrame:
@@ -188,6 +200,38 @@ def arrival_bootstrap(deltas: DataFrame, replicates: int, *, seed: int = 8) -> D
     return both.groupBy("replicate", "model", "fraction").agg(mean("target").alias("target"), mean("placebo").alias("placebo"), (mean("target") - mean("placebo")).alias("difference"))
 
 
+def nested_bootstrap_native(pairs: DataFrame, replicates: int, *, seed: int = 9, sets: tuple[str, ...] = ("target", "clean", "untouched")) -> DataFrame:
+    """replicate, model, for each set its accuracy under either boundary, did and the gap of the last set.
+
+    Two levels of draws: seeds first, then for every drawn seed fresh items of each set. ``pairs`` has model,
+    seed, evaluation_set, pair_id, naive and safe of whole runs. Values are averaged within a drawn seed, then over the drawn ones."""
+    spark = pairs.sparkSession
+    seeds, n_seeds = numbered_items(pairs.select("seed").distinct(), "seed")
+    number = lambda what, *by: hash_number(stable_rank(seed, f"nested:{what}", F.concat_ws(":", *(F.col(c).cast("string") for c in by))))
+    slots = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_seeds - 1)))).alias("slot"))
+    slots = slots.withColumn("i", number("seed", "replicate", "slot") % F.lit(max(1, n_seeds))).join(F.broadcast(seeds), "i").select("replicate", "slot", "seed")
+    out = None
+    for which in sets:
+        own = pairs.where(F.col("evaluation_set") == which)
+        items, n = numbered_items(own.select("pair_id").distinct(), "pair_id")
+        drawn = items.select(F.col("i").alias("k")).crossJoin(F.broadcast(slots)).withColumn("i", number(which, "replicate", "slot", "k") % F.lit(max(1, n)))
+        times = drawn.groupBy("replicate", "slot", "seed", "i").agg(F.count("*").alias("times")).join(items, "i")
+        mean = lambda c: (F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c)
+        m = own.join(times, ["seed", "pair_id"]).groupBy("replicate", "slot", "model").agg(mean("naive"), mean("safe"))
+        m = m.groupBy("replicate", "model").agg(F.avg("naive").alias(f"{which}_naive"), F.avg("safe").alias(f"{which}_safe"))
+        out = m if out is None else out.join(m, ["replicate", "model"])
+    gap = lambda s: F.col(f"{s}_naive") - F.col(f"{s}_safe")
+    return out.withColumns({"did": gap(sets[0]) - gap(sets[1]), f"{sets[-1]}_gap": gap(sets[-1])})
+
+
+def ratio_bootstrap(sums: DataFrame, keys: list[str], replicates: int, *, seed: int = 10) -> DataFrame:
+    """``keys``, replicate and ratio: hits over rows of drawn clusters. ``sums`` has a row a key and
+    cluster, with hits and rows; whole clusters are drawn, the same ones for all keys."""
+    drawn = _times(sums.select("cluster").distinct(), replicates, seed, "boot:cluster", "cluster")
+    total = lambda c: F.sum(F.col(c) * F.col("times"))
+    return sums.join(drawn, "cluster").groupBy(*keys, "replicate").agg(F.try_divide(total("hits"), total("rows")).alias("ratio"))
+
+
 # --- parity mode: arrays of (model, seed, checkpoint, item) on the driver
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.canonical import is_odd, literal_record_hash, record_hash, stable_rank
 from .functions.numbers import event_bin, prefix_size, wilson
 from .functions.text import length_bin, orient
-from .operators import effects, exposure, graph, learners, recovery, reports, resample, splits
+from .operators import effects, event_study, exposure, graph, learners, recovery, reports, resample, splits
 from .operators.atoms import Mapping, exploded, with_atoms
 from .plans import tables as t
 from .plans.lineage import cut
@@ -526,11 +526,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return resample.winner_probabilities(_candidates(spark, d), _B)
 
 
-@_query("winner_regions")
+@_query("winner_regions", f"""WITH {_PRED}, ln AS MATERIALIZED (SELECT model || seed AS candidate, avg(correct) FILTER (WHERE boundary = 'safe' AND evaluation_set = 'target') AS clean, avg(correct) FILTER (WHERE boundary = 'naive' AND evaluation_set = 'target') AS exposed FROM p WHERE fraction = 1 GROUP BY ALL),
+  xx AS (SELECT DISTINCT x FROM (SELECT (a.clean - b.clean) / nullif((b.exposed - b.clean) - (a.exposed - a.clean), 0) AS x FROM ln a JOIN ln b ON a.candidate < b.candidate) WHERE x > 0 AND x < 1 UNION SELECT unnest([0.0::DOUBLE, 1.0::DOUBLE])),
+  ct AS (SELECT x, lead(x) OVER (ORDER BY x) AS y FROM xx), wn AS (SELECT x, y, candidate, row_number() OVER (PARTITION BY x, y ORDER BY clean + (x + y) / 2 * (exposed - clean) DESC, candidate) AS n FROM ct, ln WHERE y IS NOT NULL),
+  gr AS (SELECT x, y, candidate, sum(o) OVER (ORDER BY x) AS g FROM (SELECT *, CASE WHEN candidate = lag(candidate) OVER (ORDER BY x) THEN 0 ELSE 1 END AS o FROM wn WHERE n = 1))
+  SELECT candidate, round(min(x), 9) AS "left", round(max(y), 9) AS "right" FROM gr GROUP BY g, candidate""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = t.predictions(spark, d).where("fraction = 1")
     of = lambda b: F.avg(F.when((F.col("boundary") == b) & (F.col("evaluation_set") == "target"), F.col("correct")))
-    return effects.winner_regions(p.groupBy(F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(of("safe").alias("clean"), of("naive").alias("exposed")))
+    return _round(effects.winner_regions(p.groupBy(F.concat("model", F.col("seed").cast("string")).alias("candidate")).agg(of("safe").alias("clean"), of("naive").alias("exposed"))), "left", "right")
 
 
 # --- the extractor and the hashes of whole JSON records
@@ -817,3 +821,68 @@ def _(spark: SparkSession, d: str) -> DataFrame:
   SELECT model, seed, fraction, pair_id, position, position < fraction AS ancestor_seen, c::DOUBLE AS naive_minus_safe_correct, round(m, 9) AS naive_minus_safe_signed_margin FROM w""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _round(reports.item_effects(t.predictions(spark, d).where("evaluation_set = 'target'")), "naive_minus_safe_signed_margin")
+
+
+# --- clusters, nested draws, event study
+
+
+@_query("focal_exposure_intervals", f"""WITH {_MATCH}, fx AS (SELECT record_id, atom_type, bool_or(exposed AND source_view = evaluation_view) AS s, bool_or(exposed) AS y FROM cells WHERE evaluation_view = 'v0' GROUP BY ALL),
+  fc AS (SELECT fx.*, coalesce(c.value_hash, 'record:' || fx.record_id) AS cluster FROM fx LEFT JOIN (SELECT DISTINCT record_id, value_hash FROM atoms WHERE atom_type = 'context') c ON c.record_id = fx.record_id),
+  fs AS MATERIALIZED (SELECT atom_type, scope, cluster, sum(hit) AS hits, count(*) AS n FROM (SELECT atom_type, cluster, unnest(['same_view', 'any_view']) AS scope, unnest([s::INT, y::INT]) AS hit FROM fc) GROUP BY ALL),
+  {_boot('k', 10, 'boot:cluster', 'fs', 'cluster')}, fr AS (SELECT atom_type, scope, r, sum(hits * times) / sum(fs.n * times) AS ratio FROM fs JOIN kt ON item = cluster GROUP BY ALL),
+  fi AS (SELECT atom_type, scope, round(quantile_cont(ratio, 0.025), 9) AS low, round(quantile_cont(ratio, 0.975), 9) AS high FROM fr GROUP BY ALL)
+  SELECT atom_type, scope, sum(n)::BIGINT AS rows, sum(hits)::BIGINT AS exposed_rows, round(sum(hits) / sum(n), 9) AS estimate, any_value(low) AS low, any_value(high) AS high FROM fs JOIN fi USING (atom_type, scope) GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    clusters = _contexts(spark, d).select("record_id", F.col("context").alias("cluster"))
+    return _round(reports.focal_intervals(exposure.exposure_rows(t.atoms(spark, d)), clusters, "v0", _B), "estimate", "low", "high")
+
+
+def _level(which: str, n: str, sl: str, seed: int, ns: str, item: str, source: str) -> str:
+    """Items of each drawn seed, and how often they are drawn."""
+    h = _rank(seed, f"'{ns}'", "r || ':' || slot || ':' || k")
+    return f"""{n}i AS MATERIALIZED (SELECT {item} AS item, row_number() OVER (ORDER BY {item}) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {item} FROM {source})),
+{n}t AS MATERIALIZED (SELECT r, slot, seed, item, count(*) AS times FROM (SELECT r, slot, seed, {_number(h)} % n AS i FROM (SELECT i AS k, n FROM {n}i), {sl}) JOIN {n}i USING (i) GROUP BY ALL)"""
+
+
+def _drawn_seeds(name: str, seed: int, ns: str, source: str) -> str:
+    h = _rank(seed, f"'{ns}'", "r || ':' || slot")
+    return f"""{name}s AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT seed FROM {source})),
+{name} AS MATERIALIZED (SELECT r, slot, seed FROM (SELECT r, slot, {_number(h)} % n AS i FROM (SELECT i AS slot, n FROM {name}s), range({_B}) v(r)) JOIN {name}s USING (i))"""
+
+
+_NESTED_SETS = (("target", "tt"), ("clean", "cc"), ("untouched", "uu"))
+
+
+@_query("nested_bootstrap_native", f"""WITH {_PRED}, w AS MATERIALIZED (SELECT model, seed, evaluation_set, pair_id, max(correct) FILTER (WHERE boundary = 'naive')::DOUBLE AS a, max(correct) FILTER (WHERE boundary = 'safe')::DOUBLE AS b FROM p WHERE fraction = 1 GROUP BY ALL), {_drawn_seeds('sl', 9, 'nested:seed', 'w')},
+  {', '.join(f"{_level(s, n, 'sl', 9, 'nested:' + s, 'pair_id', f'w WHERE evaluation_set = {s!r}')}, {n}m AS (SELECT r, model, avg(a) AS a, avg(b) AS b FROM (SELECT r, slot, model, sum(a * times) / sum(times) AS a, sum(b * times) / sum(times) AS b FROM w JOIN {n}t ON {n}t.seed = w.seed AND item = pair_id WHERE evaluation_set = {s!r} GROUP BY ALL) GROUP BY ALL)" for s, n in _NESTED_SETS)}
+  SELECT x.r::INT AS replicate, x.model, {', '.join(f"round({q}.a, 9) AS {s}_naive, round({q}.b, 9) AS {s}_safe" for (s, _), q in zip(_NESTED_SETS, 'xyz', strict=True))}, round(x.a - x.b - (y.a - y.b), 9) + 0 AS did, round(z.a - z.b, 9) + 0 AS untouched_gap FROM ttm x JOIN ccm y ON x.r = y.r AND x.model = y.model JOIN uum z ON x.r = z.r AND x.model = z.model""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pairs = effects.paired(t.predictions(spark, d).where("fraction = 1"))
+    out = _round(resample.nested_bootstrap_native(pairs, _B), *(f"{s}_{b}" for s, _ in _NESTED_SETS for b in ("naive", "safe")), "did", "untouched_gap")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("did", "untouched_gap")})
+
+
+_EVENT = f"""{_PRED}, tp AS (SELECT seed, pair_id, row_number() OVER (PARTITION BY seed ORDER BY position, pair_id) - 1 AS item, position FROM (SELECT DISTINCT seed, pair_id, position FROM dl WHERE evaluation_set = 'target')),
+cp AS (SELECT seed, pair_id, row_number() OVER (PARTITION BY seed ORDER BY sha256(seed || chr(0) || 'clean_placebo_arrival' || chr(0) || pair_id)) - 1 AS item FROM (SELECT DISTINCT seed, pair_id FROM dl WHERE evaluation_set = 'clean')),
+er AS MATERIALIZED (SELECT tp.seed, item, (x.fraction * 5)::INT - 1 AS checkpoint, x.delta - y.delta AS outcome, greatest(-0.799999::DOUBLE, least(0.799999::DOUBLE, x.fraction - tp.position)) AS v
+  FROM tp JOIN cp USING (seed, item) JOIN dl x ON x.model = 'word' AND x.seed = tp.seed AND x.pair_id = tp.pair_id JOIN dl y ON y.model = 'word' AND y.seed = tp.seed AND y.pair_id = cp.pair_id AND y.fraction = x.fraction WHERE x.fraction < 1),
+eb AS MATERIALIZED (SELECT seed, item, checkpoint, outcome, (v >= -0.4::DOUBLE)::INT + (v >= -0.2::DOUBLE)::INT + (v >= 0::DOUBLE)::INT + (v >= 0.2::DOUBLE)::INT + (v >= 0.4::DOUBLE)::INT AS bin FROM er),
+{_drawn_seeds('sl', 11, 'event:seed', 'eb')}, {_level('event', 'ev', 'sl', 11, 'event:item', 'item', 'eb')},
+ce AS MATERIALIZED (SELECT r, slot, bin, checkpoint, sum(times)::DOUBLE AS n, sum(times * outcome) AS y FROM evt JOIN eb ON eb.seed = evt.seed AND eb.item = evt.item GROUP BY ALL
+  UNION ALL SELECT -1, i, bin, checkpoint, count(*)::DOUBLE, sum(outcome) FROM eb JOIN sls USING (seed) GROUP BY ALL),
+xs AS (SELECT r, n, y, list_concat([1.0::DOUBLE], list_transform(range(1, 6), lambda b: (bin = b)::INT::DOUBLE), list_transform(range(1, 3), lambda s: (slot = s)::INT::DOUBLE), list_transform(range(1, 4), lambda c: (checkpoint = c)::INT::DOUBLE)) AS x FROM ce),
+me AS (SELECT r, i, list(v ORDER BY j) AS row FROM (SELECT r, i, j, sum(CASE WHEN j = 12 THEN y * x[i] ELSE n * x[i] * x[least(j, 11)] END) AS v FROM xs, range(1, 12) a(i), range(1, 13) b(j) GROUP BY ALL) GROUP BY r, i),
+sw AS (SELECT r, 0 AS k, list(row ORDER BY i) AS m FROM me GROUP BY r
+  UNION ALL SELECT r, k + 1, CASE WHEN abs(m[k + 1][k + 1]) < 1e-9 THEN list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda z: 0::DOUBLE) ELSE row END)
+    ELSE list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda z: z / m[k + 1][k + 1]) ELSE list_transform(row, lambda z, j: z - row[k + 1] * (m[k + 1][j] / m[k + 1][k + 1])) END) END FROM sw WHERE k < 11),
+be AS (SELECT r, list_transform(m, lambda row: row[12]) AS b FROM sw WHERE k = 11),
+es AS MATERIALIZED (SELECT r, bin, 100 * (b[1] + CASE WHEN bin > 0 THEN b[bin + 1] ELSE 0 END + (b[7] + b[8]) / 3 + (b[9] + b[10] + b[11]) / 4) AS estimate FROM be, range(6) q(bin) WHERE EXISTS (SELECT 1 FROM ce WHERE ce.r = be.r AND ce.bin = q.bin))"""
+
+
+@_query("event_ols_bootstrap", f"""WITH RECURSIVE {_EVENT} SELECT q.bin::INT AS bin, any_value(round(o.estimate, 6)) AS estimate, round(quantile_cont(s.estimate, 0.025), 6) AS low, round(quantile_cont(s.estimate, 0.975), 6) AS high, (SELECT count(*) FROM eb WHERE eb.bin = q.bin) AS observations
+  FROM range(6) q(bin) LEFT JOIN es o ON o.bin = q.bin AND o.r = -1 LEFT JOIN es s ON s.bin = q.bin AND s.r >= 0 GROUP BY q.bin""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    deltas = _deltas(spark, d).where("model = 'word'")
+    target, clean = (deltas.where(F.col("evaluation_set") == s) for s in ("target", "clean"))
+    rows = cut(event_study.event_rows(target, clean.drop("position"), t.FRACTIONS[:4], strict=False), "events")
+    return _round(event_study.event_study(rows, _B, checkpoints=4), "estimate", "low", "high", digits=6)
