@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_heavy
 from ..plans.lineage import cut
 
 #: Rounds after which something must be wrong; the rounds needed grow with the logarithm of the longest path.
@@ -18,8 +19,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round links every node to the least of its neighbours (large star),
     then hangs its smaller neighbours below that one (small star), as in
     Kiveris et al., SoCC 2014. A round is two grouped minima, summed before they
-    are shuffled, and two joins whose hot side can be split; it is one job, written
-    to the shared folder, so a lost executor costs one round at most. Edges with a
+    are shuffled, and two joins that send heavy nodes' minima along, so no task gets
+    all edges of a node; it is one job, written to the shared folder, so a lost executor
+    costs one round at most. Edges with a
     null end and loops link nothing. Without edges the result is empty.
     """
 
@@ -33,11 +35,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not state["n"]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, (e, state) = state, written(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_heavy(both.where("v > u"), least, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_heavy(large, low, ["u"], F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, (e, state) = state, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if state == before:
             break
     else:
