@@ -14,7 +14,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.canonical import group_id
 from .operators import exposure, graph
 from .operators.atoms import exploded
 from .plans.lineage import cut
@@ -28,7 +27,7 @@ def tables(records: DataFrame, *, folds: int = 20, seed: int = 20260725) -> dict
     atoms = cut(exploded(records, "record_id", "view", "split", "source_index"), "audit-atoms")
     slim = records.select("record_id", "record_hash", "view", "split", "source_index")
     labels = graph.components(atoms)
-    ids = labels.groupBy("label").agg(group_id(F.collect_list("record_id")).alias("component_id"))
+    ids = graph.hashed_ids(labels, labels.select("record_id", F.col("record_id").alias("record_hash_id")))
     labels = cut(labels.join(ids, "label"), "audit-labels")
     fold = graph.component_folds(labels, slim, folds=folds, seed=seed)
     assigned = slim.join(labels, "record_id").join(fold, "component_id")

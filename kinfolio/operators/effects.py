@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import wilson
+from .digests import list_digests
 
 CELL = ["model", "seed", "fraction", "evaluation_set"]
 
@@ -64,9 +65,9 @@ def did(deltas: DataFrame) -> DataFrame:
 
 def seed_representatives(predictions: DataFrame) -> DataFrame:
     """Seeds of a model that predict alike, by a digest of all they predict; the first stands for them."""
-    value = F.struct("boundary", "fraction", "evaluation_set", "pair_id", "correct")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: F.concat_ws(":", x["boundary"], x["fraction"].cast("string"), x["evaluation_set"], x["pair_id"].cast("string"), x["correct"].cast("string"))), ",")
-    digests = predictions.groupBy("model", "seed").agg(F.sha2(text, 256).alias("digest"))
+    order = ["boundary", "fraction", "evaluation_set", "pair_id", "correct"]
+    text = F.concat_ws(":", *(F.col(c).cast("string") for c in order))
+    digests = list_digests(predictions, ["model", "seed"], [F.col(c) for c in order], text, between=",")
     return digests.groupBy("model", "digest").agg(F.min("seed").alias("representative"), F.count("*").alias("seeds")).select("model", "representative", "seeds")
 
 

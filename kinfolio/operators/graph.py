@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import group_id
 from .components import connected_components
+from .digests import list_digests
 
 KEY = ["atom_type", "value_hash"]
 
@@ -43,8 +43,8 @@ def union_events(atoms: DataFrame, **policy) -> DataFrame:
 
 
 def hashed_ids(labels: DataFrame, ids: DataFrame) -> DataFrame:
-    """label and component_id, the hash of the sorted ids of its records."""
-    return labels.join(ids, "record_id").groupBy("label").agg(group_id(F.collect_list("record_hash_id")).alias("component_id"))
+    """label and component_id, the hash of the sorted ids of its records, fed one by one."""
+    return list_digests(labels.join(ids, "record_id"), ["label"], [F.col("record_hash_id")], F.col("record_hash_id"), before='["', between='","', after='"]', name="component_id")
 
 
 def component_sizes(labels: DataFrame, records: DataFrame) -> DataFrame:

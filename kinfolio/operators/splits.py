@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import is_odd, stable_rank
+from .digests import list_digests
 
 
 def best_per(rows: DataFrame, keys: list[str], rank: Column) -> DataFrame:
@@ -174,9 +175,9 @@ def assert_balanced(tv: float, *differences: float, most_tv: float = 0.05, most_
 
 
 def ordered_hash(rows: DataFrame, position: str, identifier: str) -> DataFrame:
-    """One row: the hash of ids joined by line ends in order of position."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(position, F.col(identifier).cast("string").alias("id")))), lambda x: x["id"])
-    return rows.agg(F.sha2(F.array_join(ids, "\n"), 256).alias("order_hash"))
+    """One row: the hash of ids joined by line ends in order of position, fed one by one."""
+    text = F.col(identifier).cast("string")
+    return list_digests(rows, [], [F.col(position), text], text, between="\n", name="order_hash")
 
 
 def component_disjoint(rows: DataFrame, component: str, *, development: int, base: int, seed: int, key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.canonical import is_odd, literal_record_hash, record_hash, stable_rank
-from .functions.numbers import event_bin, prefix_size, wilson
-from .functions.text import length_bin, orient
-from .operators import effects, event_study, exposure, graph, learners, recovery, reports, resample, splits
+from .functions.numbers import correctness, event_bin, logistic, prefix_size, signed_margin, wilson
+from .functions.text import context_text, head_tail, length_bin, orient, role_sections
+from .operators import effects, event_study, exposure, graph, learners, recovery, reports, resample, serialize, splits
 from .operators.atoms import Mapping, exploded, with_atoms
 from .plans import tables as t
 from .plans.lineage import cut
+from .sources import adapters
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -886,3 +887,62 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     target, clean = (deltas.where(F.col("evaluation_set") == s) for s in ("target", "clean"))
     rows = cut(event_study.event_rows(target, clean.drop("position"), t.FRACTIONS[:4], strict=False), "events")
     return _round(event_study.event_study(rows, _B, checkpoints=4), "estimate", "low", "high", digits=6)
+
+
+# --- rendering, truncation, closed forms, serialised pairs, cells worked out again
+
+
+_VOCABULARY = "byte_bpe_50k.json"
+
+
+@_query("serialized_pairs")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    s = _sources(spark, d)
+    pairs = s.select(F.col("record_hash").alias("pair_id"), "context", F.col("original_response").alias("original"), "feedback", F.col("edited_response").alias("candidate"))
+    return serialize.serialized(pairs, public_tokenizers.path(_VOCABULARY)).withColumn("tokens", F.array_join("tokens", " "))
+
+
+@_query("rendered_conversations", r"""SELECT conv_id, string_agg('[' || upper(trim(coalesce(role, 'user'))) || ']' || chr(10) || trim(coalesce(text, '')), chr(10) ORDER BY turn) || chr(10) || '[ASSISTANT RESPONSE]' || chr(10) || 'ok' AS sections,
+  string_agg('[ROLE ' || upper(coalesce(role, 'unknown')) || '] ' || coalesce(text, ''), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = t.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))  # the turns of one conversation
+    return c.select("conv_id", role_sections(F.col("m"), F.lit("ok")).alias("sections"), context_text(F.col("m")).alias("context"))
+
+
+@_query("truncated_words", f"""WITH {_RECORDS}, w AS (SELECT record_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM rec)
+  SELECT record_id, array_to_string(CASE WHEN len(w) <= 64 THEN w ELSE list_concat(w[1:31], ['[...]', '[...]'], w[len(w) - 30:]) END, ' ') AS words, len(w)::BIGINT AS n FROM w""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = t._documents(spark, d).select("record_id", F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda x: x != "").alias("w"))
+    return r.select("record_id", F.array_join(head_tail(F.col("w"), 64, ["[...]", "[...]"]), " ").alias("words"), F.size("w").cast("long").alias("n"))
+
+
+@_query("probabilities", f"""WITH {_PRED}, s AS (SELECT *, CASE WHEN label = 1 THEN margin ELSE -margin END AS signed FROM p)
+  SELECT model, seed, boundary, fraction, evaluation_set, round(avg(1 / (1 + exp(-least(40, greatest(-40, 100 * margin))))), 9) AS probability, round(avg(CASE WHEN round(signed, 2) > 0 THEN 1.0::DOUBLE WHEN round(signed, 2) < 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END), 9) AS competence FROM s GROUP BY ALL""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = t.predictions(spark, d)
+    right = correctness(F.round(signed_margin(F.col("label"), F.col("margin")), 2))
+    return _round(p.groupBy("model", "seed", "boundary", "fraction", "evaluation_set").agg(F.avg(logistic(100 * F.col("margin"))).alias("probability"), F.avg(right).alias("competence")), "probability", "competence")
+
+
+_EXTERNAL = f"""{_ATOMS}, xc AS (SELECT value_hash, min(record_id) AS a, max(record_id) AS b FROM atoms WHERE atom_type = 'context' GROUP BY value_hash HAVING min(record_id) < max(record_id))"""
+
+
+@_query("external_pairs", f"""WITH {_EXTERNAL} SELECT value_hash AS pair_id, x.f AS context, x.l AS response1, y.l AS response2, CASE WHEN (a + b) % 2 = 1 THEN 1 ELSE -1 END AS overall_preference FROM xc JOIN fl x ON x.record_id = a JOIN fl y ON y.record_id = b""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _contexts(spark, d).groupBy("context").agg(F.min("record_id").alias("index1"), F.max("record_id").alias("index2")).where("index1 < index2")
+    contract = pairs.select(F.col("context").alias("pair_id"), "index1", "index2", ((F.col("index1") + F.col("index2")) % 2).alias("label"))
+    return adapters.external_pairs(contract, t._documents(spark, d).select(F.col("record_id").alias("row_index"), F.col("first").alias("prompt"), F.col("last").alias("response")))
+
+
+@_query("recomputed_cells", f"""WITH {_PRED}, a AS (SELECT model, seed, boundary, fraction, evaluation_set, count(*)::DOUBLE AS n, round(avg(correct), 3) AS accuracy FROM p WHERE evaluation_set <> 'untouched' GROUP BY ALL),
+  b AS (SELECT model, seed, boundary, fraction, evaluation_set, count(*)::DOUBLE AS n, avg(correct) AS accuracy FROM p WHERE fraction > 0.2 GROUP BY ALL),
+  x AS (SELECT model, seed, boundary, fraction, evaluation_set, unnest(['n', 'accuracy']) AS value, unnest([n, accuracy]) AS v FROM a), y AS (SELECT model, seed, boundary, fraction, evaluation_set, unnest(['n', 'accuracy']) AS value, unnest([n, accuracy]) AS v FROM b)
+  SELECT model, seed, boundary, fraction, evaluation_set, value, round(x.v, 9) AS published, round(y.v, 9) AS recomputed, CASE WHEN y.v IS NULL THEN 'missing' WHEN x.v IS NULL THEN 'extra' WHEN abs(x.v - y.v) <= 1e-12 THEN 'same' ELSE 'differs' END AS status FROM x FULL JOIN y USING (model, seed, boundary, fraction, evaluation_set, value)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Cells rounded to three places, of two sets, against cells worked out again from the predictions past the first checkpoint."""
+    cells = effects.accuracy_cells(t.predictions(spark, d))
+    published = cells.where("evaluation_set <> 'untouched'").withColumn("accuracy", F.round("accuracy", 3))
+    keys = ["model", "seed", "boundary", "fraction", "evaluation_set"]
+    return _round(serialize.recomputed(published, cells.where("fraction > 0.2"), keys, ["n", "accuracy"]), "published", "recomputed")

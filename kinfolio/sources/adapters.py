@@ -5,11 +5,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Protocol
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,12 +192,38 @@ def prediction_files(path: str | Path, preferred: str = "predictions*.csv*") ->
     return found
 
 
-def file_digests(spark: SparkSession, path: str, *, recursive: bool = False, excluded: Sequence[str] = ()) -> DataFrame:
-    """path, bytes and sha256 of files; ``excluded`` names folders or files that are skipped."""
+#: Bytes of a file that are held at a time.
+BLOCK = 1 << 20
+
+
+def _stream(path: str, compression: str | None):
+    """A file in any store that Arrow reads."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or not rest:
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/") if rest else path, compression=compression)
+    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+    return store.open_input_stream(inner, compression=compression)
+
+
+def file_digests(spark: SparkSession, path: str, *, recursive: bool = False, excluded: Sequence[str] = (), content: bool = False) -> DataFrame:
+    """path, bytes and sha256 of files of any size; ``excluded`` names folders or files that are skipped. Files are listed
+    by Spark and hashed block by block in tasks. With ``content`` what .gz files hold is hashed, whatever their containers say."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     for name in excluded:
         files = files.where(~F.array_contains(F.split("path", "/"), name))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for p in batch.column(0).to_pylist():
+                state = hashlib.sha256()
+                with _stream(p, "gzip" if content and p.endswith(".gz") else None) as f:
+                    while block := f.read(BLOCK):
+                        state.update(block)
+                out.append(state.hexdigest())
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], names=["path", "bytes", "sha256"])
+
+    return files.select("path", F.col("length").alias("bytes")).mapInArrow(hashed, "path string, bytes long, sha256 string")
 
 
 def file_sha256(path: str | Path) -> str:

@@ -104,3 +104,81 @@ def test_construct_serializer():
             text.serialize_construct(encode, *bad)
     with pytest.raises(ValueError, match="too few"):
         text.serialize_construct(encode, "c", "o", ["f"], "e", most=400)
+
+
+def test_list_digests(spark):
+    """Lists over many batches, null texts, keys that repeat across batches, no rows; against hashing the joined list."""
+    from kinfolio.operators.digests import list_digests
+
+    rows = [(i % 3, f"k{i % 2}", i, None if i % 7 == 0 else f"t{i}é") for i in range(500)] + [(9, None, 1, "alone"), (9, None, 0, None), (8, "only null", 0, None)]
+    d = spark.createDataFrame(rows, "a int, b string, at int, text string").repartition(5)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r["a"], r["b"]): r["digest"] for r in list_digests(d, ["a", "b"], [F.col("at")], F.col("text"), before='["', between='","', after='"]').collect()}
+            want = {}
+            for a, b, _, t in sorted(rows, key=lambda r: r[2]):
+                want.setdefault((a, b), []).append(t)
+            assert got == {k: hashlib.sha256(('["' + '","'.join(t for t in v if t is not None) + '"]').encode()).hexdigest() for k, v in want.items()}
+            whole = list_digests(d, [], [F.col("at"), F.col("a")], F.col("text"), between="\n").collect()
+            order = sorted(rows, key=lambda r: (r[2], r[0]))
+            assert [r["digest"] for r in whole] == [hashlib.sha256("\n".join(r[3] for r in order if r[3] is not None).encode()).hexdigest()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert list_digests(d.where("a > 99"), ["a"], [F.col("at")], F.col("text")).count() == 0
+
+
+def test_digests_of_large_files(spark, tmp_path):
+    """A file beyond 2 GB is hashed in blocks; the path may hold blanks."""
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    with (folder / "sparse file.bin").open("wb") as f:
+        f.truncate((1 << 31) + 5)
+    with gzip.open(folder / "x.gz", "wb") as f:
+        f.write(b"held" * 1000)
+    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["bytes"], r["sha256"]) for r in adapters.file_digests(spark, str(folder), content=True).collect()}
+    state = hashlib.sha256()
+    for _ in range(1 << 7):
+        state.update(bytes(1 << 24))
+    state.update(bytes(5))
+    assert got["sparse file.bin"] == ((1 << 31) + 5, state.hexdigest())
+    assert got["x.gz"][1] == hashlib.sha256(b"held" * 1000).hexdigest()
+
+
+def test_serialized_pairs(spark):
+    """The table operator against one pair at a time, with parts of all lengths, many entries and empty parts."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kinfolio.operators import serialize
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    encode = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    rng = np.random.default_rng(3)
+    words = lambda most: " ".join(rng.choice(["alpha", "beta", "naïve", "x1", "漢字"], rng.integers(1, most)))
+    rows = [(i, words(5 if i % 2 else 900), words(4 if i % 3 else 500), [words(3 if i % 5 else 300) for _ in range(1 + i % 6)], words(6 if i % 4 else 700)) for i in range(60)]
+    rows += [(100, "", "a", ["b"], "c"), (101, "a", None, ["b"], "c"), (102, "a", "b", [], "c"), (103, "a", "b", ["x"] * 200, "c"), (104, "a", "b", [" ", "y"], "c"), (105, None, "b", ["x"], " ")]
+    d = spark.createDataFrame(rows, "pair_id long, context string, original string, feedback array<string>, candidate string").repartition(3)
+    got = {r["pair_id"]: r for r in serialize.serialized(d, path, start=[1], end=[2]).collect()}
+    assert len(got) == len(rows)
+    for i, context, original, feedback, candidate in rows:
+        try:
+            want = text.serialize_construct(encode, context or "", original or "", feedback, candidate, start=[1], end=[2])
+            assert got[i]["tokens"] == want and len(want) <= 512 and got[i]["problem"] is None
+        except ValueError as wrong:
+            assert got[i]["tokens"] is None and got[i]["problem"] == str(wrong)
+    assert sum(r["tokens"] is None for r in got.values()) == 6
+    with pytest.raises(Exception, match="too few"):
+        serialize.serialized(d, path, most=64).collect()
+
+
+def test_recomputed_cells(spark):
+    from kinfolio.operators import serialize
+
+    a = spark.createDataFrame([("x", 1.0, None), ("y", 2.0, 3.0), ("z", 1.0, 1.0)], "k string, n double, v double")
+    b = spark.createDataFrame([("x", 1.0 + 1e-13, None), ("y", 2.1, 3.0), ("w", 1.0, 1.0)], "k string, n double, v double")
+    got = {(r["k"], r["value"]): r["status"] for r in serialize.recomputed(a, b, ["k"], ["n", "v"]).collect()}
+    assert got == {("x", "n"): "same", ("x", "v"): "same", ("y", "n"): "differs", ("y", "v"): "same", ("z", "n"): "missing", ("z", "v"): "missing", ("w", "n"): "extra", ("w", "v"): "extra"}
