@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_heavy
 from .common import fresh, only, table
 
 #: Lines in a window: any repeated run of so many lines is found.
@@ -59,7 +60,7 @@ def repeated_runs(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     4. Matches that meet on one diagonal are chained into runs.
 
     A line that a third of all documents hold makes one row a position and is summed
-    before it is shuffled; the joins' hot side can be split.
+    before it is shuffled; what is known of it is sent to its rows, which are dealt out.
 
     Returns doc_id, text_hash (of the text), start and length of the run in
     filled lines, first_doc_id and first_start (where it stood before).
@@ -68,8 +69,8 @@ def repeated_runs(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
     d = d.where(F.size("lines") >= window).select("doc_id", "text_hash", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     chosen = _selected(d, window)
     place = F.struct("doc_id", "text_hash", "pos", "left", "right")
-    firsts = chosen.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("fingerprint", "first")
-    met = chosen.join(firsts, "fingerprint").where(F.struct("doc_id", "text_hash", "pos") > F.struct("first.doc_id", "first.text_hash", "first.pos"))
+    firsts = chosen.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    met = join_heavy(chosen, firsts, ["fingerprint"], F.struct("doc_id", "pos")).drop("n").where(F.struct("doc_id", "text_hash", "pos") > F.struct("first.doc_id", "first.text_hash", "first.pos"))
     met = met.withColumn("a", F.col("pos") - _same("left", "first.left")).withColumn("b", F.col("pos") + _same("right", "first.right") + 1)
     shift = F.col("pos") - F.col("first.pos")
     seeds = met.where(F.col("b") - F.col("a") >= window).select("doc_id", "text_hash", F.col("a").alias("start"), F.col("b").alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), shift.alias("diagonal"))
@@ -78,8 +79,8 @@ def repeated_runs(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
         rest = met.select("doc_id", "text_hash", "fingerprint", (F.col("pos") - F.size("left")).alias("from"), F.concat(F.reverse("left"), F.array("fingerprint"), "right").alias("around"), F.explode(open_).alias("pos"))
         rest = rest.withColumn("around", F.xxhash64(F.slice("around", F.col("pos") - F.col("from") + 1, window)))
         place = F.struct("doc_id", "text_hash", "pos")
-        firsts = rest.groupBy("fingerprint", "around").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("fingerprint", "around", "first")
-        more = rest.join(firsts, ["fingerprint", "around"]).where(place > F.col("first"))
+        firsts = rest.groupBy("fingerprint", "around").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+        more = join_heavy(rest, firsts, ["fingerprint", "around"], F.struct("doc_id", "pos")).drop("n").where(place > F.col("first"))
         more = more.select("doc_id", "text_hash", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash"), shift.alias("diagonal"))
         seeds = seeds.unionByName(more)
     along = Window.partitionBy("doc_id", "text_hash", "first_doc_id", "first_text_hash", "diagonal").orderBy("start", "end")
