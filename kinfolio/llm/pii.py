@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain as chained
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +39,7 @@ def _one_to_one() -> dict[int, str | None]:
     and digits of mathematics and digits in circles by their compatibility forms."""
     ranges = (range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x2460, 0x2469), range(0x2070, 0x208A), range(0x24B6, 0x24EA), range(0xFE50, 0xFE6C), (0xB2, 0xB3, 0xB9))
     found: dict[int, str | None] = {}
-    for c in chain(*ranges):
+    for c in chained(*ranges):
         form = unicodedata.normalize("NFKC", chr(c))
         if len(form) == 1 and " " < form < "\x7f":
             found[c] = form
@@ -69,6 +70,11 @@ _RUN_PART = re.compile(rf"(?<!\w)(?:(?P<plus>plus)|(?P<point>dot|punkt|punto|poi
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|arroba|chez|punkt|punto|point)", re.I)
 _BARE = re.compile(r"\s(?:dot|@|\.)\s", re.I)
 _SPELLED = re.compile(rf"(?<!\w){_DIGITS}(?!\w)", re.I)
+#: Numbers, spelled digits, plus and dot, with all that may stand between the parts of one identifier.
+_CHAIN = re.compile(rf"\+?(?:(?<!\w)(?:{_DIGITS}|plus|{_DOT})(?!\w)|[0-9]++)(?:[\s,().%+-]*+(?:(?<!\w)(?:{_DIGITS}|plus|{_DOT})(?!\w)|[0-9]++))*", re.I)
+_PLUS, _POINT = re.compile(r"\+|(?<!\w)plus(?!\w)", re.I), re.compile(rf"\.|(?<!\w){_DOT}(?!\w)", re.I)
+_NUMBERS = frozenset(("plus", "dot", "punkt", "punto", "point", *DIGIT_WORDS))
+_WORD, _GLUED = re.compile(r"\w+"), re.compile(r"\S*")
 
 
 def luhn(digits: str) -> bool:
@@ -115,18 +121,56 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _spaced_out(text: str) -> bool:
+    """Whether an at or dot may stand in brackets or between blanks."""
+    return bool(any(c in text for c in "[({<") and _BRACKETED.search(text) or _BARE.search(text))
+
+
+def _in_company(text: str) -> bool:
+    """Whether a spelled digit has a number beside it or an @ anywhere in its text; without, it counts for nothing."""
+    words = _WORD.findall(text.replace("İ", "i").replace("ſ", "s").lower())  # as re.I reads these two
+    at = [i for i, w in enumerate(words) if w in DIGIT_WORDS]
+    return bool(at) and ("@" in text or any(w in _NUMBERS or _DIGIT.search(w) for i in at for w in (*words[max(i - 1, 0) : i], *words[i + 1 : i + 2])))
+
+
+def _counting(text: str) -> Iterator[tuple[int, int]]:
+    """Chains with spelled digits that an identifier could lie in: digits enough for
+    a card, for a telephone number after a plus or for an address with three points,
+    or a chain grown together with an @. Any other chain holds no identifier, however it is read."""
+    if not _in_company(text):
+        return
+    for m in _CHAIN.finditer(text):
+        chain = m.group()
+        spelled = sum(1 for _ in _SPELLED.finditer(chain))
+        if not spelled:
+            continue
+        digits = spelled + sum(1 for _ in _DIGIT.finditer(chain))
+        enough = digits >= 13 or digits >= 9 and _PLUS.search(chain) or digits >= 4 and sum(1 for _ in _POINT.finditer(chain)) >= 3
+        if enough or "@" in text and _grown(text, m.start(), m.end()):
+            yield m.start(), m.end()
+
+
+def _grown(text: str, start: int, end: int) -> bool:
+    """Whether an @ is reached from the chain without a blank between."""
+    while start and not text[start - 1].isspace():
+        start -= 1
+        if text[start] == "@":
+            return True
+    return "@" in _GLUED.match(text, end).group()
+
+
 def disguised(text: str) -> bool:
     """Whether the transducers could change ``text``; cheap, and never wrongly False."""
     if not text.isascii() and not _ODD.isdisjoint(text):
         return True
-    if any(c in text for c in "[({<") and _BRACKETED.search(text):
-        return True
-    return bool(_BARE.search(text) or _SPELLED.search(text))
+    return _spaced_out(text) or next(_counting(text), None) is not None
 
 
 def normalised(text: str) -> tuple[str, list[int], list[int]]:
     """``text`` in plain form, and for each of its characters where the source of
-    that character starts and ends: first characters one by one, then words."""
+    that character starts and ends: first characters one by one, then words. Spelled
+    digits become digits in chains that can hold an identifier (``_counting``), and
+    everywhere if an at or dot is spaced out."""
     if text.isascii() or _ODD.isdisjoint(text):
         plain, source = text, range(len(text))
     else:
@@ -145,8 +189,14 @@ def normalised(text: str) -> tuple[str, list[int], list[int]]:
         starts.extend([source[a]] * len(c))
         ends.extend([source[b - 1] + 1] * len(c))
 
+    chains = iter([(0, len(plain))] if _spaced_out(plain) else _counting(plain))
+    chain = next(chains, None)
     for m in _DISGUISED.finditer(plain):
         if m.lastgroup == "run":
+            while chain and chain[1] <= m.start():
+                chain = next(chains, None)
+            if not chain or m.start() < chain[0]:
+                continue
             copy(m.start())
             for p in _RUN_PART.finditer(plain, m.start(), m.end()):
                 if p.lastgroup == "digits":

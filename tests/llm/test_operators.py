@@ -429,6 +429,15 @@ def test_disguised_is_never_wrongly_false():
         assert pii.disguised(t)
 
 
+def test_single_spelled_digits_pass_by():
+    for t in ("un homme et une femme, deux enfants. " * 50, "uno de los dos", "plus un mot, one by one. Two, three: go", "3 sur quatre"):
+        assert not pii.disguised(t) and pii.normalised(t)[0] == t and pii.spans(t) == []
+    for t in ("fünf@example.com", "plus one@example.com", "bob@one point two", "x one.two three@ex.com", "fİve one two three four five six seven eight, 4111 1"):
+        assert pii.disguised(t) and pii.normalised(t)[0] != t, t
+    t = "Un jour, +33 1 23 45 67 huit neuf; un autre"
+    assert [(k, t[s:e]) for k, s, e, p in pii.spans(t) if not p] == [(3, "+33 1 23 45 67 huit neuf")]
+
+
 def test_addresses_with_zeros():
     for t in ("0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 300 + "4", "000.0.0.0", "1.2.3.0256", "0001.0255.3.00000"):
         assert [s[:3] for s in pii.spans(t) if s[3] and s[0] == 1] == [x for x in plain_ip(t)], t
