@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,18 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, among the tables that were cut."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/kinfolio/{spark.sparkContext.applicationId}"
+    scope = spark.conf.get("kinfolio.scope", "")
+    return f"{shared_dir(spark)}/kinfolio/{spark.sparkContext.applicationId}" + (f"/{scope}" if scope else "")
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is cut in here goes when it ends; for work that repeats, as a stream's batches do."""
+    spark.conf.set("kinfolio.scope", f"{name}-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        clear(spark)
+        spark.conf.unset("kinfolio.scope")
 
 
 def clear(spark: SparkSession) -> bool:
-    """Removes all that this application has cut; call it when no result that is still
-    to be read depends on it. True if there was anything."""
+    """Removes all that this application has cut (in a scope: what was cut there); call it when
+    no result that is still to be read depends on it. True if there was anything."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +14,9 @@ from .functions.text import context_text, head_tail, length_bin, orient, role_se
 from .operators import effects, event_study, exposure, graph, learners, recovery, reports, resample, serialize, splits
 from .operators.atoms import Mapping, exploded, with_atoms
 from .plans import tables as t
-from .plans.lineage import cut
-from .sources import adapters
+from .plans.lineage import cut, fresh
+from .sources import adapters, multiview
+from .streaming import components as streamed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -162,6 +166,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(t.atoms(spark, d))
 
 
+@_query("streamed_components", f"WITH RECURSIVE {_LINK} SELECT record_id, label FROM lab")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same labels from edges that arrive in three batches."""
+    a = t.atoms(spark, d)
+    edges = graph.linking_keys(a).select(F.col("record_id").alias("a"), F.col("low").alias("b"))
+    folder = fresh(spark, "streamed")
+    edges.repartition(max(3, spark.sparkContext.defaultParallelism)).write.parquet(f"{folder}/edges")
+    files = len(spark.read.parquet(f"{folder}/edges").inputFiles())
+    arriving = spark.readStream.schema(edges.schema).option("maxFilesPerTrigger", math.ceil(files / 3)).parquet(f"{folder}/edges")
+    q = streamed.follow(arriving, folder, availableNow=True)
+    q.awaitTermination()
+    found = streamed.labels(spark, folder, q.lastProgress["batchId"] + 1)
+    return t.records(spark, d).join(found, F.col("record_id") == F.col("node"), "left").select("record_id", F.coalesce("component", "record_id").alias("label"))
+
+
 _SIZES = "cs AS (SELECT label, count(*) AS size, bool_or(split = 'train') AND bool_or(split = 'validation') AS x, count(DISTINCT view) AS v FROM lab JOIN rec USING (record_id) GROUP BY label)"
 
 
@@ -889,6 +908,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _round(event_study.event_study(rows, _B, checkpoints=4), "estimate", "low", "high", digits=6)
 
 
+# --- files of several views
+
+
+_FILE_ROWS = 10_000
+
+
+@_query("multiview_scan", f"""WITH {_RECORDS} SELECT view, split, (record_id // {_FILE_ROWS})::BIGINT AS part, record_id, row_number() OVER (PARTITION BY view, split, record_id // {_FILE_ROWS} ORDER BY record_id) - 1 AS source_index,
+  sha256(text) AS text_sha256 FROM rec WHERE split = 'validation' AND view IN ('v0', 'v2')""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as .gz files of JSON lines by view, split and range of ids, read back through the format: files of other views and splits stay shut."""
+    folder = fresh(spark, "views")
+    r = t._documents(spark, d).select("view", "split", F.floor(F.col("record_id") / _FILE_ROWS).alias("part"), "record_id", F.to_json(F.struct("record_id", "text")).alias("value"))
+    r = r.repartition("view", "split", "part").sortWithinPartitions("view", "split", "part", "record_id").drop("record_id")
+    r.write.partitionBy("view", "split", "part").text(folder, compression="gzip")
+    files = [(f, dict(x.split("=") for x in f.split("/") if "=" in x)) for f in spark.read.text(folder).inputFiles()]
+    manifest = {"dataset": "documents", "revision": "r1", "sources": [{"view": k["view"], "split": k["split"], "path": f} for f, k in files]}
+    multiview.register(spark)
+    lines = spark.read.format("multiview").option("manifest", json.dumps(manifest)).load().where("split = 'validation' AND view IN ('v0', 'v2')")
+    row = F.from_json("raw_json", "record_id long, text string")
+    part = F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part")
+    return lines.select("view", "split", part, row["record_id"].alias("record_id"), F.col("source_index").cast("long").alias("source_index"), F.sha2(row["text"], 256).alias("text_sha256"))
+
+
 # --- rendering, truncation, closed forms, serialised pairs, cells worked out again
 
 

@@ -68,10 +68,13 @@ def json_lines(spark: SparkSession, path: str | Path, *, blank_is_error: bool =
     numbered = lines.withColumn("part", part).join(F.broadcast(before), "part")
     within = Window.partitionBy("part").orderBy("at")
     numbered = numbered.withColumn("source_index", (F.col("before") + F.row_number().over(within) - 1).cast("int"))
-    parsed = F.parse_json("raw_json")
-    kind = F.schema_of_variant(parsed)
-    bad = ~F.startswith(kind, F.lit("OBJECT"))
-    return numbered.select(F.when(bad, F.raise_error(F.concat(F.lit(f"{path} contains a non-object JSON row "), F.col("source_index").cast("string")))).otherwise(F.col("raw_json")).alias("raw_json"), "source_index")
+    return objects_only(numbered.select("raw_json", "source_index"), path)
+
+
+def objects_only(lines: DataFrame, path: str | Path) -> DataFrame:
+    """raw_json and source_index of ``lines``; raises at a line that isn't a JSON object."""
+    bad = ~F.startswith(F.schema_of_variant(F.parse_json("raw_json")), F.lit("OBJECT"))
+    return lines.select(F.when(bad, F.raise_error(F.concat(F.lit(f"{path} contains a non-object JSON row "), F.col("source_index").cast("string")))).otherwise(F.col("raw_json")).alias("raw_json"), "source_index")
 
 
 def unique_rows(rows: DataFrame, key: str) -> DataFrame:
@@ -96,7 +99,16 @@ def _text(row, name: str | None):
 def records(spark: SparkSession, source: Source) -> DataFrame:
     """The records of a source: identity, record_hash, record_id, atoms, domain,
     language and label. The JSON itself goes no further."""
-    d = json_lines(spark, source.path, blank_is_error=source.builtin).withColumn("row", F.parse_json("raw_json"))
+    return _as_records(json_lines(spark, source.path, blank_is_error=source.builtin), source)
+
+
+def records_of(lines: DataFrame, source: Source) -> DataFrame:
+    """``records`` of a source whose lines (raw_json, source_index) are read already."""
+    return _as_records(objects_only(lines, source.path), source)
+
+
+def _as_records(lines: DataFrame, source: Source) -> DataFrame:
+    d = lines.withColumn("row", F.parse_json("raw_json"))
     d = with_atoms(d.withColumn("record_hash", record_hash(F.col("raw_json"))), source.mapping)
     if not source.builtin:
         label = _text(F.col("row"), source.label)
@@ -196,7 +208,7 @@ def prediction_files(path: str | Path, preferred: str = "predictions*.csv*") ->
 BLOCK = 1 << 20
 
 
-def _stream(path: str, compression: str | None):
+def open_stream(path: str, compression: str | None):
     """A file in any store that Arrow reads."""
     scheme, _, rest = path.partition(":")
     if scheme == "file" or not rest:
@@ -217,7 +229,7 @@ def file_digests(spark: SparkSession, path: str, *, recursive: bool = False, exc
             out = []
             for p in batch.column(0).to_pylist():
                 state = hashlib.sha256()
-                with _stream(p, "gzip" if content and p.endswith(".gz") else None) as f:
+                with open_stream(p, "gzip" if content and p.endswith(".gz") else None) as f:
                     while block := f.read(BLOCK):
                         state.update(block)
                 out.append(state.hexdigest())
