@@ -140,31 +140,36 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, budget: i
     ``share`` of all, whichever is more, and goes to those leaves; there its
     distances to the leaf's vectors are computed exactly, and the best are
     merged. A leaf of more than CELL rows is dealt out into cells, so none outgrows a
-    task. Vectors that are equal in all components are indexed as their k + 1
-    smallest ids, which loses no answer, so no leaf fills up with copies.
+    task. Vectors that are equal in all components are indexed as k rows of each of
+    their k + 1 smallest ids, which loses no answer, so no leaf fills up with copies.
 
     A query isn't its own neighbour, by vec_id. Ties go to the smaller vec_id.
     Null, empty, zero and non-finite vectors take no part; see ``proper``. Vectors are
     compared with those of their own length, each length by a forest of its own.
-    Rows that repeat an id and vector count once. If there are fewer candidates
+    Every other row is a candidate of its own, also where it repeats an id, or an id
+    and its vector; queries that share an id are answered one by one, but those that
+    share a vector too once. If there are fewer candidates
     than k, all are returned; without any the result is empty. Returns query_id,
     rank (from 1), vec_id and score.
     """
-    same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
-    rows = proper(embeddings).dropDuplicates(["vec_id", "embedding"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
-    rows = cut(rows, "ann-rows")
-    asked = proper(queries).dropDuplicates(["vec_id", "embedding"])
+    same = [F.xxhash64("embedding"), F.col("embedding")]
+    by_id, in_id = Window.partitionBy(*same).orderBy("vec_id"), Window.partitionBy(*same, "vec_id").orderBy("vec_id")
+    rows = proper(embeddings).withColumns({"ids": F.dense_rank().over(by_id), "nth": F.row_number().over(in_id)})
+    rows = cut(rows.where((F.col("ids") <= k + 1) & (F.col("nth") <= k)).drop("ids", "nth").withColumn("row", F.monotonically_increasing_id()), "ann-rows")
+    # As many partitions as are named: adaptive execution would put the queries, a small table, into one, and all their visits come out of it.
+    asked = proper(queries).repartition(int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vec_id", "embedding").dropDuplicates(["vec_id", "embedding"])
+    asked = cut(asked.withColumn("row", F.monotonically_increasing_id()), "ann-queries")
     widths = sorted(tuple(r) for r in rows.groupBy("width").count().collect())  # as many as there are lengths of vectors
     each = [_among(rows.where(F.col("width") == w), asked.where(F.col("width") == w), n, k, max(budget, share * n), trees, sample, leaf) for w, n in widths]
     if not each:
         return embeddings.sparkSession.createDataFrame([], _FOUND)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    pairs = reduce(DataFrame.unionByName, each).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("asked", "query_id").orderBy("score", "vec_id")
+    pairs = reduce(DataFrame.unionByName, each).groupBy("asked", "query_id", "row", "vec_id").agg(F.min("score").alias("score"))
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _among(rows: DataFrame, asked: DataFrame, n: int, k: int, budget: float, trees: int, sample: int, leaf: int) -> DataFrame:
-    """query_id, vec_id and score of near vectors; all ``n`` rows and all queries are of one length."""
+    """asked and query_id, row and vec_id, and score of near vectors; all ``n`` rows and all queries are of one length."""
     forest = fit(_matrix(rows.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0)), trees=trees, leaf=leaf)
     scale = n / forest.rows.sum() * trees
     cells = np.ceil(forest.rows * scale / CELL).astype(np.int64)
@@ -176,7 +181,7 @@ def _among(rows: DataFrame, asked: DataFrame, n: int, k: int, budget: float, tre
                 leaves = forest.leaves_of(_matrix(batch.column(1)))
                 row = np.repeat(np.arange(len(leaves)), trees)
                 at = mixed(batch.column(0).cast(pa.int64()).to_numpy().astype(np.uint64))[row] % cells[leaves.ravel()].astype(np.uint64)
-                yield pa.record_batch([pa.array(first[leaves.ravel()] + at.astype(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["cell", "vec_id", "embedding"])
+                yield pa.record_batch([pa.array(first[leaves.ravel()] + at.astype(np.int64)), *(batch.column(c).take(row) for c in range(3))], names=["cell", "vec_id", "embedding", "row"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -185,13 +190,13 @@ def _among(rows: DataFrame, asked: DataFrame, n: int, k: int, budget: float, tre
                 visits = [np.array(forest.visit(q, budget, scale), np.int64) for q in _matrix(batch.column(1))]
                 found = [np.repeat(first[v] - np.cumsum(cells[v]) + cells[v], cells[v]) + np.arange(cells[v].sum()) for v in visits]  # all cells of those leaves
                 row = np.repeat(np.arange(len(found)), [len(v) for v in found])
-                yield pa.record_batch([pa.array(np.concatenate(found)), batch.column(0).take(row), batch.column(1).take(row)], names=["cell", "vec_id", "embedding"])
+                yield pa.record_batch([pa.array(np.concatenate(found)), *(batch.column(c).take(row) for c in range(3))], names=["cell", "vec_id", "embedding", "row"])
 
     def rerank(queries: pa.Table, found: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = ([], [], [], [], [])
         if found.num_rows and queries.num_rows:
-            ids, x = found.column("vec_id").to_numpy(), _matrix(found.column("embedding"))
-            lengths, own, q = (x * x).sum(axis=1), queries.column("vec_id").to_numpy(), _matrix(queries.column("embedding"))
+            ids, rows_of, x = found.column("vec_id").to_numpy(), found.column("row").to_numpy(), _matrix(found.column("embedding"))
+            lengths, own, asked_of, q = (x * x).sum(axis=1), queries.column("vec_id").to_numpy(), queries.column("row").to_numpy(), _matrix(queries.column("embedding"))
             for a in range(0, len(q), CHUNK):
                 y, me = q[a : a + CHUNK], own[a : a + CHUNK]
                 d = lengths - 2 * (y @ x.T) + (y * y).sum(axis=1)[:, None]  # close to the squared distances: tells what is worth the exact ones
@@ -199,17 +204,16 @@ def _among(rows: DataFrame, asked: DataFrame, n: int, k: int, budget: float, tre
                 last = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(y), np.inf)
                 r, c = np.nonzero((d <= last[:, None] + 1e-9 * (lengths.max() + (y * y).sum(axis=1)[:, None])) & np.isfinite(d))
                 apart = x[c] - y[r]
-                out[0].append(me[r])
-                out[1].append(ids[c])
-                out[2].append(np.sqrt((apart * apart).sum(axis=1)))
+                for column, values in zip(out, (asked_of[a + r], me[r], rows_of[c], ids[c], np.sqrt((apart * apart).sum(axis=1))), strict=True):
+                    column.append(values)
         cat = [np.concatenate(o) if o else np.empty(0) for o in out]
-        return pa.table({"query_id": cat[0].astype(np.int64), "vec_id": cat[1].astype(np.int64), "score": cat[2].astype(np.float64)})
+        return pa.table([c.astype(np.float64 if n == "score" else np.int64) for n, c in zip(names, cat, strict=True)], names)
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    placed = f"cell long, vec_id long, embedding {kind}"
-    a = asked.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(search, placed).groupBy("cell")
-    b = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(index, placed).groupBy("cell")
-    return a.cogroup(b).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    placed, names = f"cell long, vec_id long, embedding {kind}, row long", ["asked", "query_id", "row", "vec_id", "score"]
+    a = asked.select(F.col("vec_id").cast("long"), "embedding", "row").mapInArrow(search, placed).groupBy("cell")
+    b = rows.select(F.col("vec_id").cast("long"), "embedding", "row").mapInArrow(index, placed).groupBy("cell")
+    return a.cogroup(b).applyInArrow(rerank, "asked long, query_id long, row long, vec_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,8 +228,8 @@ SQL = f"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt((({_SQUARES[0]} + {_SQUARES[1]}) + ({_SQUARES[2]} + {_SQUARES[3]})) + (({_SQUARES[4]} + {_SQUARES[5]}) + ({_SQUARES[6]} + {_SQUARES[7]}))) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS nth, vec_id, score FROM p)
+p AS (SELECT q.vec_id AS query_id, q.e, v.vec_id, sqrt((({_SQUARES[0]} + {_SQUARES[1]}) + ({_SQUARES[2]} + {_SQUARES[3]})) + (({_SQUARES[4]} + {_SQUARES[5]}) + ({_SQUARES[6]} + {_SQUARES[7]}))) AS score FROM (SELECT DISTINCT vec_id, e FROM v) q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, e ORDER BY score, vec_id) AS nth, vec_id, score FROM p)
 SELECT query_id, nth::INT AS rank, vec_id, score FROM r WHERE nth <= 10
 """
 QUERIES, ORACLES = {"op10_nearest_neighbours": query}, {"op10_nearest_neighbours": SQL}

@@ -2,8 +2,10 @@
 texts, ties, repeated rows and columns of clashing names."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -487,6 +489,54 @@ def test_toxicity(spark):
     assert toxicity.score(documents(spark, []), only).count() == 0
 
 
+def test_toxicity_by_loops(spark, monkeypatch):
+    """Scores, offending sentences and some rounds of learning, by loops over dictionaries."""
+    monkeypatch.setattr(toxicity, "CHUNK", 16)  # documents are scored a few at a time
+    rng = np.random.default_rng(8)
+    vocabulary = ["vile", "vilest", "kind", "Kindly", "über", "a", "badly", "bad", "naïvely", "x"]
+    texts = [". ".join(" ".join(rng.choice(vocabulary, rng.integers(0, 5))) for _ in range(rng.integers(1, 5))) + str(rng.choice(["", "!", "?\n"])) for _ in range(40)] + ["", "...", "vile " * 500]
+    lists = [[set(s) for s in r["w"]] for r in documents(spark, list(enumerate(texts))).orderBy("doc_id").select(toxicity.word_ids(F.col("text")).alias("w")).collect()]
+    hashed = lambda seed, w: spark.range(1).select(F.hash(F.lit(seed), F.lit(w))).first()[0]
+    known = {(n, w): hashed(n, w) for n, w in {(0, v.lower()) for v in [*vocabulary, ""]} | {(n, v.lower()[:n]) for v in vocabulary for n in toxicity.STARTS if len(v) > n}}
+    for t, sets in zip(texts, lists, strict=True):
+        said = [re.split(r"[\W\d_]+", s) for s in re.split(r"[.!?\n]+", t.lower())]
+        assert sets == [{known[0, w] for w in s} | {known[n, w[:n]] for w in s for n in toxicity.STARTS if len(w) > n} for s in said], t
+    toxic = np.array([any(known[0, "vile"] in s or known[0, "bad"] in s for s in sets) != (i % 9 == 0) for i, sets in enumerate(lists)])
+
+    counts = Counter(f for sets in lists for f in set().union(*sets))
+    w, bias = {f: 0.0 for f, n in counts.items() if n >= toxicity.LEAST_DOCS}, -3.0
+    m, v, mb, vb = dict.fromkeys(w, 0.0), dict.fromkeys(w, 0.0), 0.0, 0.0
+    chance = lambda s: 1 / (1 + math.exp(-(bias + sum(w.get(f, 0.0) for f in s))))
+    for t in range(1, 31):
+        g, gb = dict.fromkeys(w, 0.0), 0.0
+        for sets, y in zip(lists, toxic, strict=True):
+            clean = math.prod(1 - chance(s) for s in sets)
+            for s in sets:
+                pull = chance(s) * (-clean / (1 - clean) if y else 1.0) / len(lists)  # of the log loss of 1 - clean
+                gb += pull
+                for f in s & w.keys():
+                    g[f] += pull
+        for f in w:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.99 * v[f] + 0.01 * g[f] ** 2
+            rate = 0.1 / (math.sqrt(v[f] / (1 - 0.99**t)) + 1e-5)
+            moved = w[f] - rate * m[f] / (1 - 0.9**t)
+            w[f] = math.copysign(max(abs(moved) - rate * 3e-4, 0), moved)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        bias -= 0.1 * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    flat = [np.array(sorted(s), np.int32) for sets in lists for s in sets]
+    starts = np.cumsum([0] + [len(f) for f in flat])[:-1]
+    docs = np.cumsum([0] + [len(sets) for sets in lists])[:-1]
+    model = toxicity.learn(np.concatenate(flat), starts, docs, toxic, rounds=30)
+    kept = {f: x for f, x in w.items() if x}
+    assert dict(zip(model.features.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(kept, rel=1e-6, abs=1e-9) and model.bias == pytest.approx(bias)
+
+    got = toxicity.score(documents(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()
+    for r, sets in zip(got, lists, strict=True):
+        assert r["toxicity"] == pytest.approx(1 - math.prod(1 - chance(s) for s in sets)), r
+        assert r["offending"] == [i for i, s in enumerate(sets) if chance(s) >= 0.5]
+    assert any(r["offending"] for r in got) and not all(r["offending"] for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 8)).astype(np.float32)
@@ -512,6 +562,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(e.where("vec_id > 900 and vec_id < 905"), e).count() == 0
 
 
+def test_neighbours_that_share_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (260, 4)) + 0.5
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.integers(0, 60, 260), x, strict=True)] + [(7, [0.5] * 4)] * 15 + [(8, [0.5] * 4)] * 2 + [(20, [9.5] * 4)] * 3
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.nearest(e, e.where("vec_id % 20 = 0 or vec_id = 7")).collect())
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0 or i == 7}:
+        near = sorted((float(np.sqrt(((np.array(u) - v) ** 2).sum())), i) for i, u in rows if i != q)[:10]
+        want += [(q, n, i, d) for n, (d, i) in enumerate(near, 1)]
+    assert got == sorted(want)
+    few = spark.createDataFrame([(100, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [9.0, 0.0])], e.schema)
+    assert sorted(tuple(r) for r in neighbours.nearest(few, few.where("vec_id = 100")).collect()) == [(100, 1, 1, 1.0), (100, 2, 1, 2.0), (100, 3, 2, 8.0)]
+
+
 def test_neighbours_of_mixed_lengths(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL", 20)  # leaves are dealt out
     rng = np.random.default_rng(7)
