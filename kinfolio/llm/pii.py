@@ -36,13 +36,15 @@ DIGIT_WORDS = {
 
 def _one_to_one() -> dict[int, str | None]:
     """What a character stands for: lookalikes, then full-width forms, letters
-    and digits of mathematics and digits in circles by their compatibility forms."""
-    ranges = (range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x2460, 0x2469), range(0x2070, 0x208A), range(0x24B6, 0x24EA), range(0xFE50, 0xFE6C), (0xB2, 0xB3, 0xB9))
+    and digits of mathematics, Roman numerals of one letter and digits in circles by their
+    compatibility forms, and the decimal digits of all scripts by their value."""
+    ranges = (range(0x2160, 0x2180), range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x2460, 0x2469), range(0x2070, 0x208A), range(0x24B6, 0x24EA), range(0xFE50, 0xFE6C), (0xB2, 0xB3, 0xB9))
     found: dict[int, str | None] = {}
     for c in chained(*ranges):
         form = unicodedata.normalize("NFKC", chr(c))
         if len(form) == 1 and " " < form < "\x7f":
             found[c] = form
+    found |= {c: str(d) for c in range(0x80, 0x20000) if (d := unicodedata.decimal(chr(c), None)) is not None}
     return found | {ord(k): v for k, v in LOOKALIKES.items()} | {ord(c): None for c in UNSEEN}
 
 
@@ -59,16 +61,25 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OPEN, _CLOSE = r"(?:(?<!\s)\s+)?[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT, _DOT = r"(?:at|arroba|chez)", r"(?:dot|punkt|punto|point)"
 _DIGITS = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + ")"
+#: A domain up to its first dot that is said, in brackets or not; dots that are written may come before.
+_SAID = rf"[a-z0-9-]++(?:\.[a-z0-9-]++)*+(?:\s+{_DOT}\s+|{_OPEN}{_DOT}{_CLOSE})"
 #: Bracketed and spaced-out forms, bare words where an address follows, and runs of spelled digits.
+#: Bare words for a dot that aren't English are common words too: they count within an address alone.
 _DISGUISED = re.compile(
-    rf"(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE}|(?<=[a-z0-9])\s+@\s+(?=[a-z0-9])|(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\s+dot\s+|{_OPEN}{_DOT}{_CLOSE})[a-z]))"
+    rf"(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE}|(?<=[a-z0-9])\s+@\s+(?=[a-z0-9])|(?<=[a-z0-9])\s+{_AT}\s+(?={_SAID}[a-z]))"
     rf"|(?P<dot>{_OPEN}(?:{_DOT}|\.){_CLOSE}|(?<=[a-z0-9])\s+(?:dot|\.)\s+(?=[a-z0-9]))"
+    rf"|(?P<word>(?<=[a-z0-9])\s+(?:punkt|punto|point)\s+(?=[a-z0-9]))"
     rf"|(?P<run>(?<!\w)(?:plus\s+)?{_DIGITS}(?!\w)(?:[\s,-]+(?:(?:dot|punkt|punto|point)\s+)?(?:{_DIGITS}|[0-9]+)(?!\w))*)",
     re.I,
 )
 _RUN_PART = re.compile(rf"(?<!\w)(?:(?P<plus>plus)|(?P<point>dot|punkt|punto|point)|(?P<word>{_DIGITS})|(?P<digits>[0-9]+))(?!\w)", re.I)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|dot|@|\.|arroba|chez|punkt|punto|point)", re.I)
 _BARE = re.compile(r"\s(?:dot|@|\.)\s", re.I)
+_FOREIGN = re.compile(r"\s(?:punkt|punto|point)\s", re.I)
+#: At in words before a domain with a dot in words; and what may follow at and stand before it, with dots in words.
+_ADDRESS = re.compile(rf"(?:(?<=[a-z0-9])\s+{_AT}\s+|{_OPEN}(?:{_AT}|@){_CLOSE})(?={_SAID}[a-z])", re.I)
+_DOMAIN_SAID = re.compile(rf"[a-z0-9-]++(?:(?:\.|\s+{_DOT}\s+|{_OPEN}{_DOT}{_CLOSE})[a-z0-9-]++)*", re.I)
+_LOCAL_SAID = re.compile(rf"[a-z0-9._%+-]++(?:\s+{_DOT}\s+[a-z0-9._%+-]++)*", re.I)
 _SPELLED = re.compile(rf"(?<!\w){_DIGITS}(?!\w)", re.I)
 #: Numbers, spelled digits, plus and dot, with all that may stand between the parts of one identifier.
 _CHAIN = re.compile(rf"\+?(?:(?<!\w)(?:{_DIGITS}|plus|{_DOT})(?!\w)|[0-9]++)(?:[\s,().%+-]*+(?:(?<!\w)(?:{_DIGITS}|plus|{_DOT})(?!\w)|[0-9]++))*", re.I)
@@ -123,7 +134,9 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _spaced_out(text: str) -> bool:
     """Whether an at or dot may stand in brackets or between blanks."""
-    return bool(any(c in text for c in "[({<") and _BRACKETED.search(text) or _BARE.search(text))
+    if any(c in text for c in "[({<") and _BRACKETED.search(text) or _BARE.search(text):
+        return True
+    return bool(_FOREIGN.search(text) and _ADDRESS.search(text))
 
 
 def _in_company(text: str) -> bool:
@@ -191,6 +204,7 @@ def normalised(text: str) -> tuple[str, list[int], list[int]]:
 
     chains = iter([(0, len(plain))] if _spaced_out(plain) else _counting(plain))
     chain = next(chains, None)
+    inside, outside = 0, 0  # dots in words count before the one, and don't before the other
     for m in _DISGUISED.finditer(plain):
         if m.lastgroup == "run":
             while chain and chain[1] <= m.start():
@@ -204,7 +218,20 @@ def normalised(text: str) -> tuple[str, list[int], list[int]]:
                         put(plain[k], k, k + 1)
                 else:
                     put({"plus": "+", "point": ".", "word": DIGIT_WORDS.get(p.group().lower(), "")}[p.lastgroup], p.start(), p.end())
+        elif m.lastgroup == "word" and m.start() >= inside:
+            if m.start() >= outside:
+                local = _LOCAL_SAID.match(plain, m.end())
+                if _ADDRESS.match(plain, local.end()):
+                    inside = local.end()
+                else:
+                    outside = local.end()
+            if m.start() >= inside:
+                continue
+            copy(m.start())
+            put(".", m.start(), m.end())
         else:
+            if m.lastgroup == "at" and (domain := _DOMAIN_SAID.match(plain, m.end())):
+                inside = max(inside, domain.end())
             copy(m.start())
             put("@" if m.lastgroup == "at" else ".", m.start(), m.end())
         at = m.end()

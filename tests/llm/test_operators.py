@@ -400,6 +400,22 @@ def test_personal_data(spark):
     assert pii.redact(documents(spark, [(1, "to a@b.cd, bye")])).first()["text"] == "to [email], bye"
 
 
+def test_addresses_in_words():
+    for t in (
+        "max at beispiel punkt de", "ana arroba correo punto es", "jean chez exemple point fr", "bob at sub.example dot com", "max punkt muster at beispiel punkt de",
+        "a punkt b punkt c at mail punkt firma punkt de", "jean point dupont [chez] exemple point fr", "ana (arroba) correo punto com punto es", "ⅰnfo@example.com", "MAX AT BEISPIEL PUNKT DE",
+    ):
+        for text in (t, f"Mail: {t}, danke", f"un point, {t}; punto"):
+            found = [(k, text[s:e]) for k, s, e, p in pii.spans(text) if not p]
+            assert pii.disguised(text) and found == [(0, t)], (text, found)
+    for t, kind, part in [("call +٤٩ ١٧٢ ٣٤٥٦٧٨٩ now", 3, "+٤٩ ١٧٢ ٣٤٥٦٧٨٩"), ("host १९२.१६८.०.१", 1, "१९२.१६८.०.१")]:
+        assert [(k, t[s:e]) for k, s, e, p in pii.spans(t) if not p] == [(kind, part)], t
+    for t in ("à ce point de vue, chez nous", "at this point we meet at noon", "un punto arroba", "meet at example.com at one point", "der Punkt de", "a point b point c point " * 2000, "x at y at z " * 2000):
+        assert pii.spans(t) == [] and pii.normalised(t)[0] == t
+    t = "jean chez exemple point fr, et à ce point de vue ce point important"
+    assert pii.normalised(t)[0] == "jean@exemple.fr, et à ce point de vue ce point important"
+
+
 def test_disguise_on_one_side(spark):
     texts = ["аlice@example.com", "jоhn.doe@example.com", "user@mail.exаmple.com", "bob dot smith@example.com"]
     for t in texts:
