@@ -117,8 +117,9 @@ def trajectories(did_rows: DataFrame) -> DataFrame:
 
 
 def model_rankings(accuracy: DataFrame) -> DataFrame:
-    """Models by mean accuracy over seeds, in each boundary, set and fraction."""
-    a = accuracy.groupBy("boundary", "fraction", "evaluation_set", "model").agg(F.avg("accuracy").alias("accuracy"))
+    """Models by mean accuracy over seeds, in each boundary, set and fraction. Means are rounded before they
+    are ranked: the order in which seeds are added up must not part equal models."""
+    a = accuracy.groupBy("boundary", "fraction", "evaluation_set", "model").agg(F.round(F.avg("accuracy"), 9).alias("accuracy"))
     return a.withColumn("rank", F.rank().over(Window.partitionBy("boundary", "fraction", "evaluation_set").orderBy(F.col("accuracy").desc())))
 
 

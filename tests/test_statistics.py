@@ -205,3 +205,11 @@ def test_learner_against_a_small_solver(spark):
         margins = {r["pair_id"]: r["margin"] for r in got}
         assert np.allclose([margins[r[0]] for r in rows], x @ beta, atol=2e-3)
         assert all(abs(r["probability"] - 1 / (1 + math.exp(-r["margin"]))) < 1e-12 for r in got)
+
+
+def test_model_rankings_share_places_whatever_the_order_of_seeds(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1 in doubles; the models are equal."""
+    rows = [("b", 1.0, "s", m, a) for m, seeds in (("x", (0.1, 0.2, 0.3)), ("y", (0.3, 0.2, 0.1)), ("z", (0.1, 0.1, 0.1))) for a in seeds]
+    d = spark.createDataFrame(rows, "boundary string, fraction double, evaluation_set string, model string, accuracy double").coalesce(1)
+    got = {r["model"]: (r["rank"], r["accuracy"]) for r in effects.model_rankings(d).collect()}
+    assert got == {"x": (1, 0.2), "y": (1, 0.2), "z": (3, 0.1)}
