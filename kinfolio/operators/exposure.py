@@ -62,16 +62,31 @@ def _distinct_sources(sets: DataFrame, t: DataFrame, counted: DataFrame) -> Data
     return out.select(*side, "values", (F.coalesce("of_hot", F.lit(0)) + F.coalesce("of_few", F.lit(0))).alias("m"))
 
 
-def exposure_rows(atoms: DataFrame, **splits: str) -> DataFrame:
-    """The whole tensor: every evaluation record by every atom type and view that
-    occurs anywhere, with zeros. Types and views are few: they are schema, not data."""
-    evaluation = splits.get("evaluation", "validation")
+def _dense(atoms: DataFrame, evaluation: str) -> DataFrame:
+    """Every evaluation record by every atom type and view that occurs anywhere. Types and views are few: they are schema, not data."""
     records = atoms.where(F.col("split") == evaluation).select("record_id", F.col("view").alias("evaluation_view")).distinct()
     types, views = atoms.select("atom_type").distinct(), atoms.select(F.col("view").alias("source_view")).distinct()
-    cell = ["record_id", "evaluation_view", "atom_type", "source_view"]
-    dense = records.crossJoin(F.broadcast(types)).crossJoin(F.broadcast(views)).join(matches(atoms, **splits), cell, "left")
+    return records.crossJoin(F.broadcast(types)).crossJoin(F.broadcast(views))
+
+
+def exposure_rows(atoms: DataFrame, **splits: str) -> DataFrame:
+    """The whole tensor, with zeros."""
+    dense = _dense(atoms, splits.get("evaluation", "validation")).join(matches(atoms, **splits), CELL, "left")
     m = F.coalesce("matching_training_records", F.lit(0))
-    return dense.select(*cell, (m > 0).alias("exposed"), F.coalesce("matching_atoms", F.lit(0)).alias("matching_atoms"), m.alias("matching_training_records"))
+    return dense.select(*CELL, (m > 0).alias("exposed"), F.coalesce("matching_atoms", F.lit(0)).alias("matching_atoms"), m.alias("matching_training_records"))
+
+
+def _met(atoms: DataFrame, training: str, evaluation: str) -> DataFrame:
+    """CELL of exposed cells, several times perhaps. Presence alone: the training side is one row a key and view."""
+    t = atoms.where(F.col("split") == training).select(*KEY, F.col("view").alias("source_view")).distinct()
+    e = atoms.where(F.col("split") == evaluation).select("record_id", F.col("view").alias("evaluation_view"), *KEY).distinct()
+    return e.join(t, KEY)
+
+
+def exposed_cells(atoms: DataFrame, *, training: str = "train", evaluation: str = "validation") -> DataFrame:
+    """The cells of the tensor and whether they are exposed, without its counts: no training record is looked at by itself."""
+    met = _met(atoms, training, evaluation).select(*CELL).distinct().withColumn("found", F.lit(True))
+    return _dense(atoms, evaluation).join(met, CELL, "left").select(*CELL, F.coalesce("found", F.lit(False)).alias("exposed"))
 
 
 def _frame(atoms: DataFrame, evaluation: str) -> tuple[DataFrame, DataFrame]:
@@ -95,10 +110,7 @@ def same_and_any_view(atoms: DataFrame, *, training: str = "train", evaluation:
     """Records exposed within their view, in any, and in others alone."""
     n, types = _frame(atoms, evaluation)
     key = ["evaluation_view", "atom_type"]
-    # presence alone: the training side is one row a key and view
-    t, e = _sides(atoms, training, evaluation)
-    met = e.select("record_id", "evaluation_view", *KEY).distinct().join(t.select(*KEY, "source_view").distinct(), KEY)
-    per = met.groupBy("record_id", *key).agg(F.bool_or(F.col("source_view") == F.col("evaluation_view")).alias("same"))
+    per = _met(atoms, training, evaluation).groupBy("record_id", *key).agg(F.bool_or(F.col("source_view") == F.col("evaluation_view")).alias("same"))
     sums = per.groupBy(*key).agg(F.count("*").alias("any_n"), F.count_if("same").alias("same_n"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     rate = lambda c: F.try_divide(c, "validation_rows")

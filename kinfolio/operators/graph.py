@@ -20,7 +20,9 @@ def linking_keys(atoms: DataFrame, *, types: list[str] | None = None, excluded:
     """record_id by key, of keys that two or more records hold and that link: a
     key links if any atom with it does, then for all its records. ``types``
     says which types link instead; keys in ``excluded`` never do."""
-    link = F.bool_or("linkable") if types is None else F.first(F.col("atom_type").isin(types))
+    if types is not None:  # the type is a part of the key
+        atoms = atoms.where(F.col("atom_type").isin(types))
+    link = F.bool_or("linkable") if types is None else F.lit(True)
     keys = atoms.groupBy(*KEY).agg(link.alias("links"), F.min("record_id").alias("low"), F.max("record_id").alias("high")).where("links and low < high").select(*KEY, "low")
     if excluded is not None:
         keys = keys.join(excluded.select(*KEY), KEY, "left_anti")
