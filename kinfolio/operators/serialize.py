@@ -16,6 +16,8 @@ from ..functions.text import OMITTED, PART_LEAST, PART_MARKERS, SPARE_ORDER, joi
 
 #: Parts in the order in which they stand.
 PARTS = tuple(PART_MARKERS)
+#: Rows that are encoded at once: their encodings take many times their texts' memory.
+ROWS = 128
 
 
 def budgets(lengths: np.ndarray, room: int) -> np.ndarray:
@@ -51,7 +53,7 @@ def serialized(pairs: DataFrame, vocabulary: str, *, most: int = 512, start: Seq
         room = most - sum(map(len, markers.values())) - len(start) - len(end)
         if room < least:
             raise ValueError(f"{most} tokens are too few for the parts' least budgets")
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             rows = batch.to_pydict()
             entries = [[(x or "").strip() for x in f or []] for f in rows["feedback"]]
             flat = encode([x for f in entries for x in f])
