@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +153,20 @@ def test_suffix_dedup(spark, monkeypatch):
         suffixes.remove_repeated_bytes(frame(spark, rows), window=8)
 
 
+def test_copies_move_no_bytes(spark):
+    """What stands inside exact copies is settled by anchors and digests; only runs at their edges are sent along."""
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh"), 4000))
+    rows = [(i, base) for i in range(1, 5)] + [(9, "other" + base[1000:3000])]
+    d = reduce(lambda a, b: a.union(b), (frame(spark, [r]) for r in rows))  # a task each, so none is told from its piece alone
+    moved = d.select("doc_id", suffixes._packed("text").alias("packed"), suffixes._tag(F.col("text")).alias("tag"))
+    met = d.mapInArrow(partial(suffixes._first_level, window=50), "key long, doc_id long, at long").repartition(1).sortWithinPartitions("key").mapInArrow(suffixes._judged, "key long, doc_id long, at long")
+    n = {r["at"]: r["count"] for r in met.groupBy("at").count().collect()}
+    assert n[suffixes.SAME] > 20 * n[0] > 0
+    runs = {r["doc_id"]: sum(x["n"] for x in r["runs"]) for r in suffixes.repeated_runs(d, moved).collect()}
+    assert runs == {2: 3951, 3: 3951, 4: 3951, 9: 1951}
+
+
 def test_frequent_anchors(spark, monkeypatch):
     """Anchors that a share of documents hold are told; others aren't."""
     monkeypatch.setattr(suffixes, "SAMPLED", 1)
