@@ -1,7 +1,7 @@
 """What queries read, how they deal rows out, and that tasks stay small."""
 
 from kinfolio import registry
-from kinfolio.operators import exposure
+from kinfolio.operators import exposure, learners
 from kinfolio.plans import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +22,18 @@ def test_presence_is_that_of_the_tensor(spark):
     assert presence.count() == whole.count() and not presence.exceptAll(whole).count()
     contexts = a.where("atom_type = 'context'").select("record_id", "view", "split", "value_hash")
     assert contexts.count() and not contexts.exceptAll(t.contexts(spark, SF)).count() and not t.contexts(spark, SF).exceptAll(contexts).count()
+
+
+def test_terms_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Twice the text makes twice the tasks, not larger ones; the values stay."""
+    pairs = spark.range(60).selectExpr("id AS pair_id", "concat('some words here ', id) AS response1", "concat('other words there ', id % 7) AS response2")
+    counts = learners.term_counts(pairs, learners.word_terms)
+    v = learners.vocabulary(counts.groupBy("term").agg({"*": "count", "n": "sum"}).toDF("term", "df", "total"), 120, least_documents=2, most_features=100)
+    want = sorted(map(tuple, learners.differences(counts, v).selectExpr("pair_id", "term", "round(value, 9)").collect()))
+    monkeypatch.setattr(learners, "TASK_CHARACTERS", 100)
+    monkeypatch.setattr(learners, "TASK_TERMS", 20)
+    small, large = (learners.term_counts(pairs.where(f"pair_id < {n}"), learners.word_terms) for n in (30, 60))
+    assert 8 < small.rdd.getNumPartitions() < large.rdd.getNumPartitions()
+    again = learners.differences(large, v)
+    assert again.rdd.getNumPartitions() > 8
+    assert sorted(map(tuple, again.selectExpr("pair_id", "term", "round(value, 9)").collect())) == want
