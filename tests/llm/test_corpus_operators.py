@@ -167,6 +167,46 @@ def test_copies_move_no_bytes(spark):
     assert runs == {2: 3951, 3: 3951, 4: 3951, 9: 1951}
 
 
+def test_texts_move_once(spark):
+    """Both joins read the texts that one exchange wrote."""
+    out = suffixes.remove_repeated_bytes(frame(spark, [(i, "some words that are said " * 4 + str(i % 7)) for i in range(40)]).repartition(2)).select("doc_id", "kept")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange [doc_id" in plan and "ArrowEvalPython" in plan
+
+
+def test_settled_windows_are_runs():
+    """Windows of frequent anchors go one by one; those that a document of the piece settles come as runs."""
+    rng = np.random.default_rng(4)
+    passage = "".join(rng.choice(list("ghijkl"), 300))
+    texts = ["".join(rng.choice(list("abcdef"), 80)) + passage for _ in range(20)]
+    anchors = np.unique(suffixes._anchors(np.frombuffer(passage.encode(), np.uint8), 50))
+    wanted = pa.array([anchors.view(np.int64).tolist()] * 20, pa.list_(pa.int64()))
+    batch = pa.record_batch([pa.array(range(20), pa.int64()), pa.array(texts), wanted, pa.array([0] * 20, pa.int32())], names=["doc_id", "text", "anchors", "tag"])
+    out = pa.Table.from_batches(suffixes._second_level(iter([batch]), 50, anchors)).to_pylist()
+    settled = [r for r in out if r["text"] is None and r["doc_id"]]
+    assert len(settled) == 19 and all(r["n"] >= 251 for r in settled)
+
+
+def test_first_level_rows_are_packed():
+    """Rows come out of their blobs as they went in; a blob holds one range of keys, and takes less than its rows."""
+    rng = np.random.default_rng(3)
+    n = 20_000
+    rows = [np.sort(rng.integers(0, 1 << suffixes.BITS, n)), rng.integers(10**6, 10**6 + 300, n), rng.integers(0, 1 << 48, n)]
+    rows[1][:2], rows[2][5:50], rows[2][60:99] = (-(1 << 63), (1 << 63) - 1), suffixes.SEVERAL, suffixes.PASSED
+    batches = [pa.record_batch([pa.array(c[a : a + 7000]) for c in rows], names=["key", "doc_id", "at"]) for a in range(0, n, 7000)]
+    dealt = list(suffixes._dealt(iter(batches), 16))
+    got = pa.Table.from_batches(suffixes._undealt(iter(dealt)))
+    assert sorted(zip(*(c.to_pylist() for c in got.columns), strict=True)) == sorted(zip(*(c.tolist() for c in rows), strict=True))
+    assert sum(b.column(1).nbytes for b in dealt) < 24 * n / 1.8
+    for b in dealt:
+        for i, to in enumerate(b.column(0).to_pylist()):
+            part = next(suffixes._undealt(iter([b.slice(i, 1)])))
+            key, at = part.column(0).to_numpy(), part.column(2).to_numpy()
+            assert (key[at > suffixes.PASSED] >> (suffixes.BITS - 4) == to).all()
+    assert not list(suffixes._dealt(iter([]), 16))
+
+
 def test_frequent_anchors(spark, monkeypatch):
     """Anchors that a share of documents hold are told; others aren't."""
     monkeypatch.setattr(suffixes, "SAMPLED", 1)
