@@ -1,5 +1,9 @@
 """What queries read, how they deal rows out, and that tasks stay small."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from kinfolio import registry
 from kinfolio.operators import exposure, learners
 from kinfolio.plans import tables as t
@@ -37,3 +41,24 @@ def test_terms_are_dealt_out_by_their_number(spark, monkeypatch):
     again = learners.differences(large, v)
     assert again.rdd.getNumPartitions() > 8
     assert sorted(map(tuple, again.selectExpr("pair_id", "term", "round(value, 9)").collect())) == want
+
+
+def test_characters_are_cut_once(spark):
+    """Runs of characters are the same as by substrings, and a long text takes no longer for a character than a short one."""
+    texts = ["", "ab", "Abc", "a  b\tc", "žluťoučký kůň", "x\U0001f600yz\U0001f601w", "ab" * 150_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "pair_id int, text string")
+    runs = learners.char_terms(d["text"])
+    assert "substring" not in str(runs)
+    for r in d.select("pair_id", F.size(runs).alias("n"), F.slice(runs, 1, 40).alias("first")).collect():
+        t = re.sub(r"\s+", " ", texts[r["pair_id"]].lower())
+        want = [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)]
+        assert r["n"] == len(want) and r["first"] == want[:40]
+    # terms are made by pair where they are used, and don't move
+    pairs = spark.range(20).selectExpr("id AS pair_id", "concat('some words ', id) AS response1", "concat('other words ', id % 7) AS response2")
+    counts = learners.term_counts(pairs, learners.char_terms)
+    v = learners.vocabulary(counts.groupBy("term").agg({"*": "count", "n": "sum"}).toDF("term", "df", "total"), 40, least_documents=2, most_features=100).cache()
+    dealt, moved = (learners.differences(counts, v, dealt=x) for x in (True, False))
+    values = [sorted(map(tuple, x.selectExpr("pair_id", "term", "round(value, 9)").collect())) for x in (dealt, moved)]
+    assert values[0] == values[1] and len(values[0])
+    by = [x._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") for x in (dealt, moved)]
+    assert by == [1, 2]
