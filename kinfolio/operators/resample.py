@@ -8,8 +8,12 @@ drawn. The modes agree in distribution, not in digits.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import NumericType
@@ -32,6 +36,30 @@ def numbered_items(items: DataFrame, order: str) -> tuple[DataFrame, int]:
     return numbered(items, F.col(order), "i", part=part), n
 
 
+#: Draws that one task holds, about.
+TASK_DRAWS = 1_000_000
+
+
+def draw_tasks(spark: SparkSession, n: int) -> int:
+    """Tasks for ``n`` draws: their number grows with the draws, not what each holds."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_DRAWS))
+
+
+def drawn_rows(values: DataFrame, items: DataFrame, n: int, order: str, slots: DataFrame, number: Column, each: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of drawn items, one for each time that an item is drawn: the columns of ``slots`` with those of ``values``.
+    ``items`` has ``order`` and i, from 0 to ``n``; each of the ``slots`` (``each`` in all; they are sent along) draws ``n`` times,
+    time k the item of ``number`` % n. Rows also agree ``on`` columns of slots. Draws and values meet by item, in tasks whose number
+    grows with the draws, and are not counted before; an item's rows go as one array."""
+    spark = values.sparkSession
+    tasks = draw_tasks(spark, n * each)
+    k = items.select(F.col("i").alias("k")).repartition(tasks, "k")
+    drawn = k.crossJoin(F.broadcast(slots)).withColumn("i", number % F.lit(max(1, n))).drop("k").repartition(tasks, "i")
+    held = [c for c in values.columns if c != order]
+    own = values.join(items, order).groupBy("i").agg(F.collect_list(F.struct(*held)).alias("held")).repartition(tasks, "i")
+    mine = F.col("held") if not on else F.filter("held", lambda x: reduce(and_, (x[c] == F.col(c) for c in on)))
+    return drawn.join(own.hint("shuffle_hash"), "i").select(*slots.columns, F.inline(F.transform(mine, lambda x: F.struct(*(x[c].alias(c) for c in held if c not in on)))))
+
+
 def draws(items: DataFrame, replicates: int, *, seed: int, namespace: str, order: str = "pair_id") -> DataFrame:
     """replicate and the value columns of the drawn items: as many draws a
     replicate as there are items (one a pair, a small table), with replacement."""
@@ -214,10 +242,9 @@ def nested_bootstrap_native(pairs: DataFrame, replicates: int, *, seed: int = 9,
     for which in sets:
         own = pairs.where(F.col("evaluation_set") == which)
         items, n = numbered_items(own.select("pair_id").distinct(), "pair_id")
-        drawn = items.select(F.col("i").alias("k")).crossJoin(F.broadcast(slots)).withColumn("i", number(which, "replicate", "slot", "k") % F.lit(max(1, n)))
-        times = drawn.groupBy("replicate", "slot", "seed", "i").agg(F.count("*").alias("times")).join(items, "i")
-        mean = lambda c: (F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c)
-        m = own.join(times, ["seed", "pair_id"]).groupBy("replicate", "slot", "model").agg(mean("naive"), mean("safe"))
+        values = own.select("seed", "pair_id", "model", *(F.col(c).cast("double").alias(c) for c in ("naive", "safe")))
+        drawn = drawn_rows(values, items, n, "pair_id", slots, number(which, "replicate", "slot", "k"), replicates * n_seeds, ("seed",))
+        m = drawn.groupBy("replicate", "slot", "model").agg(F.avg("naive").alias("naive"), F.avg("safe").alias("safe"))
         m = m.groupBy("replicate", "model").agg(F.avg("naive").alias(f"{which}_naive"), F.avg("safe").alias(f"{which}_safe"))
         out = m if out is None else out.join(m, ["replicate", "model"])
     gap = lambda s: F.col(f"{s}_naive") - F.col(f"{s}_safe")

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from kinfolio import registry
-from kinfolio.operators import exposure, learners
+from kinfolio.operators import exposure, learners, resample
 from kinfolio.plans import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,19 @@ def test_characters_are_cut_once(spark):
     assert values[0] == values[1] and len(values[0])
     by = [x._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") for x in (dealt, moved)]
     assert by == [1, 2]
+
+
+def test_draws_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Twice the items make twice the tasks, not larger ones; an item's rows come as often as it is drawn."""
+    slots = spark.createDataFrame([(r, s, 1 + (r + s) % 2) for r in range(4) for s in range(2)], "replicate int, slot int, seed int")
+    values = spark.range(40).selectExpr("id AS item", "explode(array(1, 2)) AS seed", "id * 10 AS v")
+    monkeypatch.setattr(resample, "TASK_DRAWS", 32)
+    tasks = []
+    for n in (20, 40):
+        items = spark.range(n).selectExpr("id AS item", "id AS i")
+        number = F.col("k") * 7 + F.col("replicate") * 3 + F.col("slot")
+        out = resample.drawn_rows(values, items, n, "item", slots, number, 8, ("seed",))
+        tasks.append(out.rdd.getNumPartitions())
+        got = sorted((r["replicate"], r["slot"], r["v"]) for r in out.collect())
+        assert got == sorted((r, s, (k * 7 + r * 3 + s) % n * 10) for r in range(4) for s in range(2) for k in range(n))
+    assert tasks == [5, 10]
