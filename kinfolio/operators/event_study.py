@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.canonical import hash_number, stable_rank
 from ..functions.numbers import event_bin
-from .resample import intervals, numbered_items
+from .resample import drawn_rows, intervals, numbered_items
 from .splits import numbered
 
 #: Where time bins end.
@@ -90,12 +90,9 @@ def event_draws(rows: DataFrame, replicates: int, *, seed: int = 11, bins: int =
     draw = lambda what, *by: hash_number(stable_rank(seed, f"event:{what}", F.concat_ws(":", *(F.col(c).cast("string") for c in by))))
     slots = spark.range(replicates).select(F.col("id").cast("int").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("slot"))
     slots = slots.withColumn("i", draw("seed", "replicate", "slot") % F.lit(n_seeds)).join(F.broadcast(seeds), "i").select("replicate", "slot", "seed")
-    drawn = items.select(F.col("i").alias("k")).crossJoin(F.broadcast(slots))
-    drawn = drawn.withColumn("i", draw("item", "replicate", "slot", "k") % F.lit(n_items)).groupBy("replicate", "slot", "seed", "i").agg(F.count("*").alias("times"))
-    weighed = drawn.join(items, "i").join(rows, ["seed", "item"])
-    own = rows.join(F.broadcast(seeds.withColumnRenamed("i", "slot")), "seed").select(F.lit(-1).alias("replicate"), "slot", "checkpoint", "bin", "outcome", F.lit(1).cast("long").alias("times"))
-    cells = weighed.select("replicate", "slot", "checkpoint", "bin", "outcome", "times").unionByName(own.withColumn("slot", F.col("slot").cast("int")))
-    cells = cells.groupBy("replicate", "slot", "bin", "checkpoint").agg(F.sum("times").cast("double").alias("n"), F.sum(F.col("times") * F.col("outcome")).alias("y"))
+    weighed = drawn_rows(rows, items, n_items, "item", slots, draw("item", "replicate", "slot", "k"), replicates * n_seeds, ("seed",))
+    own = rows.join(F.broadcast(seeds.withColumnRenamed("i", "slot")), "seed").select(F.lit(-1).alias("replicate"), F.col("slot").cast("int").alias("slot"), "checkpoint", "bin", "outcome")
+    cells = weighed.drop("seed").unionByName(own).groupBy("replicate", "slot", "bin", "checkpoint").agg(F.count("*").cast("double").alias("n"), F.sum("outcome").alias("y"))
     whole = cells.groupBy("replicate").agg(F.collect_list(F.struct("slot", "bin", "checkpoint", "n", "y")).alias("cells"))  # slots x bins x checkpoints at most
     return whole.select("replicate", F.posexplode(_means("cells", F.lit(bins), F.lit(n_seeds), F.lit(checkpoints))).alias("bin", "estimate"))
 
