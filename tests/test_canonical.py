@@ -63,3 +63,18 @@ def test_atoms_connect_fields_and_principles_only_report():
     assert b["feedback", c.hash_of("y")][0] == "feedback[2]"
     assert any(k == "edit_link" and link for (k, _), (_, link) in b.items())
     assert not any(k == "context" for k, *_ in atoms_of({"context": None, "prompt": "P"}, Mapping()))
+
+
+def test_strings_are_normalised_once(monkeypatch):
+    """However many atoms hold a string."""
+    seen, plain = [], c.plain_text
+    monkeypatch.setattr(c, "plain_text", lambda s: seen.append(s) or plain(s))
+    m = Mapping(context="first", context_else=None, responses=("text",), feedback=("lines",), principle=None, edits=(("first", "last"),))
+    row = {"first": "a  b", "last": "z", "lines": ["a  b", " ", "z"], "text": "a  b z"}
+    got = {(k, f): h for k, h, f, _ in atoms_of(row, m)}
+    assert sorted(seen) == sorted(["a  b", "z", "a  b", " ", "z", "a  b z"])
+    monkeypatch.undo()
+    assert got == {
+        ("record", "__record__"): c.hash_of(row), ("context", "first"): c.hash_of("a b"), ("response", "text"): c.hash_of("a b z"),
+        ("feedback", "lines[0]"): c.hash_of("a b"), ("feedback", "lines[2]"): c.hash_of("z"), ("edit_link", "first->last"): c.hash_of({"original": "a b", "edited": "z"}),
+    }
