@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from functools import partial, reduce
 
@@ -207,6 +208,54 @@ def test_first_level_rows_are_packed():
     assert not list(suffixes._dealt(iter([]), 16))
 
 
+def first_level(n, seed=6):
+    """Rows of the first level of some texts, of which half are copies."""
+    rng = np.random.default_rng(seed)
+    texts = ["".join(rng.choice(list("abcdefgh"), 2000)) for _ in range(n)] * 2
+    batches = [pa.record_batch([pa.array(range(a, a + n // 2), pa.int64()), pa.array(texts[a : a + n // 2])], names=["doc_id", "text"]) for a in range(0, 2 * n, n // 2)]
+    return batches, list(suffixes._first_level(iter(batches), 50))
+
+
+def test_first_level_is_dealt_out_evenly():
+    """Anchors that are tried have small hashes; ranges of keys get about as many rows all the same."""
+    _, rows = first_level(40)
+    lows = suffixes._lows(32, 50)
+    n = np.zeros(32, int)
+    for b in suffixes._dealt(iter(rows), 32, lows):
+        np.add.at(n, b.column(0).to_numpy(), [suffixes.zstandard.frame_content_size(x.as_py()) // 24 for x in b.column(1)])
+    assert n.sum() == sum(b.num_rows for b in rows)
+    assert n.max() < 1.5 * n.mean()
+
+
+def test_first_level_is_sorted_a_part_at_a_time(monkeypatch):
+    """Ranges of keys, and parts of them, give what one sort of all rows gives; no more than a few parts are unpacked at once."""
+    _, rows = first_level(20)
+    rows.append(suffixes._rows(np.array([5, 1 << 39, 5]), np.array([1, 2, 3]), np.array([suffixes.PASSED] * 3)))
+    table = pa.Table.from_batches(rows).sort_by("key")
+    want = sorted(str(r) for b in suffixes._judged(iter(table.to_batches())) for r in b.to_pylist())
+    monkeypatch.setattr(suffixes, "PACKED", 500)
+    dealt = pa.Table.from_batches(suffixes._dealt(iter(rows), 8, suffixes._lows(8, 50))).sort_by("to")
+    for most in (1 << 19, 100, 7):
+        monkeypatch.setattr(suffixes, "SORTED", most)
+        got = list(suffixes._met(iter(dealt.to_batches(max_chunksize=5))))
+        assert sorted(str(r) for b in got for r in b.to_pylist()) == want
+        assert max(b.num_rows for b in got) <= (table.num_rows if most > 1000 else 1000)
+    assert not list(suffixes._met(iter([])))
+
+
+def test_memory_of_a_piece():
+    """Hashes of a piece's places are made a segment at a time."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefgh"), 1 << 19)) for _ in range(4)]
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        list(suffixes._first_level(iter([batch]), 50))
+        assert tracemalloc.get_traced_memory()[1] < 52 * suffixes.PIECE
+    finally:
+        tracemalloc.stop()
+
+
 def test_frequent_anchors(spark, monkeypatch):
     """Anchors that a share of documents hold are told; others aren't."""
     monkeypatch.setattr(suffixes, "SAMPLED", 1)
