@@ -243,6 +243,17 @@ def test_first_level_is_sorted_a_part_at_a_time(monkeypatch):
     assert not list(suffixes._met(iter([])))
 
 
+def test_anchors_of_all_windows(spark):
+    """Equal windows share their anchor, whatever their length, and find each other."""
+    rng = np.random.default_rng(9)
+    base = "".join(rng.choice(list("abcdefgh"), 700))
+    rows = [(1, base), (2, "xyz" + base[100:500]), (3, base[300:420] + "zyx"), (4, base[:15])]
+    for window in (16, 17, 40, 50, 51, 255):
+        a, b = (suffixes._anchors(np.frombuffer(t.encode(), np.uint8), window) for t in (base[100:500], rows[1][1]))
+        assert (a == b[3:]).all() and len(a) == 401 - window
+        assert sorted((str(r["doc_id"]), r["text"], r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in suffixes.remove_repeated_bytes(frame(spark, rows), window=window).collect()) == brute_bytes(rows, window)
+
+
 def test_memory_of_a_piece():
     """Hashes of a piece's places are made a segment at a time."""
     rng = np.random.default_rng(7)
