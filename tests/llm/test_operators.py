@@ -3,6 +3,7 @@ texts, ties, repeated rows and columns of clashing names."""
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -362,6 +363,37 @@ def test_packing(spark, mess):
     assert cuts[-1] == 20 and all(b - a <= 8 for a, b in zip([0, *cuts], cuts, strict=False))
 
 
+def test_packing_encodes_words_once(monkeypatch):
+    """What is encoded grows with the different words of a batch, not with its text."""
+    load, given = packing.Encoder.__init__, []
+
+    def counted(self, path):
+        load(self, path)
+        plain = self.plain
+        self.plain = lambda t: given.append(len(t)) or plain(t)
+
+    monkeypatch.setattr(packing.Encoder, "__init__", counted)
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    texts = [f"Text {i % 7} of  some\n\n" + "  words, over and over.\n" * 40 for i in range(200)]
+    batch = pa.record_batch({"doc_id": pa.array(range(200), pa.int64()), "text": pa.array(texts)})
+    out = list(packing._pack(iter([batch]), "byte_bpe_50k.json", 1024, 0, pa.int64(), 500_000))
+    assert sum(sum(b.column("length").to_pylist()) for b in out) > 200 * 40 and sum(given) < 0.1 * sum(map(len, texts))
+
+
+def test_packing_of_odd_words():
+    """Words encoded together have the ids that each text has alone, wherever white space of any kind stands."""
+    encode = packing.Encoder(packing.tokenizer_path("byte_bpe_50k.json"))
+    rnd = random.Random(6)
+    parts = ["a", "the", " ", " ", "  ", "\n", "\r\n", "\t", ".", "'s", "12", "é", "漢字", "\xa0", "\u2003", "\u3000", "\x1c", "\x85", "\0", "\u200b", "<|endoftext|>", "😀", "½", " cd. "]
+    for _ in range(300):
+        some = rnd.sample(parts, rnd.randint(2, len(parts)))
+        texts = ["".join(rnd.choices(some, k=rnd.randint(0, 30))) for _ in range(rnd.randint(1, 12))]
+        want = [[*encode(t), 70_000] for t in texts]
+        ids, n = encode.many(texts, 70_000)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert packing._cuts(ids, n, encode.sentence_end)[0][-1] == len(ids)
+
+
 def test_packing_of_blanks(spark):
     from tokenizers import Tokenizer
 
