@@ -213,3 +213,57 @@ def test_model_rankings_share_places_whatever_the_order_of_seeds(spark):
     d = spark.createDataFrame(rows, "boundary string, fraction double, evaluation_set string, model string, accuracy double").coalesce(1)
     got = {r["model"]: (r["rank"], r["accuracy"]) for r in effects.model_rankings(d).collect()}
     assert got == {"x": (1, 0.2), "y": (1, 0.2), "z": (3, 0.1)}
+
+
+def _marked(spark):
+    """Pairs that "good" decides, and pairs of one long text twice, whose weights differ by rounding at most."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, i, f"plain words {i % 3}", f"plain good words {i % 3}", 1) if i % 2 else (i, i, f"plain good words {i % 3}", f"plain words {i % 3}", 0) for i in range(48)]
+    for i in range(48, 90):
+        same = " ".join(np.random.default_rng(i).permutation(np.repeat(words[i % 5 :: 5], 1 + i % 4)))
+        rows.append((i, i, same, same, i // 2 % 2))
+    return spark.createDataFrame(rows, "pair_id long, position long, response1 string, response2 string, label int")
+
+
+def test_learner_isnt_stopped_by_pairs_of_equal_texts(spark):
+    """Columns that only rounding fills made the former solver give up and return no weight."""
+    from kinfolio.operators import learners
+
+    d = _marked(spark)
+    margins = {r["pair_id"]: r["margin"] for r in learners.fit_predict(d, d, iterations=1500).collect()}
+    assert all((margins[i] > 0) == (i % 2 == 1) and abs(margins[i]) > 0.1 for i in range(48))
+
+
+def test_learner_passes_in_tasks_as_on_the_driver(spark, monkeypatch):
+    """Two tables that share pairs, one of them with a pair twice, in small slices and tasks: the same margins."""
+    from kinfolio.operators import learners
+
+    d = _marked(spark)
+    some = d.where("pair_id % 3 > 0").selectExpr("pair_id", "pair_id - 1 - pair_id div 3 AS position", "response1", "response2", "label")
+    trains = {"all": d, "some": some.unionByName(some.where("pair_id = 1").selectExpr("pair_id", "60L AS position", "response1", "response2", "label"))}
+
+    def margins():
+        g = learners.grid(trains, {"a": d}, fractions=(0.5, 1.0), models={"m": (learners.word_terms, 1.0, 150)}, iterations=300).collect()
+        assert len(g) == 4 * 90
+        return {(r["boundary"], r["fraction"], r["pair_id"]): r["margin"] for r in g}
+
+    whole = margins()
+    alone = {r["pair_id"]: r["margin"] for r in learners.fit_predict(trains["some"], d, learners.word_terms, c=1.0, iterations=300, most_features=150).collect()}
+    assert all(abs(whole["some", 1.0, k] - m) < 1e-4 for k, m in alone.items())
+    monkeypatch.setattr(learners, "SLICE", 300)
+    monkeypatch.setattr(learners, "TASK_CHARACTERS", 1000)
+    for most in (learners.HERE_TERMS, 1000):
+        monkeypatch.setattr(learners, "HERE_TERMS", most)
+        parts = margins()
+        assert all(abs(whole[k] - parts[k]) < 1e-4 for k in whole)
+
+
+def test_slices_are_all_of_a_batch_whatever_the_lengths(monkeypatch):
+    import pyarrow as pa
+
+    from kinfolio.operators import learners
+
+    monkeypatch.setattr(learners, "SLICE", 10)
+    for lengths in ([], [0], [0, 0], [3, 3, 3, 3, 3], [100], [1, 100, 1], [10, 10, 0], [0, 25, 25, 0, 1]):
+        parts = [p.column("characters").to_pylist() for p in learners._slices(pa.record_batch({"characters": pa.array(lengths, pa.int64())}))]
+        assert sum(parts, []) == lengths and all(p and (len(p) == 1 or sum(p) <= 20) for p in parts)
