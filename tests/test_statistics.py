@@ -266,4 +266,23 @@ def test_slices_are_all_of_a_batch_whatever_the_lengths(monkeypatch):
     monkeypatch.setattr(learners, "SLICE", 10)
     for lengths in ([], [0], [0, 0], [3, 3, 3, 3, 3], [100], [1, 100, 1], [10, 10, 0], [0, 25, 25, 0, 1]):
         parts = [p.column("characters").to_pylist() for p in learners._slices(pa.record_batch({"characters": pa.array(lengths, pa.int64())}))]
-        assert sum(parts, []) == lengths and all(p and (len(p) == 1 or sum(p) <= 20) for p in parts)
+        assert sum(parts, []) == lengths and all(p and sum(p) - max(p) <= 20 for p in parts)
+
+
+def test_runs_of_characters_are_those_of_the_column(spark):
+    """Made by slices of many texts, without a string a run: the same runs as often, and the same margins."""
+    from collections import Counter
+
+    from kinfolio.operators import learners
+
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "ab", "abc", "A  \t\nB c", "\U0001f600\U0001f601 \U0001f600\U0001f601\u4e2d\u6587", "\u00c9t\u00e9 \u0130x", "abab" * 50, *("".join(rng.choice(list("abcd \u00e9\u4e2d"), int(n))) for n in rng.integers(0, 60, 40))]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in (d.orderBy("i").select(learners.char_terms(d["text"]).alias("t"), learners._sequences(d["text"], learners.char_terms).alias("s")).toArrow(),):
+        rows, ids, names = learners._terms(r.column("s").combine_chunks(), learners.char_terms)
+        assert len(set(names)) == len(names)
+        got = Counter((i, names[j]) for i, j in zip(rows.tolist(), ids.tolist(), strict=True))
+        assert got == Counter((i, x) for i, t in enumerate(r.column("t").to_pylist()) for x in t)
+    pairs = spark.createDataFrame([(i, texts[8 + i], texts[7 + 2 * i % 40], i % 2) for i in range(40)], "pair_id int, response1 string, response2 string, label int")
+    margins = [{r["pair_id"]: r["margin"] for r in learners.fit_predict(pairs, pairs, t, iterations=200).collect()} for t in (learners.char_terms, lambda c: learners.char_terms(c))]
+    assert any(margins[0].values()) and all(abs(m - margins[1][k]) < 1e-6 for k, m in margins[0].items())
